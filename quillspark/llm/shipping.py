@@ -1,0 +1,25 @@
+"""Sends this package's code to the executors."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+_SENT: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Adds the package to what Python workers import, once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _SENT:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="quillspark-code-")) / "quillspark_code.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _SENT.add(context.applicationId)
