@@ -50,21 +50,21 @@ def stale(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def write_snapshot(frame: DataFrame, root: str, version: str) -> str:
-    """Writes a version beside the others and then points ``_CURRENT`` at it, by a rename."""
+    """Writes a version beside the others and then points ``CURRENT`` at it, by a rename."""
     spark = frame.sparkSession
     frame.write.parquet(f"{root}/{version}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(path(f"{root}/_CURRENT.{version}"), True)
+    out = fs.create(path(f"{root}/CURRENT.{version}"), True)
     out.write(bytearray(version.encode()))
     out.close()
-    if fs.exists(path(f"{root}/_CURRENT")):
-        fs.delete(path(f"{root}/_CURRENT"), False)
-    fs.rename(path(f"{root}/_CURRENT.{version}"), path(f"{root}/_CURRENT"))
+    if fs.exists(path(f"{root}/CURRENT")):
+        fs.delete(path(f"{root}/CURRENT"), False)
+    fs.rename(path(f"{root}/CURRENT.{version}"), path(f"{root}/CURRENT"))
     return version
 
 
 def read_snapshot(spark, root: str) -> DataFrame:
-    version = spark.read.text(f"{root}/_CURRENT").first()[0]
+    version = spark.read.text(f"{root}/CURRENT").first()[0]
     return spark.read.parquet(f"{root}/{version}")

@@ -11,7 +11,8 @@ def debounce(events: DataFrame, keys: tuple[str, ...] = (), quiet: str = "3 seco
     without an event. On a stream a burst comes out once the watermark has passed it."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     burst = F.session_window("ts", quiet)
-    out = rows.groupBy(burst.alias("w"), *keys).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    # a streaming session needs a key beside the window
+    out = rows.withColumn("_all", F.lit(0)).groupBy(burst.alias("w"), "_all", *keys).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return out.select(*keys, "first_ts", "last_ts", "n")
 
 
