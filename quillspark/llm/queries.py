@@ -209,10 +209,9 @@ texts AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr
 units AS (
   SELECT doc_id, 'document' AS unit, t FROM texts
   UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(t, '\\n[ \\t]*\\n\\s*')) FROM texts
-  UNION ALL SELECT doc_id, 'line', unnest(string_split(t, chr(10))) FROM texts),
-short AS (SELECT doc_id, unit, t FROM units WHERE length(t) <= 20000)
+  UNION ALL SELECT doc_id, 'line', unnest(string_split(t, chr(10))) FROM texts)
 SELECT doc_id, unit, licence_id, count(*) AS n
-FROM (SELECT doc_id, unit, md5({_canonical('t')}) AS digest FROM short) JOIN known USING (digest)
+FROM (SELECT doc_id, unit, md5({_canonical('t')}) AS digest FROM units) JOIN known USING (digest)
 GROUP BY doc_id, unit, licence_id
 """
 
