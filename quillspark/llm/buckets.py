@@ -18,12 +18,17 @@ from .scratch import Scratch
 BLOCK = 512
 
 
-def blocked(rows: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def blocked(rows: DataFrame, scratch: Scratch, block: int = BLOCK, payloads: DataFrame | None = None) -> DataFrame:
     """(k long, id long, payload binary) to rows of (k, lo, hi, part, id, payload), where each pair
-    of a bucket shares a group (k, lo, hi). Buckets of one row are left out: they hold no pair."""
+    of a bucket shares a group (k, lo, hi). Buckets of one row are left out: they hold no pair.
+
+    payloads: (id, payload), one row an id, where rows have none. Wide payloads then travel only with
+    the rows that meet another; the rest are keys and ids."""
     sizes = scratch.keep(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     found = rows.join(sizes, "k").withColumn("nb", blocks)
+    if payloads is not None:
+        found = found.join(payloads, "id")
     found = found.withColumn("part", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return found.select(
@@ -83,8 +88,9 @@ def forest_links(
     compare: Callable[[np.ndarray, np.ndarray], np.ndarray],
     dtype: str,
     block: int = BLOCK,
+    payloads: DataFrame | None = None,
 ) -> DataFrame:
-    """(a, b) links that join what ``compare`` links in any bucket.
+    """(a, b) links that join what ``compare`` links in any bucket; rows and payloads as in ``blocked``.
 
     compare(left payload, right payload) returns a boolean matrix and must be symmetric.
     """
@@ -116,5 +122,5 @@ def forest_links(
         if held:
             yield pa.record_batch([np.concatenate(outs_a), np.concatenate(outs_b)], names=["a", "b"])
 
-    groups = blocked(rows, scratch, block).repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi")
+    groups = blocked(rows, scratch, block, payloads).repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi")
     return groups.mapInArrow(run, "a long, b long").distinct()

@@ -149,7 +149,7 @@ def chain_keys(fps: np.ndarray, ring: Ring) -> np.ndarray:
 
 
 def candidate_rows(classes: DataFrame, ring: Ring) -> DataFrame:
-    """(node, fp) to one row of (k, id, payload) for each seed chain."""
+    """(node, fp) to one row of (k, id) for each seed chain."""
 
     def run(batches):
         for batch in batches:
@@ -158,13 +158,10 @@ def candidate_rows(classes: DataFrame, ring: Ring) -> DataFrame:
             raw = batch.column(1).to_pylist()
             fps = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)[:, : ring.bits // 8]
             keys = chain_keys(fps, ring)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(list(keys), pa.list_(pa.int64())), batch.column(1)],
-                names=["id", "keys", "payload"],
-            )
+            yield pa.record_batch([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "keys"])
 
-    rows = classes.select("node", "fp").mapInArrow(run, "id long, keys array<long>, payload binary")
-    return rows.select(F.explode("keys").alias("k"), "id", "payload")
+    rows = classes.select("node", "fp").mapInArrow(run, "id long, keys array<long>")
+    return rows.select(F.explode("keys").alias("k"), "id")
 
 
 def comparer(ring: Ring, check_bits: int, check_distance: int):
@@ -212,7 +209,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(node, fp), one row a distinct fingerprint, to (node, component) of nodes that have a link."""
     links = forest_links(
-        candidate_rows(classes, ring), scratch, comparer(ring, check_bits, check_distance), "uint8"
+        candidate_rows(classes, ring), scratch, comparer(ring, check_bits, check_distance), "uint8",
+        payloads=classes.select(F.col("node").alias("id"), F.col("fp").alias("payload")),
     )
     return connected_components(links, scratch)
 
