@@ -90,37 +90,44 @@ def forest_links(
     block: int = BLOCK,
     payloads: DataFrame | None = None,
 ) -> DataFrame:
-    """(a, b) links that join what ``compare`` links in any bucket; rows and payloads as in ``blocked``.
+    """(a, b, ask): links that join what ``compare`` links in any bucket, and with ask every pair whose
+    link it leaves open. rows and payloads as in ``blocked``.
 
-    compare(left payload, right payload) returns a boolean matrix and must be symmetric.
+    compare(left payload, right payload) returns a matrix and must be symmetric: 1 or True for a link,
+    2 for a pair that it can't decide, else 0.
     """
 
     def run(batches):
-        outs_a, outs_b, held = [], [], 0
+        outs, held = [], 0
         for lo, hi, part, ids, payload in grouped(batches, dtype):
             if len(ids) < 2:
                 continue
             linked = np.zeros((len(ids), len(ids)), bool)
             if lo[0] == hi[0]:
-                linked = compare(payload, payload)
+                marks = compare(payload, payload)
+                linked = marks == 1
                 np.fill_diagonal(linked, False)
+                i, j = np.nonzero(np.triu(marks == 2, 1))
             else:
                 left, right = np.flatnonzero(part == lo[0]), np.flatnonzero(part == hi[0])
                 if not len(left) or not len(right):
                     continue
-                cross = compare(payload[left], payload[right])
-                linked[np.ix_(left, right)] = cross
-                linked[np.ix_(right, left)] = cross.T
+                marks = compare(payload[left], payload[right])
+                linked[np.ix_(left, right)] = marks == 1
+                linked[np.ix_(right, left)] = (marks == 1).T
+                i, j = np.nonzero(marks == 2)
+                i, j = left[i], right[j]
             a, b = forest(linked, ids)
-            if len(a):
-                outs_a.append(a)
-                outs_b.append(b)
-                held += len(a)
+            low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            if len(a) or len(low):
+                ask = np.repeat([False, True], [len(a), len(low)])
+                outs.append((np.concatenate([a, low]), np.concatenate([b, high]), ask))
+                held += len(ask)
             if held > 50_000:
-                yield pa.record_batch([np.concatenate(outs_a), np.concatenate(outs_b)], names=["a", "b"])
-                outs_a, outs_b, held = [], [], 0
+                yield pa.record_batch([np.concatenate(x) for x in zip(*outs)], names=["a", "b", "ask"])
+                outs, held = [], 0
         if held:
-            yield pa.record_batch([np.concatenate(outs_a), np.concatenate(outs_b)], names=["a", "b"])
+            yield pa.record_batch([np.concatenate(x) for x in zip(*outs)], names=["a", "b", "ask"])
 
     groups = blocked(rows, scratch, block, payloads).repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi")
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    return groups.mapInArrow(run, "a long, b long, ask boolean").distinct()

@@ -163,14 +163,11 @@ def embedding_components(
     widest = classes.agg(F.max("dim")).first()[0] or 1
     band = 2 * (STEP / 2) * math.sqrt(widest) + widest * STEP * STEP
 
-    def surely(left, right):
-        return left.astype(np.float32) @ right.T.astype(np.float32) * (STEP * STEP) >= threshold + band + 1e-5
-
-    def perhaps(left, right):
+    def compare(left, right):
         cos = left.astype(np.float32) @ right.T.astype(np.float32) * (STEP * STEP)
-        return (cos >= threshold - band - 1e-5) & (cos < threshold + band + 1e-5)
+        return (cos >= threshold - band - 1e-5) * np.int8(2) - (cos >= threshold + band + 1e-5)
 
-    sure = forest_links_by_dim(cells, scratch, surely, perhaps)
+    sure = scratch.keep(forest_links_by_dim(cells, scratch, compare))
     links = sure.where("not ask").select("a", "b")
     asked = sure.where("ask").select("a", "b").distinct()
     units = classes.select("node", "unit")
@@ -206,7 +203,7 @@ def embedding_components(
     )
 
 
-def forest_links_by_dim(cells: DataFrame, scratch: Scratch, surely, perhaps) -> DataFrame:
+def forest_links_by_dim(cells: DataFrame, scratch: Scratch, compare) -> DataFrame:
     """(a, b, ask): a spanning forest of the sure links, and every pair that doubles must decide.
     Vectors of another dimension have another payload length and so other keys; should keys of two
     dimensions collide, only payloads of one length are compared."""
@@ -214,32 +211,11 @@ def forest_links_by_dim(cells: DataFrame, scratch: Scratch, surely, perhaps) ->
     out = None
     for n in lengths or [2]:
         part = cells.where(F.length("payload") == n) if len(lengths) > 1 else cells
-        sure = forest_links(part, scratch, surely, "int16").withColumn("ask", F.lit(False))
-        ask = pair_links(part, scratch, perhaps, "int16").withColumn("ask", F.lit(True))
-        both = sure.unionAll(ask)
-        out = both if out is None else out.unionAll(both)
+        found = forest_links(part, scratch, compare, "int16")
+        out = found if out is None else out.unionAll(found)
     return out
 
 
-def pair_links(rows: DataFrame, scratch: Scratch, compare, dtype: str) -> DataFrame:
-    """All pairs (a, b) that ``compare`` marks in any bucket."""
-    from .buckets import blocked
-
-    def run(batches):
-        for lo, hi, part, ids, payload in grouped(batches, dtype):
-            left, right = np.flatnonzero(part == lo[0]), np.flatnonzero(part == hi[0])
-            if not len(left) or not len(right):
-                continue
-            i, j = np.nonzero(compare(payload[left], payload[right]))
-            a, b = ids[left[i]], ids[right[j]]
-            keep = a != b
-            if keep.any():
-                yield pa.record_batch([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], names=["a", "b"])
-
-    groups = blocked(rows, scratch).repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi")
-    return groups.mapInArrow(run, "a long, b long")
-
-
 def link_counts(classes: DataFrame, members: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(node, links): of each member, the rows of other nodes of its component at the threshold."""
     from .buckets import blocked
