@@ -58,7 +58,8 @@ def grouped(batches: Iterator[pa.RecordBatch], dtype) -> Iterator[tuple]:
 
 
 def forest(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a symmetric link matrix: each linked row with the first row of its component."""
+    """Of a symmetric link matrix: links that span its components, each linked row but the first of its
+    component with one that it has a link to."""
     open_ = linked.any(axis=1)
     a, b = [], []
     while True:
@@ -67,16 +68,16 @@ def forest(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             break
         seed = left[0]
         reached = np.zeros(len(ids), bool)
-        front = np.zeros(len(ids), bool)
-        front[seed] = reached[seed] = True
-        while front.any():
-            front = linked[front].any(axis=0) & ~reached
-            reached |= front
+        reached[seed] = True
+        front = np.array([seed])
+        while len(front):
+            met = linked[front]
+            new = np.flatnonzero(met.any(axis=0) & ~reached)
+            reached[new] = True
+            a.append(ids[front[met[:, new].argmax(axis=0)]])
+            b.append(ids[new])
+            front = new
         open_ &= ~reached
-        reached[seed] = False
-        hit = np.flatnonzero(reached)
-        a.append(np.full(len(hit), ids[seed]))
-        b.append(ids[hit])
     if not a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(a), np.concatenate(b)
