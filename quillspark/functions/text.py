@@ -1,4 +1,4 @@
-"""Text expressions: folding, tokens, sentences, chunks, shingles and excerpts, all in Catalyst."""
+"""Text expressions: folding, tokens, sentences, chunks, shingles and excerpts, all in Catalyst but highlight spans."""
 
 from __future__ import annotations
 
@@ -159,25 +159,30 @@ def _window(flat: Column, term: str, window: int) -> Column:
     return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + window < F.length(flat), "…").otherwise(""))
 
 
-def highlight_spans(text: Column, terms: list[str]) -> Column:
-    """Merged [begin, end) spans of the terms' matches, case ignored; touching spans are one."""
-    none = F.array().cast("array<struct<b:int,e:int>>")
+def highlight_spans(text: Column, terms: list[str], exact_word: bool = False) -> Column:
+    """Merged [begin, end) spans of the terms' matches, case ignored; touching spans are one. Null: none.
 
-    def of(low: Column) -> Column:
-        def spans_of(term: str) -> Column:
-            t = term.lower()
-            starts = F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.lit(len(t))) == t)
-            return F.transform(starts, lambda i: F.struct((i - 1).alias("b"), (i - 1 + len(t)).alias("e")))
+    A term's matches don't overlap each other. exact_word: only between word borders. One search a term
+    and one merge in Python: Catalyst has no places of matches, and arrays that grow are copied."""
 
-        return F.when(F.length(low) > 0, F.array_sort(F.concat(*[spans_of(t) for t in terms]))).otherwise(none)
+    @F.udf("array<struct<b:int,e:int>>")
+    def spans(value):
+        import re
 
-    def step(state, span):
-        last = F.try_element_at(state, F.lit(-1))
-        joined = F.struct(last["b"].alias("b"), F.greatest(last["e"], span["e"]).alias("e"))
-        touches = (F.size(state) > 0) & (last["e"] >= span["b"])
-        return F.when(touches, F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(joined))).otherwise(F.concat(state, F.array(span)))
+        found = []
+        for term in terms:
+            if term.strip():
+                pattern = rf"\b{re.escape(term)}\b" if exact_word else re.escape(term)
+                found += [m.span() for m in re.finditer(pattern, value or "", re.IGNORECASE)]
+        merged = []
+        for begin, end in sorted(found):
+            if merged and begin <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([begin, end])
+        return [tuple(x) for x in merged]
 
-    return F.aggregate(let(F.lower(text), of), none, step)
+    return spans(text)
 
 
 def clean_heading(text: Column, limit: int = 40) -> Column:

@@ -97,7 +97,7 @@ def excerpt_window(spark, sf_dir):
 
 @query()
 def highlight_merge(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where(F.length("text") < 400)
+    rows = read(spark, sf_dir, "documents")
     return rows.select("doc_id", F.to_json(T.highlight_spans(F.col("text"), ["the", "her", "on"])).alias("spans"))
 
 
