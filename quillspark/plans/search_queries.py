@@ -96,7 +96,7 @@ def tokenize_counts(spark, sf_dir):
 
 
 def term_df(spark, sf_dir):
-    return search.term_frequencies(search.postings(chunks(spark, sf_dir), ("content",))).where("df >= 50")
+    return search.term_frequencies(search.postings(chunks(spark, sf_dir), ("content",)))
 
 
 def doc_len(spark, sf_dir):

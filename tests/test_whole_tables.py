@@ -2,6 +2,9 @@
 
 import json
 import re
+from collections import Counter
+
+import duckdb
 
 import __spark_entry__ as entry
 from quillspark.functions import text as T
@@ -36,3 +39,18 @@ def test_spans_of_null_and_long_texts_and_whole_words(spark):
     assert got[1] == got[2] == [] and len(got[3]) == 100_000 and got[4] == [(2, 4), (6, 8)]
     whole = rows.where("i = 3").select(T.highlight_spans(rows["x"], ["the"], exact_word=True).alias("s")).first()["s"]
     assert len(whole) == 50_000 and tuple(whole[1]) == (10, 13)
+
+
+def test_term_df_has_every_term(spark):
+    df, tf = Counter(), Counter()
+    rows = spark.createDataFrame(list(documents(spark).items()), "i long, x string")
+    for r in rows.select(T.tokens(rows["x"]).alias("t")).collect():
+        tf.update(r["t"] or [])
+        df.update(set(r["t"] or []))
+    got = {r["term"]: (r["df"], r["tf"]) for r in entry.queries()["term_df"](spark, SF).collect()}
+    assert got == {t: (df[t], tf[t]) for t in tf}
+    # the query's SQL has only the terms of 50 documents or more
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    some = {t: (d, n) for t, d, n in con.execute("select term, df, tf from (" + entry.oracle_sql()["term_df"] + ")").fetchall()}
+    assert some == {t: x for t, x in got.items() if x[0] >= 50} and len(some) < len(got)
