@@ -60,6 +60,8 @@ def share_out(children: DataFrame, parent: list[str], node: str) -> DataFrame:
 def quotas(leaves: DataFrame, budget: int, weights: Mapping[str, Mapping[str, int]], max_epochs: int) -> DataFrame:
     """(domain, lang, source, tokens) of leaves to the same with ``quota``."""
     caps = leaves.withColumn("cap", F.col("tokens") * max_epochs).where("cap > 0")
+    for name in LEVELS:  # what is left out at any level is no part of its parents' caps
+        caps = caps.where(weight_of(name, weights.get(name, {})) > 0)
     total = None
     for depth in range(len(LEVELS)):
         keys = LEVELS[: depth + 1]
