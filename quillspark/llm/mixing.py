@@ -3,6 +3,7 @@
 A token budget runs down a tree of domains, languages and sources in proportion to their weights. A
 node can't take more than its tokens times the epochs allowed; what it can't take goes to its
 siblings by their weights, and only what they can't take either goes up to its parent's siblings.
+Quotas are whole tokens and add up to the budget as long as there are tokens for it.
 Each leaf then takes whole epochs and a prefix of one more, in an order seeded by epoch.
 DataFrame operations only.
 """
@@ -44,17 +45,26 @@ def weight_of(column: str, weights: Mapping[str, int]) -> Column:
 def share_out(children: DataFrame, parent: list[str], node: str) -> DataFrame:
     """children (parent..., node, w, cap, budget of the parent) with ``got``: each child's part.
 
-    With the children in the order of cap / w, the level is the largest of (budget - caps before) /
-    (weights from here on); a child gets its weight times the level, its cap at most. Sums are of
-    whole numbers, so they are exact.
+    A child is filled if the level at which it is full (cap / w) asks no more than the budget of all
+    children together. The others share what the full ones leave by their weights; the tokens that
+    whole numbers leave over go one each to the largest fractions, of equal ones to the first name.
+    So the parts add up to the budget, or to all caps if they are less. Whole numbers throughout.
     """
     own = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     line = own.orderBy(F.col("cap") / F.col("w"), node)
-    before = F.sum("cap").over(line) - F.col("cap")
-    weights = F.sum("w").over(own) - F.sum("w").over(line) + F.col("w")
-    out = children.withColumn("level", (F.col("budget") - before) / weights)
-    out = out.withColumn("level", F.max("level").over(own))
-    return out.withColumn("got", F.least(F.col("cap"), F.floor(F.col("w") * F.col("level")))).drop("level")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    out = children.withColumn("before", F.sum("cap").over(line) - F.col("cap"))
+    out = out.withColumn("behind", F.sum("w").over(own) - F.sum("w").over(line) + F.col("w"))
+    out = out.withColumn("full", wide("cap") * wide("behind") <= wide("w") * (wide("budget") - wide("before")))
+    out = out.withColumn("rest", F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(own))
+    out = out.withColumn("weights", F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(own))
+    exact = "cast(w as decimal(19,0)) * cast(rest as decimal(19,0))"
+    out = out.withColumn("whole", F.when(~F.col("full"), F.expr(f"({exact}) div cast(weights as decimal(19,0))")).otherwise(0))
+    out = out.withColumn("part", F.when(~F.col("full"), F.expr(f"({exact}) % cast(weights as decimal(19,0))")).otherwise(0))
+    out = out.withColumn("over", F.when(F.col("weights") > 0, F.col("rest")).otherwise(0) - F.sum("whole").over(own))
+    place = F.row_number().over(own.orderBy(F.desc("part"), node))
+    got = F.when(F.col("full"), F.col("cap")).otherwise(F.col("whole") + (place <= F.col("over")).cast("long"))
+    return out.withColumn("got", got.cast("long")).drop("before", "behind", "full", "rest", "weights", "whole", "part", "over")
 
 
 def quotas(leaves: DataFrame, budget: int, weights: Mapping[str, Mapping[str, int]], max_epochs: int) -> DataFrame:

@@ -131,19 +131,25 @@ def _weights(level: str) -> str:
 
 
 def _level(name: str, parent: str, keys: list[str]) -> str:
-    """Common table expressions that share a parent's budget out over one level of the tree."""
+    """Common table expressions that share a parent's budget out over one level of the tree: the level
+    at which a child is full is held against what all its siblings would take at that level."""
     by, up = ", ".join(keys), ", ".join(keys[:-1])
-    part = f"PARTITION BY {up} " if up else ""
-    line = f"({part}ORDER BY cap / w, {keys[-1]})"
+    part = f"PARTITION BY {up}" if up else ""
     source = (
         f"(SELECT c.*, p.got AS budget FROM {name}_c c JOIN {parent} p USING ({up}))" if up
         else f"(SELECT c.*, (SELECT CAST(floor(sum(tokens) * {MIX_SHARE}) AS BIGINT) FROM leaves) AS budget FROM {name}_c c)"
     )
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys[:-1]) or "true"
     return f"""
-{name}_c AS (SELECT {by}, CAST(sum(tokens * {MIX_EPOCHS}) AS BIGINT) AS cap, any_value({_weights(keys[-1])}) AS w FROM leaves GROUP BY {by}),
-{name}_l AS (SELECT *, (budget - (sum(cap) OVER {line} - cap))::DOUBLE
-    / (sum(w) OVER ({part}) - sum(w) OVER {line} + w)::DOUBLE AS level FROM {source}),
-{name} AS (SELECT {by}, least(cap, CAST(floor(w * max(level) OVER ({part})) AS BIGINT)) AS got FROM {name}_l)"""
+{name}_c AS (SELECT {by}, CAST(sum(tokens * {MIX_EPOCHS}) AS HUGEINT) AS cap, CAST(any_value({_weights(keys[-1])}) AS HUGEINT) AS w FROM leaves GROUP BY {by}),
+{name}_b AS (SELECT * FROM {source}),
+{name}_f AS (SELECT {', '.join(f'b.{k}' for k in keys)}, b.cap, b.w, b.budget, sum(least(a.cap * b.w, a.w * b.cap)) <= b.budget * b.w AS filled
+  FROM {name}_b a JOIN {name}_b b ON {same} GROUP BY {', '.join(f'b.{k}' for k in keys)}, b.cap, b.w, b.budget),
+{name}_r AS (SELECT *, budget - coalesce(sum(cap) FILTER (WHERE filled) OVER ({part}), 0) AS rest,
+    coalesce(sum(w) FILTER (WHERE NOT filled) OVER ({part}), 1) AS weights FROM {name}_f),
+{name}_p AS (SELECT *, row_number() OVER ({part} ORDER BY filled, (w * rest) % weights DESC, {keys[-1]}) AS place,
+    sum((w * rest) % weights) FILTER (WHERE NOT filled) OVER ({part}) // weights AS spare FROM {name}_r),
+{name} AS (SELECT {by}, CAST(CASE WHEN filled THEN cap ELSE (w * rest) // weights + CASE WHEN place <= spare THEN 1 ELSE 0 END END AS BIGINT) AS got FROM {name}_p)"""
 
 
 OP5_SQL = f"""
