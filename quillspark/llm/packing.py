@@ -54,7 +54,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that the tokenizer takes out of a text as ids of their own, case aside
+        self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.young: dict[str, bytes] = {}
@@ -87,13 +88,19 @@ class WordIds:
         return self.young.get(word) or self._run(word)
 
     def encode(self, text: str) -> bytes:
+        """The ids of ``encode(text, add_special_tokens=False)`` of the tokenizer as it was read."""
+        said = text
         try:
             plain = not text.encode("latin-1").translate(None, PLAIN)
         except UnicodeEncodeError:
-            plain = not OTHER.search(text := unicodedata.normalize("NFC", text))
+            plain = not OTHER.search(said := unicodedata.normalize("NFC", text))
         if not plain:
             return self._whole(text)
-        runs = text.lower().split()
+        low = said.lower()
+        for x in self.added:
+            if x in low:
+                return self._whole(text)
+        runs = low.split()
         found = list(map(self.young.get, runs))
         if None in found:
             for i, x in enumerate(found):

@@ -112,10 +112,35 @@ def test_packing_round_trip(spark, docs, empty):
     assert packing.pack(spark, empty, tokenizer_path()).count() == 0
 
 
+def plain_ids(tokenizer, text):
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_word_ids_equal_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())  # another one than the encoder's, as it is read
     w = packing.WordIds(tokenizer_path(), limit=5)
-    for text in ["It's DON'T 12a_b ''s !'s", "Σίσυφος ½ İ x² é é ﬁ", "<|endoftext|>", "", "a\x1cb\x85c d"]:
-        assert w.encode(text) == w._whole(text)
+    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    assert added
+    texts = ["It's DON'T 12a_b ''s !'s", "Σίσυφος ½ İ x² é é ﬁ", "", "a\x1cb\x85c d", *added]
+    texts += [f"end {x} here" for x in added] + [f"x{x}y{x}{x} z" for x in added] + [f"é {x.upper()} {x[:-1]} >" for x in added] + [f"Σ {x} e\u0301" for x in added]
+    for text in texts:
+        assert w.encode(text) == plain_ids(tokenizer, text)
+
+
+def test_word_ids_equal_the_tokenizers_on_random_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    w = packing.WordIds(tokenizer_path(), limit=1000)
+    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    rng = np.random.default_rng(9)
+    bits = [*"abcXYZ 019 _-'.,!?<|>\n\t", "'s", "'LL", "é", "É", "e\u0301", "ß", "“", "—", "日本", "\u212a", "\u00a0", "the ", "Then ", " end", *added]
+    for _ in range(4000):
+        text = "".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(1, 30)))
+        assert w.encode(text) == plain_ids(tokenizer, text), text
 
 
 def test_html_cases(spark):
