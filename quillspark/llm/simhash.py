@@ -27,8 +27,8 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 class Ring:
     """bits in ``segments`` segments, links at ``distance`` or fewer bits.
 
-    seed: equal segments by which candidates meet. Up to ceil(segments / distance) - 1 every link is
-    found (``complete``); more is more selective, and then recall is a matter of measurement.
+    seed: equal segments by which candidates meet; at most ceil(segments / distance) - 1 of them, so
+    that every link is found.
     """
 
     bits: int
@@ -36,9 +36,9 @@ class Ring:
     distance: int
     seed: int
 
-    @property
-    def complete(self) -> bool:
-        return self.seed * self.distance < self.segments
+    def __post_init__(self) -> None:
+        if self.seed * self.distance >= self.segments or self.bits % 64:
+            raise ValueError("a ring needs whole 64-bit words, and seed * distance < segments to lose no link")
 
     def bounds(self) -> list[int]:
         return [round(i * self.bits / self.segments) for i in range(self.segments + 1)]
@@ -107,15 +107,6 @@ def fingerprint_contract(raw: bytes | None, size: int = 3) -> bytes:
     return majority(shingle_hashes(text_words(raw), size), 1)
 
 
-def fingerprint_wide(raw: bytes | None, seek: int, check: int, words: int) -> bytes:
-    """Two fingerprints of 64 * words bits: of ``seek``-word runs, then of ``check``-word runs."""
-    import xxhash
-
-    found = text_words(raw)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), np.uint64, len(found))
-    return majority(run_hashes(h, seek), words) + majority(run_hashes(h, check), words)
-
-
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str, function) -> DataFrame:
     """The ``keep`` columns and ``fp`` binary of each row, from its whole text."""
     ship(docs.sparkSession)
@@ -164,52 +155,54 @@ def candidate_rows(classes: DataFrame, ring: Ring) -> DataFrame:
     return rows.select(F.explode("keys").alias("k"), "id")
 
 
-def comparer(ring: Ring, check_bits: int, check_distance: int):
-    """Links of two sets of payloads: chains pruned by the ring's budgets, then the full distance of
-    the last ``check_bits`` bits."""
-    bounds = ring.bounds()
+def segment_masks(ring: Ring) -> list[list[tuple[int, np.uint64]]]:
+    """Of each segment its (word, mask) parts, for fingerprints read as 64-bit words."""
+    bounds, out = ring.bounds(), []
+    for i in range(ring.segments):
+        bits = np.zeros(ring.bits, np.uint8)
+        bits[bounds[i] : bounds[i + 1]] = 1
+        words = np.packbits(bits).view(np.uint64)
+        out.append([(w, words[w]) for w in range(len(words)) if words[w]])
+    return out
 
-    def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(left), len(right)), np.int32)
-        for i in range(left.shape[1]):
-            out += np.bitwise_count(left[:, i, None] ^ right[None, :, i])
-        return out
+
+def comparer(ring: Ring):
+    """Links of two sets of fingerprints. A pair stays a candidate if from some segment on all chains of
+    up to ``seed`` + 2 segments keep to their budgets; only candidates get the full Hamming check."""
+    masks = segment_masks(ring)
+    chains = min(ring.segments, ring.seed + 2)
+    budgets = [length * ring.distance // ring.segments for length in range(1, chains + 1)]
 
     def viable(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Pairs with a segment from which all chains of up to ``seed`` + 2 segments keep to their
-        budgets; what fails differs in more than ``distance`` bits."""
-        a, b = np.unpackbits(left, axis=1), np.unpackbits(right, axis=1)
-        differing = np.add.reduceat(a ^ b, bounds[:-1], axis=1, dtype=np.int32)
-        m, chains = ring.segments, min(ring.segments, ring.seed + 2)
-        sums = np.cumsum(np.concatenate([np.zeros((len(a), 1), np.int32), differing, differing[:, :chains]], axis=1), axis=1)
-        good = np.ones((len(a), m), bool)
-        for length in range(1, chains + 1):
-            good &= (sums[:, length : length + m] - sums[:, :m]) * m <= length * ring.distance
-        return good.any(axis=1)
+        other = [left[:, w, None] ^ right[None, :, w] for w in range(left.shape[1])]
+        differing = [sum(np.bitwise_count(other[w] & mask) for w, mask in parts) for parts in masks]
+        out = np.zeros(other[0].shape, bool)
+        for start in range(ring.segments):
+            so_far, good = 0, True
+            for length in range(chains):
+                so_far = so_far + differing[(start + length) % ring.segments]
+                good = good & (so_far <= budgets[length])
+            out |= good
+        return out
 
     def compare(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        size = ring.bits // 8
-        seek_l, seek_r = np.ascontiguousarray(left[:, :size]), np.ascontiguousarray(right[:, :size])
-        if len(left) * len(right) <= 4096:
-            i, j = np.divmod(np.arange(len(left) * len(right)), len(right))
-            near = viable(seek_l[i], seek_r[j]).reshape(len(left), len(right))
-            if not near.any():
-                return near
-        else:  # one pass over whole words is cheaper than segments where many rows meet
-            near = distances(seek_l.view(np.uint64), seek_r.view(np.uint64)) <= ring.distance
-        l8 = np.ascontiguousarray(left[:, -check_bits // 8 :]).view(np.uint64)
-        r8 = np.ascontiguousarray(right[:, -check_bits // 8 :]).view(np.uint64)
-        return near & (distances(l8, r8) <= check_distance)
+        left, right = (np.ascontiguousarray(x).view(np.uint64) for x in (left, right))
+        near = viable(left, right)
+        i, j = np.nonzero(near)
+        if len(i):
+            bits = np.zeros(len(i), np.int64)
+            for w in range(left.shape[1]):
+                bits += np.bitwise_count(left[i, w] ^ right[j, w])
+            near[i, j] = bits <= ring.distance
+        return near
 
     return compare
 
 
-def near_duplicates(
-    spark: SparkSession, classes: DataFrame, ring: Ring, check_bits: int, check_distance: int, scratch: Scratch
-) -> DataFrame:
+def near_duplicates(spark: SparkSession, classes: DataFrame, ring: Ring, scratch: Scratch) -> DataFrame:
     """(node, fp), one row a distinct fingerprint, to (node, component) of nodes that have a link."""
     links = forest_links(
-        candidate_rows(classes, ring), scratch, comparer(ring, check_bits, check_distance), "uint8",
+        candidate_rows(classes, ring), scratch, comparer(ring), "uint8",
         payloads=classes.select(F.col("node").alias("id"), F.col("fp").alias("payload")),
     )
     return connected_components(links, scratch)
@@ -238,7 +231,7 @@ def simhash_components(
     rows = scratch.keep(rows)
     classes = rows.groupBy("fp").agg(F.min("_id").alias("low")).withColumn("node", F.monotonically_increasing_id())
     classes = scratch.keep(classes)
-    linked = scratch.keep(near_duplicates(spark, classes, ring, ring.bits, ring.distance, scratch))
+    linked = scratch.keep(near_duplicates(spark, classes, ring, scratch))
     labelled = scratch.keep(
         classes.join(linked, "node", "left").select("fp", "low", F.coalesce("component", "node").alias("component"))
     )

@@ -61,7 +61,7 @@ def test_pigeonring_loses_no_link(spark):
             fps.append(y)
     fps = sorted(set(fps))
     classes = spark.createDataFrame([(i, bytearray(struct.pack(">Q", f))) for i, f in enumerate(fps)], "node long, fp binary")
-    got = {r["node"]: r["component"] for r in simhash.near_duplicates(spark, classes, simhash.CONTRACT, 64, 2, Scratch(spark, "t")).collect()}
+    got = {r["node"]: r["component"] for r in simhash.near_duplicates(spark, classes, simhash.CONTRACT, Scratch(spark, "t")).collect()}
     label = list(range(len(fps)))
     for _ in fps:
         for i, x in enumerate(fps):
@@ -71,6 +71,21 @@ def test_pigeonring_loses_no_link(spark):
     assert {i: got.get(i, i) for i in range(len(fps))} == dict(enumerate(label))
 
 
+def test_pigeonring_compares_blocks_of_any_size_alike():
+    rng = np.random.default_rng(15)
+    for ring in (simhash.CONTRACT, simhash.Ring(128, 13, 4, 3)):
+        x = rng.integers(0, 256, (300, ring.bits // 8), np.uint8)
+        y = x[rng.integers(0, 300, 280)].copy()
+        for row in y:
+            for b in rng.choice(ring.bits, rng.integers(0, 6), replace=False):
+                row[b // 8] ^= 128 >> b % 8
+        bits = (np.unpackbits(x, axis=1)[:, None, :] != np.unpackbits(y, axis=1)[None, :, :]).sum(2)
+        compare = simhash.comparer(ring)
+        assert np.array_equal(compare(x, y), bits <= ring.distance)
+        assert np.array_equal(compare(x[:5], y[:7]), bits[:5, :7] <= ring.distance)
+        assert 0 < (bits <= ring.distance).sum() < (bits <= 5).sum()
+
+
 def test_near_copies_stage_keeps_one(spark):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in rng.integers(0, 5000, 300)]
