@@ -59,6 +59,26 @@ def splitters(rows: DataFrame, targets: list[int], tolerance: int) -> list[int]:
     return [found[i] for i in range(len(targets))]
 
 
+def dealt(rows: DataFrame, rows_a_task: int, scratch: Scratch) -> DataFrame:
+    """Rows (key, spread, shard, ...) with ``run`` and ``deal``: parts of a shard that one task can sort.
+
+    Runs are ranges of the key, so many that they hold half of rows_a_task on the average. One of more
+    than rows_a_task, whatever fills it, is dealt by the rows' spread to parts of half of that, so
+    that chance fills none much beyond it.
+    """
+    n = rows.count()
+    bits = max(0, (2 * n // rows_a_task).bit_length())
+    run = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+    rows = scratch.keep(rows.withColumn("run", run))
+    full = rows.groupBy("shard", "run").agg(F.count("*").alias("n")).where(F.col("n") > rows_a_task)
+    full = scratch.keep(full.select("shard", "run", F.ceil(2 * F.col("n") / rows_a_task).alias("parts")))
+    found = rows.join(full, ["shard", "run"], "left")
+    found = found.withColumn("deal", F.coalesce(F.pmod(F.col("spread"), F.col("parts")), F.lit(0).cast("long")))
+    found = scratch.keep(found.drop("parts"))
+    scratch.drop(rows)
+    return found
+
+
 def shard(
     spark: SparkSession, docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text",
     tolerance: float = 0.002, rows_a_task: int = 2048,
@@ -68,9 +88,11 @@ def shard(
     size is the text's UTF-8 bytes (null: none) plus 1. Shards are nearly equal in bytes: off by twice
     ``tolerance`` of a shard at most, as long as no group of equal texts is larger than what is left of
     a shard. Equal texts stay together; only a group larger than a whole shard is cut, by a hash of id,
-    into parts of at most half a shard. slot numbers a shard's rows without a gap from 0: first by the text
-    hash, then its large groups. Rows that repeat are rows of their own. A null text is a group like any
-    other; null ids are allowed; an empty table gives an empty one; other columns are ignored.
+    into parts of at most half a shard. slot numbers a shard's rows without a gap from 0, by ranges of the
+    text hash; a range of more than ``rows_a_task`` rows, such as the copies of one short text, is dealt
+    to parts by a hash of id, so that no task sorts many more rows of one range. Rows that repeat
+    are rows of their own. A null text is a group like any other; null ids are allowed; an empty
+    table gives an empty one; other columns are ignored.
 
     Groups of more than ``tolerance`` of a shard are placed whole, the largest first, each in the
     emptiest shard: there are at most shards / tolerance of them (with cut parts, twice that), the only
@@ -121,17 +143,12 @@ def shard(
     placed = spark.createDataFrame(place, "key long, piece long, at int")
     rows = rows.join(placed, ["key", "piece"], "left")
     rows = rows.withColumn("shard", F.coalesce("at", place_of))
-    # runs of a shard of a bounded number of rows: by key range, large groups by spread
-    n = rows.count()
-    bits = max(0, (max(1, n // rows_a_task)).bit_length())
-    run = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("run", F.when(F.col("parts").isNull(), run).otherwise(2**62 + F.pmod(F.col("spread"), F.lit(max(1, 2**bits)))))
-    rows = scratch.keep(rows.select("id", "size", "crc", "key", "spread", "shard", "run"))
-    sizes = rows.groupBy("shard", "run").agg(F.count("*").alias("n"))
-    first = F.sum("n").over(Window.partitionBy("shard").orderBy("run")) - F.col("n")
-    starts = scratch.keep(sizes.select("shard", "run", first.alias("first")))
-    inside = Window.partitionBy("shard", "run").orderBy("key", "id", "spread")
-    return rows.withColumn("rank", F.row_number().over(inside)).join(starts, ["shard", "run"]).select(
+    rows = dealt(rows.select("id", "size", "crc", "key", "spread", "shard"), rows_a_task, scratch)
+    sizes = rows.groupBy("shard", "run", "deal").agg(F.count("*").alias("n"))
+    first = F.sum("n").over(Window.partitionBy("shard").orderBy("run", "deal")) - F.col("n")
+    starts = scratch.keep(sizes.select("shard", "run", "deal", first.alias("first")))
+    inside = Window.partitionBy("shard", "run", "deal").orderBy("key", "id", "spread")
+    return rows.withColumn("rank", F.row_number().over(inside)).join(starts, ["shard", "run", "deal"]).select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("first") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

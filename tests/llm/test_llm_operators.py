@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, html_extract, lattice, licences, mixing, packing, sharding, simhash, toxicity, url_lists
+from quillspark.llm import ann, html_extract, lattice, licences, mixing, packing, queries, sharding, simhash, toxicity, url_lists
 from quillspark.llm.components import connected_components
 from quillspark.llm.pipeline_stages import drop_near_copies
 from quillspark.llm.queries import domain_of_source, tokenizer_path
@@ -260,6 +260,30 @@ def test_shards_are_even_and_whole(spark, docs, empty):
     assert len(small) == len(DOCS) and sharding.shard(spark, empty).count() == 0
 
 
+def test_no_run_of_a_shard_is_too_long(spark):
+    rows = [(i, "" if i % 5 == 0 else f"text {i}", 0, "x") for i in range(30_000)]
+    keyed = spark.createDataFrame(rows, SCHEMA).select("doc_id", F.xxhash64("text").alias("key"), F.xxhash64("doc_id").alias("spread"), F.lit(0).alias("shard"))
+    got = sharding.dealt(keyed, 512, Scratch(spark, "t")).groupBy("shard", "run", "deal").count()
+    assert got.agg(F.max("count")).first()[0] <= 700 and got.agg(F.sum("count")).first()[0] == 30_000
+    out = sharding.shard(spark, spark.createDataFrame(rows, SCHEMA), rows_a_task=512).toPandas()
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+    assert out[out["size"] == 1]["shard"].nunique() == 1 and len(out) == 30_000
+
+
+def test_shards_of_the_query_keep_the_law(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op8_histogram_sort_shards(spark, sf).toPandas()
+    assert sorted(got["doc_id"]) == sorted(texts) and set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
+    raw = {i: (t or "").encode() for i, t in texts.items()}
+    assert all(s == len(raw[i]) + 1 and c == zlib.crc32(raw[i]) for i, s, c in zip(got["doc_id"], got["size"], got["text_crc32"]))
+    sizes = got.groupby("shard")["size"].sum().reindex(range(16), fill_value=0)
+    largest = got.groupby("text_crc32")["size"].sum().max()
+    assert sizes.max() - sizes.min() <= largest + 2 * 0.002 * sizes.mean() + 1
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
+    assert got.groupby("text_crc32")["shard"].nunique().max() == 1
+
+
 def test_licences(spark, empty):
     text = dict(licences.KNOWN)["MIT-text"]
     rows = [(1, "Copyright 2020 Me\n" + text.upper().replace(",", " ,"), 0, "x"), (2, "x\nlicenced  under CC-BY NC 4.0\ny", 0, "x"), (2, "RELEASED under the MIT licence", 0, "x"), (None, "Released under the MIT License.", 0, "x"), (3, None, 0, "x"), (4, "", 0, "x")]
