@@ -208,7 +208,7 @@ def search(scratch, rows, asked, tree, dim, dims, quantile, k) -> DataFrame:
     located = located.join(sizes, "k").withColumn("lo", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).drop("nb")
 
     def run(batches):
-        for lo, hi, part, ids, payload in grouped(batches, "float64"):
+        for _, lo, hi, part, ids, payload in grouped(batches, "float64"):
             mine, theirs = part == 0, np.flatnonzero(part == 1)
             x = payload[mine]
             if not len(theirs) or not len(x):

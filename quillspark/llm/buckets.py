@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,24 +38,29 @@ def blocked(rows: DataFrame, scratch: Scratch, block: int = BLOCK, payloads: Dat
 
 
 def grouped(batches: Iterator[pa.RecordBatch], dtype) -> Iterator[tuple]:
-    """Consecutive groups (lo, hi, part, ids, payload matrix) of batches sorted by (k, lo, hi)."""
-    held = None
+    """Consecutive groups (k, lo, hi, part, ids, payload matrix) of batches sorted by (k, lo, hi).
+    Payloads of several lengths may come; those of a group that differ in length are groups apart."""
+    held: dict[int, list] = {}
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=dtype).reshape(batch.num_rows, -1))
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        k, lo, hi = cols[:3]
-        cuts = np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-        start = 0
-        for end in cuts.tolist():
-            yield tuple(x[start:end] for x in cols[1:])
-            start = end
-        held = [x[start:] for x in cols]
-    if held is not None:
-        yield tuple(x for x in held[1:])
+        lengths = pc.binary_length(batch.column(5)).to_numpy(zero_copy_only=False)
+        kinds = np.unique(lengths).tolist()
+        for length in kinds:
+            part = batch if len(kinds) == 1 else batch.filter(pa.array(lengths == length))
+            cols = [part.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols.append(np.frombuffer(b"".join(part.column(5).to_pylist()), dtype=dtype).reshape(part.num_rows, -1))
+            if length in held:
+                cols = [np.concatenate(x) for x in zip(held[length], cols)]
+            k, lo, hi = cols[:3]
+            cuts = np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            start = 0
+            for end in cuts.tolist():
+                yield tuple(x[start:end] for x in cols)
+                start = end
+            held[length] = [x[start:] for x in cols]
+    for rest in held.values():
+        yield tuple(rest)
 
 
 def forest(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +89,50 @@ def forest(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(a), np.concatenate(b)
 
 
+def marked(payload: np.ndarray, lo: int, hi: int, part: np.ndarray, compare) -> tuple | None:
+    """(rows, rows, marks) of the two sides of a group; None if it holds no pair."""
+    if len(part) < 2:
+        return None
+    if lo == hi:
+        at = np.arange(len(part))
+        marks = np.triu(compare(payload, payload).astype(np.int8), 1)
+        return at, at, marks
+    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+    if not len(left) or not len(right):
+        return None
+    return left, right, compare(payload[left], payload[right]).astype(np.int8)
+
+
+def spanning(left: np.ndarray, right: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    linked = np.zeros((len(ids), len(ids)), bool)
+    linked[np.ix_(left, right)] = sure
+    return forest(linked | linked.T, ids)
+
+
+def flushed(batches, dtype, compare, of_group, names: list[str]):
+    """Columns that ``of_group(group, left, right, marks)`` makes of each group, in batches."""
+    outs, held = [], 0
+    for group in grouped(batches, dtype):
+        _, lo, hi, part, _, payload = group
+        found = marked(payload, lo[0], hi[0], part, compare)
+        columns = found and of_group(group, *found)
+        if columns and len(columns[0]):
+            outs.append(columns)
+            held += len(columns[0])
+        if held > 50_000:
+            yield pa.record_batch([np.concatenate(x) for x in zip(*outs)], names=names)
+            outs, held = [], 0
+    if held:
+        yield pa.record_batch([np.concatenate(x) for x in zip(*outs)], names=names)
+
+
+def meet(groups: DataFrame) -> DataFrame:
+    return groups.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi")
+
+
 def forest_links(
-    rows: DataFrame,
-    scratch: Scratch,
-    compare: Callable[[np.ndarray, np.ndarray], np.ndarray],
-    dtype: str,
-    block: int = BLOCK,
-    payloads: DataFrame | None = None,
+    rows: DataFrame, scratch: Scratch, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str,
+    block: int = BLOCK, payloads: DataFrame | None = None,
 ) -> DataFrame:
     """(a, b, ask): links that join what ``compare`` links in any bucket, and with ask every pair whose
     link it leaves open. rows and payloads as in ``blocked``.
@@ -98,37 +141,51 @@ def forest_links(
     2 for a pair that it can't decide, else 0.
     """
 
+    def links(group, left, right, marks):
+        ids = group[4]
+        a, b = spanning(left, right, marks == 1, ids)
+        i, j = np.nonzero(marks == 2)
+        i, j = ids[left[i]], ids[right[j]]
+        ask = np.repeat([False, True], [len(a), len(i)])
+        return np.concatenate([a, np.minimum(i, j)]), np.concatenate([b, np.maximum(i, j)]), ask
+
     def run(batches):
-        outs, held = [], 0
-        for lo, hi, part, ids, payload in grouped(batches, dtype):
-            if len(ids) < 2:
-                continue
-            linked = np.zeros((len(ids), len(ids)), bool)
-            if lo[0] == hi[0]:
-                marks = compare(payload, payload)
-                linked = marks == 1
-                np.fill_diagonal(linked, False)
-                i, j = np.nonzero(np.triu(marks == 2, 1))
-            else:
-                left, right = np.flatnonzero(part == lo[0]), np.flatnonzero(part == hi[0])
-                if not len(left) or not len(right):
-                    continue
-                marks = compare(payload[left], payload[right])
-                linked[np.ix_(left, right)] = marks == 1
-                linked[np.ix_(right, left)] = (marks == 1).T
-                i, j = np.nonzero(marks == 2)
-                i, j = left[i], right[j]
-            a, b = forest(linked, ids)
-            low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            if len(a) or len(low):
-                ask = np.repeat([False, True], [len(a), len(low)])
-                outs.append((np.concatenate([a, low]), np.concatenate([b, high]), ask))
-                held += len(ask)
-            if held > 50_000:
-                yield pa.record_batch([np.concatenate(x) for x in zip(*outs)], names=["a", "b", "ask"])
-                outs, held = [], 0
-        if held:
-            yield pa.record_batch([np.concatenate(x) for x in zip(*outs)], names=["a", "b", "ask"])
-
-    groups = blocked(rows, scratch, block, payloads).repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi")
-    return groups.mapInArrow(run, "a long, b long, ask boolean").distinct()
+        return flushed(batches, dtype, compare, links, ["a", "b", "ask"])
+
+    return meet(blocked(rows, scratch, block, payloads)).mapInArrow(run, "a long, b long, ask boolean").distinct()
+
+
+def settled_links(
+    rows: DataFrame, payloads: DataFrame, scratch: Scratch, compare, dtype: str, exact: DataFrame, settle, exact_dtype: str,
+    block: int = BLOCK,
+) -> DataFrame:
+    """(a, b): links that join what is linked in any bucket. Pairs that ``compare`` leaves open (2) are
+    decided by ``settle`` on the ``exact`` payloads (id, payload): their rows, not the pairs, meet once
+    more in the same group, so that however many pairs are open, what travels are rows of groups."""
+
+    def first(group, left, right, marks):
+        k, lo, hi, part, ids, _ = group
+        a, b = spanning(left, right, marks == 1, ids)
+        i, j = np.nonzero(marks == 2)
+        again = np.unique(np.concatenate([left[i], right[j]]))
+        none = np.zeros(len(a), np.int64)
+        return (
+            np.concatenate([none, k[again]]), np.concatenate([none, lo[again]]).astype(np.int32),
+            np.concatenate([none, hi[again]]).astype(np.int32), np.concatenate([none - 1, part[again]]).astype(np.int32),
+            np.concatenate([a, ids[again]]), np.concatenate([b, ids[again]]),
+        )
+
+    def run(batches):
+        return flushed(batches, dtype, compare, first, ["k", "lo", "hi", "part", "a", "b"])
+
+    def last(group, left, right, marks):
+        return spanning(left, right, marks == 1, group[4])
+
+    def run_exact(batches):
+        return flushed(batches, exact_dtype, settle, last, ["a", "b"])
+
+    schema = "k long, lo int, hi int, part int, a long, b long"
+    found = scratch.keep(meet(blocked(rows, scratch, block, payloads)).mapInArrow(run, schema))
+    again = found.where("part >= 0").select("k", "lo", "hi", "part", F.col("a").alias("id")).join(exact, "id")
+    again = meet(again.select("k", "lo", "hi", "part", "id", "payload")).mapInArrow(run_exact, "a long, b long")
+    return scratch.keep(found.where("part < 0").select("a", "b").unionAll(again).distinct())

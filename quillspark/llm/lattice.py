@@ -15,14 +15,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import forest_links, grouped
+from .buckets import blocked, grouped, meet, settled_links
 from .components import connected_components
 from .scratch import Scratch
 from .simhash import GOLDEN, mix
 
-#: Tables for E8 blocks a table, at scale 0.3 and 4 probes: each misses a pair at cosine 0.9 with a
-#: chance under 1/1000 by simulation on 64 dimensions, and nearer pairs far more rarely.
-TABLES = {2: 14, 3: 32, 4: 80}
+def layout(rows: int) -> tuple[int, int]:
+    """(E8 blocks a table, tables) for so many distinct vectors, at scale 0.3 and 4 probes.
+
+    By simulation on 64 dimensions a further block divides the pairs of unrelated vectors that meet in a
+    table by 2**6.3 or more, so their number a vector stays under 16 with a block for each factor of
+    2**6.3 in the rows. A pair at cosine 0.9 meets in one table with a chance of 0.63, 0.31, 0.13, 0.051,
+    0.018 and 0.009 at 2 to 7 blocks. The tables grow by 2.4 a block up to 4 and by 2.8 from there,
+    which keeps the chance of a miss in all under 1/1000; nearer pairs are missed far more rarely.
+    """
+    blocks = max(2, math.ceil((math.log2(max(rows, 1)) - 4) / 6.3))
+    return blocks, math.ceil(14 * 2.4 ** (min(blocks, 4) - 2) * 2.8 ** max(0, blocks - 4))
 
 
 def minimal_vectors() -> np.ndarray:
@@ -108,8 +116,7 @@ def unit_vectors(batches):
         )
 
 
-#: Half of the rounding step of a component in a bucket's payload, and the band of cosines around
-#: the threshold that payloads can't decide.
+#: The rounding step of a component in a bucket's payload.
 STEP = 1 / 32767
 
 
@@ -126,9 +133,10 @@ def embedding_components(
     component's id are kept; a null id takes part, is never a component's id while another is there,
     and is not kept (null). An empty table gives an empty one; other columns are ignored.
 
-    Equal vectors are one node with a count. Buckets compare 16-bit payloads block against block;
-    cosines within rounding of the threshold are checked on the doubles. Links are then counted on
-    the doubles over the pairs of each component, so that a pair counts once however often it met.
+    Equal vectors are one node with a count. Keys travel first, and payloads of 16-bit components only
+    with the rows that meet another, to be compared block against block; rows with a cosine within
+    rounding of the threshold meet again as doubles. Links are then counted on the doubles over the
+    pairs of each component, so that a pair counts once however often it met.
     """
     scratch = Scratch(spark, "lattice")
     source = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
@@ -137,9 +145,7 @@ def embedding_components(
     classes = good.groupBy("dim", "unit").agg(F.min("_id").alias("low"), F.count("*").alias("n"))
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    total = classes.count()
-    blocks = min(4, max(2, math.ceil((math.log2(max(total, 1)) - 4) / 6.3)))
-    tables = TABLES[blocks]
+    blocks, tables = layout(classes.count())
 
     def rows_of(batches):
         for batch in batches:
@@ -159,28 +165,18 @@ def embedding_components(
                     )
 
     cells = classes.select("node", "dim", "unit").mapInArrow(rows_of, "id long, keys array<long>, payload binary")
-    cells = scratch.keep(cells).select(F.explode(F.array_distinct("keys")).alias("k"), "id", "payload")
-    widest = classes.agg(F.max("dim")).first()[0] or 1
-    band = 2 * (STEP / 2) * math.sqrt(widest) + widest * STEP * STEP
+    cells = scratch.keep(cells)
 
     def compare(left, right):
+        dim = left.shape[1]
+        band = STEP * math.sqrt(dim) + dim * STEP * STEP + 1e-5  # what rounding and single precision may add
         cos = left.astype(np.float32) @ right.T.astype(np.float32) * (STEP * STEP)
-        return (cos >= threshold - band - 1e-5) * np.int8(2) - (cos >= threshold + band + 1e-5)
-
-    sure = scratch.keep(forest_links_by_dim(cells, scratch, compare))
-    links = sure.where("not ask").select("a", "b")
-    asked = sure.where("ask").select("a", "b").distinct()
-    units = classes.select("node", "unit")
-    asked = asked.join(units.toDF("a", "ua"), "a").join(units.toDF("b", "ub"), "b")
-
-    def verify(batches):
-        for batch in batches:
-            x = [np.frombuffer(v) for v in batch.column(2).to_pylist()]
-            y = [np.frombuffer(v) for v in batch.column(3).to_pylist()]
-            ok = pa.array([bool(np.dot(p, q) >= threshold) for p, q in zip(x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
+        return (cos >= threshold - band) * np.int8(2) - (cos >= threshold + band)
 
-    links = scratch.keep(links.unionAll(asked.select("a", "b", "ua", "ub").mapInArrow(verify, "a long, b long")))
+    links = settled_links(
+        cells.select(F.explode(F.array_distinct("keys")).alias("k"), "id"), cells.select("id", "payload"), scratch, compare, "int16",
+        classes.select(F.col("node").alias("id"), F.col("unit").alias("payload")), lambda x, y: x @ y.T >= threshold, "float64",
+    )
     linked = scratch.keep(connected_components(links, scratch))
 
     # the component's smallest node has no row of its own in ``linked`` links: add it, then count
@@ -203,23 +199,8 @@ def embedding_components(
     )
 
 
-def forest_links_by_dim(cells: DataFrame, scratch: Scratch, compare) -> DataFrame:
-    """(a, b, ask): a spanning forest of the sure links, and every pair that doubles must decide.
-    Vectors of another dimension have another payload length and so other keys; should keys of two
-    dimensions collide, only payloads of one length are compared."""
-    lengths = [r[0] for r in cells.select(F.length("payload").alias("n")).distinct().orderBy("n").collect()]
-    out = None
-    for n in lengths or [2]:
-        part = cells.where(F.length("payload") == n) if len(lengths) > 1 else cells
-        found = forest_links(part, scratch, compare, "int16")
-        out = found if out is None else out.unionAll(found)
-    return out
-
-
 def link_counts(classes: DataFrame, members: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(node, links): of each member, the rows of other nodes of its component at the threshold."""
-    from .buckets import blocked
-
     rows = members.join(classes.select("node", "n", "unit"), "node")
     rows = rows.select(
         F.col("component").alias("k"), F.col("node").alias("id"),
@@ -229,7 +210,7 @@ def link_counts(classes: DataFrame, members: DataFrame, threshold: float, scratc
 
     def run(batches):
         ids_out, links_out, held = [], [], 0
-        for lo, hi, part, ids, payload in grouped(batches, "uint8"):
+        for _, lo, hi, part, ids, payload in grouped(batches, "uint8"):
             counts = np.array([int(bytes(r[:15])) for r in payload], np.int64)
             x = np.ascontiguousarray(payload[:, 16:]).view(np.float64)
             left, right = np.flatnonzero(part == lo[0]), np.flatnonzero(part == hi[0])
@@ -250,5 +231,4 @@ def link_counts(classes: DataFrame, members: DataFrame, threshold: float, scratc
         if held:
             yield pa.record_batch([np.concatenate(ids_out), np.concatenate(links_out)], names=["node", "links"])
 
-    groups = blocked(rows, scratch).repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi")
-    return groups.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return meet(blocked(rows, scratch)).mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))

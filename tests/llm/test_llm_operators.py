@@ -97,20 +97,72 @@ def test_near_copies_stage_keeps_one(spark):
     assert drop_near_copies(spark, docs.limit(0)).count() == 0
 
 
+def plain_components(x, threshold):
+    """(links of each row, smallest row reachable) by all pairs of rows."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= threshold
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        after = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+        if (after == label).all():
+            break
+        label = after
+    return near.sum(1).tolist(), label.tolist()
+
+
+VECTORS = "vec_id long, embedding array<double>, dim int, unit string"
+
+
 def test_lattice_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 64))
     for i in range(0, 150, 3):  # cosines around the threshold
         x[i + 1] = x[i] + rng.normal(size=64) * rng.uniform(0.1, 0.6)
     x[290:] = x[0]
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    near = u @ u.T >= 0.9
-    np.fill_diagonal(near, False)
-    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(x)] + [(900, None, 0), (901, [], 0), (902, [0.0] * 64, 0), (903, [float("nan")] * 64, 0), (904, [None] * 64, 0)]
-    got = {r["vec_id"]: r for r in lattice.embedding_components(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim int")).collect()}
-    assert [got[i]["n_links"] for i in range(300)] == near.sum(1).tolist()
+    links, components = plain_components(x, 0.9)
+    rows = [(i, [float(a) for a in v], 0, "x") for i, v in enumerate(x)]
+    rows += [(900, None, 0, "x"), (901, [], 0, "x"), (902, [0.0] * 64, 0, "x"), (903, [float("nan")] * 64, 0, "x"), (904, [None] * 64, 0, "x")]
+    got = {r["vec_id"]: r for r in lattice.embedding_components(spark, spark.createDataFrame(rows, VECTORS)).collect()}
+    assert [got[i]["n_links"] for i in range(300)] == links
+    assert [got[i]["component_id"] for i in range(300)] == components
+    assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in range(300))
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(900, 905))
-    assert got[295]["component_id"] == 0 and not got[295]["kept"]
+
+
+def test_lattice_of_two_dimensions_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    rows, place = [], 0
+    for dim in (16, 40):
+        x = rng.normal(size=(60, dim))
+        for i in range(0, 60, 4):
+            x[i + 1] = x[i] + rng.normal(size=dim) * 0.2
+        links, components = plain_components(x, 0.9)
+        rows += [(place + i, [float(a) for a in v], n, f"{place + c}") for i, (v, n, c) in enumerate(zip(x, links, components))]
+        place += 60
+    frame = spark.createDataFrame(rows, VECTORS)
+    got = {r["vec_id"]: (r["n_links"], str(r["component_id"])) for r in lattice.embedding_components(spark, frame).collect()}
+    assert got == {i: (n, c) for i, _, n, c in rows} and any(n for n, _ in got.values())
+    assert lattice.embedding_components(spark, frame.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, rows[0][1], 0, ""), (7, rows[0][1], 0, ""), (7, rows[0][1], 0, ""), (None, None, 0, "")], VECTORS)
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), str(r["kept"])) for r in lattice.embedding_components(spark, odd).collect())
+    assert got == [("7", 2, "7", "True"), ("7", 2, "7", "True"), ("None", 0, "None", "None"), ("None", 2, "7", "None")]
+
+
+def test_lattice_at_the_threshold_sends_rows_and_no_pairs(spark):
+    """Vectors with one cosine to each other, by 16 bits too close to the threshold to tell."""
+    n = 60
+    for cosine, together in ((0.90004, True), (0.89996, False)):
+        gram = np.full((n, n), cosine) + np.eye(n) * (1 - cosine)
+        x = np.linalg.cholesky(gram)
+        rows = [(i, [float(a) for a in v] + [0.0] * 4, 0, "x") for i, v in enumerate(x)]
+        got = lattice.embedding_components(spark, spark.createDataFrame(rows, VECTORS)).collect()
+        assert [(r["n_links"], r["component_id"]) for r in sorted(got)] == [(n - 1, 0) if together else (0, i) for i in range(n)]
+
+
+def test_tables_follow_the_rows_without_a_cap():
+    assert [lattice.layout(n) for n in (0, 10**4, 10**6, 10**8)] == [(2, 14), (2, 14), (3, 34), (4, 81)]
+    assert lattice.layout(10**10) == (5, 226) and lattice.layout(10**12)[0] == 6
 
 
 def test_packing_round_trip(spark, docs, empty):
