@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ NOISE = frozenset(
     "menu nav navbar navigation sidebar side aside widget widgets footer foot header masthead topbar toolbar comment "
     "comments commentlist disqus respond reply replies discussion reviews pager pagination paging tags toc skip".split()
 )
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 
@@ -57,14 +58,44 @@ class Node:
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def is_noise(tag: str, rest: str, parent: Node) -> bool:
+class Open:
+    """The elements open at a place of the page, from the root down, and where those of each tag are."""
+
+    def __init__(self, root: Node) -> None:
+        self.line = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.line))
+        self.line.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes all from ``depth`` on."""
+        while len(self.line) > depth:
+            self.places[self.line.pop().tag].pop()
+
+    def deepest(self, tag: str) -> int:
+        """Depth of the last open element of a tag; 0: none."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def first_below(self, tags: frozenset[str], limits: frozenset[str]) -> int:
+        """Depth of the first open element of ``tags`` below the last one of ``limits``; 0: none."""
+        limit = max(map(self.deepest, limits))
+        best = 0
+        for tag in tags:
+            found = self.places.get(tag)
+            if found and found[-1] > limit:
+                at = found[bisect_right(found, limit)]
+                best = min(best or at, at)
+        return best
+
+
+def is_noise(tag: str, rest: str, above: Open) -> bool:
     if tag in DROPPED:
         return True
-    inside = parent
     if tag == "header":  # of the page, not of the article
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        return inside is None
+        return not above.deepest("article") and not above.deepest("main")
     if not rest or "=" not in rest and "hidden" not in rest or tag in ("html", "body", "article", "main"):
         return tag == "article" and "comment" in rest.lower()
     for m in ATTR.finditer(rest):
@@ -84,8 +115,10 @@ def is_noise(tag: str, rest: str, parent: Node) -> bool:
 
 
 def parse(page: str) -> Node:
-    """A forgiving tree of a page: unknown, unclosed and stray tags are taken as browsers mostly do."""
+    """A forgiving tree of a page: unknown, unclosed and stray tags are taken as browsers mostly do.
+    Each tag is looked up among the open ones by its name, so time follows the page's length."""
     root = node = Node("#root", None)
+    above = Open(root)
     at, end = 0, len(page)
     while at < end:
         cut = page.find("<", at)
@@ -117,28 +150,22 @@ def parse(page: str) -> Node:
         at = m.end()
         tag, rest = m[2].lower(), m[3]
         if m[1]:
-            inside = node
-            while inside is not None and inside.tag != tag:
-                inside = inside.parent
-            if inside is not None and inside.parent is not None:
-                node = inside.parent
+            if depth := above.deepest(tag):
+                above.cut(depth)
+                node = above.line[-1]
             continue
         if tag in RAW:
             stop = re.compile(f"</{tag}", re.I).search(page, at)
             at = end if stop is None else page.find(">", stop.end()) + 1 or end
             continue
         if tag in CLOSES:
-            closed, limit = CLOSES[tag]
-            inside, last = node, None
-            while inside is not None and inside.tag not in limit:
-                if inside.tag in closed:
-                    last = inside
-                inside = inside.parent
-            if last is not None and last.parent is not None:
-                node = last.parent
-        child = Node(tag, node, is_noise(tag, rest, node))
+            if depth := above.first_below(*CLOSES[tag]):
+                above.cut(depth)
+                node = above.line[-1]
+        child = Node(tag, node, is_noise(tag, rest, above))
         node.items.append(child)
         if tag not in VOID and not rest.endswith("/"):
+            above.push(child)
             node = child
     return root
 
