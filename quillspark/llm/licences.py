@@ -22,20 +22,45 @@ SPELLINGS = [
 ]
 
 
+#: A line that states a copyright and no more of a licence: a sign or a year belongs to it, since a line
+#: of a wrapped licence may begin with the word.
+NOTICE = r"(?m)^[ \t#*/;-]*(?:\(c\)|©|copyright[^\n]*(?:\(c\)|©|[12][0-9]{3}|<year>|\[yyyy\]))[^\n]*$"
+RESERVED = r"(?m)^[ \t#*/;-]*all rights reserved[ \t.]*$"
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, copyright lines out, punctuation to spaces, one spelling, single spaces, trimmed.
+    """Lower case, copyright lines out, punctuation to spaces, single spaces, trimmed.
 
-    A copyright line begins with "copyright", "(c)" or a copyright sign, or says "all rights reserved"
-    and no more. Null stays null. The rarer steps run only on texts that hold what they look for.
+    A copyright line begins with "(c)" or a copyright sign, or with "copyright" and holds one of them or a
+    year, or says "all rights reserved" and no more. Null stays null. The rarer steps run only on texts
+    that hold what they look for. Lines are canonical one by one: a text's form is that of its
+    lines, joined by spaces.
     """
     out = F.lower(text)
-    lines = F.regexp_replace(out, r"(?m)^[ \t#*/;-]*(?:copyright|\(c\)|©)[^\n]*$", " ")
-    lines = F.regexp_replace(lines, r"(?m)^[ \t#*/;-]*all rights reserved[ \t.]*$", " ")
+    lines = F.regexp_replace(F.regexp_replace(out, NOTICE, " "), RESERVED, " ")
     hints = [out.contains(x) for x in ("copyright", "(c)", "©", "all rights reserved")]
     out = F.when(hints[0] | hints[1] | hints[2] | hints[3], lines).otherwise(out)
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
+def units(text: Column) -> Column:
+    """array<struct(unit, c)>: canonical forms of a text, of its paragraphs between blank lines and of
+    its lines, from one pass over the lines."""
+    unit = lambda name, forms: F.transform(forms, lambda c: F.struct(F.lit(name).alias("unit"), c.alias("c")))
+
+    def of(lines: Column) -> Column:
+        own = F.transform(lines, lambda x: x["c"])
+        # a newline stands for a blank line; canonical text has none
+        marks = F.transform(lines, lambda x: F.when(x["blank"], "\n").otherwise(x["c"]))
+        paragraphs = F.split(F.array_join(F.filter(marks, lambda x: x != ""), " "), r" *\n[ \n]*")
+        document = F.array(F.array_join(F.filter(own, lambda x: x != ""), " "))
+        return F.concat(unit("document", document), unit("paragraph", F.transform(paragraphs, F.trim)), unit("line", own))
+
+    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
+    lines = F.transform(lines, lambda x: F.struct(canonical(x).alias("c"), x.rlike(r"^[ \t]*\z").alias("blank")))
+    return F.element_at(F.transform(F.array(lines), of), 1)  # bound, so that it is made once
+
+
 def one_spelling(text: Column) -> Column:
     """Canonical text with one of each pair of equivalent spellings."""
     out = text
@@ -49,20 +74,19 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(licences: DataFrame, id_col: str = "licence_id", text_col: str = "text") -> DataFrame:
-    """(licence_id, digest), one row a digest: the smallest id of those with equal canonical texts.
-    Licences without any letter or digit are left out: they would match every blank line."""
-    rows = licences.where(F.col(id_col).isNotNull() & (canonical(F.col(text_col)) != ""))
-    return rows.groupBy(digest(F.col(text_col)).alias("digest")).agg(F.min(id_col).alias("licence_id"))
+    """(licence_id, digest, n), one row a digest: the smallest id of those with equal canonical texts, and
+    the text's canonical length. Licences that are null, have no id or hold no letter or digit are left
+    out: they would match every blank line."""
+    said = canonical(F.col(text_col))
+    rows = licences.where(F.col(id_col).isNotNull() & (said != "")).select(F.col(id_col).alias("licence_id"), one_spelling(said).alias("c"))
+    return rows.groupBy(F.md5(F.col("c").cast("binary")).alias("digest")).agg(F.min("licence_id").alias("licence_id"), F.min(F.length("c")).cast("long").alias("n"))
 
 
-def scan(
-    docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    licence_id: str = "licence_id", licence_text: str = "text",
-) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, unit, licence_id, n): the licences whose entire canonical text is that of a whole
     document (unit "document"), of one of its paragraphs between blank lines ("paragraph") or of one of
     its lines ("line"), and how often. A text that is a line, a paragraph and a document at once counts
-    as each.
+    as each. known: (licence_id, digest, n) as from ``known_digests``, n the canonical length.
 
     Null and blank texts have no licence, and documents without one no row. Rows that repeat an id add
     up; a null id is a group of its own. An empty table on either side gives an empty result; other
@@ -70,26 +94,18 @@ def scan(
     canonical length can be that of a known licence; equal digests of a document are counted before
     the shuffle.
     """
-    known = known_digests(licences, licence_id, licence_text)
-    longest = licences.agg(F.max(F.length(canonical(F.col(licence_text))))).first()[0] or 0  # doubled below: no spelling halves
-    # a text without a spelling to change has the unified length; one with any passes by itself
-    said = canonical(F.col(licence_text))
-    plain = licences.select(F.explode(F.array(F.length(said), F.length(one_spelling(said)))).alias("n")).where("n > 0")
-    sizes = [r[0] for r in plain.distinct().limit(1001).collect()]
+    sizes = [r[0] for r in known.select("n").distinct().orderBy(F.desc("n")).limit(1001).collect()]
+    longest = sizes[0] if sizes else 0
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    text = F.regexp_replace("_text", r"\r\n?", "\n")
-    unit = lambda name, pieces: F.transform(pieces, lambda p: F.struct(F.lit(name).alias("unit"), canonical(p).alias("c")))
-    units = F.concat(
-        unit("document", F.array(text)), unit("paragraph", F.split(text, r"\n[ \t]*\n\s*")), unit("line", F.split(text, "\n"))
-    )
-    found = rows.select("_id", F.explode(units).alias("u")).select("_id", "u.unit", "u.c").where("c <> ''")
+    found = rows.select("_id", F.explode(units(F.col("_text"))).alias("u")).select("_id", "u.unit", "u.c").where("c <> ''")
+    # a text without a spelling to change has the known length; one with any passes: no spelling halves it
     same = F.col("c").rlike(r"\b(?:" + "|".join(x for x, _ in SPELLINGS) + r")\b") & (F.length("c") <= 2 * longest)
     if len(sizes) <= 1000:  # a list of lengths as a filter; above, their largest does
         found = found.where(F.length("c").isin(sizes) | same)
     else:
         found = found.where((F.length("c") <= longest) | same)
     found = found.groupBy("_id", "unit", F.md5(one_spelling(F.col("c")).cast("binary")).alias("digest")).agg(F.count("*").alias("n"))
-    found = found.join(known, "digest").groupBy("_id", "unit", "licence_id").agg(F.sum("n").alias("n"))
+    found = found.join(known.select("digest", "licence_id"), "digest").groupBy("_id", "unit", "licence_id").agg(F.sum("n").alias("n"))
     return found.select(F.col("_id").alias(id_col), "unit", "licence_id", "n")
 
 
@@ -114,5 +130,30 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 ]
 
 
+#: Whole licences as their publishers spread them, by canonical digest and length.
+WHOLE = [
+    ("0BSD", "fa9583358e39e30cc008a801c940fa8c", 590),
+    ("Apache-2.0-text", "431e27a103dd13fdc7f79ee287af3974", 9822),
+    ("Artistic-1.0-Perl", "a8b0fb0c6e43a3b36bdc159e59dbfd1e", 5833),
+    ("BSD-2-Clause-text", "b0538ec125cafeeb58bf11083985630b", 1197),
+    ("BSD-3-Clause-UC", "ddcd765ed0a3236bf96e15f76c36983a", 1361),
+    ("BSD-3-Clause-text", "dfd9463b7bcad50bb1270be3d6bf0c2a", 1386),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48", 6692),
+    ("GFDL-1.2", "7a0a547ecac612b526676be523eacf80", 19583),
+    ("GFDL-1.3", "7132e8380bc59358f27c3129a2136bf1", 22018),
+    ("GPL-1.0", "9a6d41337fa0145d93e534071bfae3f8", 11766),
+    ("GPL-2.0", "8e4925da11f68cc625b11b0a628fdcc5", 17118),
+    ("GPL-3.0-text", "b79359b5e391fd47146ff34ae3db7ec0", 33406),
+    ("LGPL-2.0", "74cf7fcef3b29a39165a795b2cad3a3a", 24130),
+    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4", 25217),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d", 7104),
+    ("MPL-1.1", "9110e6963d47ef6ab1cb780b552357ad", 22340),
+    ("MPL-2.0-text", "2a497be80529e6bc80816fd725e71003", 14272),
+]
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "licence_id string, text string")
+    """(licence_id, digest, n) of the notices, short texts and whole licences above."""
+    short = known_digests(spark.createDataFrame(KNOWN, "licence_id string, text string"))
+    whole = spark.createDataFrame(WHOLE, "licence_id string, digest string, n long")
+    return short.unionByName(whole).groupBy("digest").agg(F.min("licence_id").alias("licence_id"), F.min("n").alias("n"))

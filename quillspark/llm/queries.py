@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .html_extract import extract_pages
 from .lattice import embedding_components
-from .licences import KNOWN, SPELLINGS, known_licences, scan
+from .licences import KNOWN, NOTICE, RESERVED, SPELLINGS, WHOLE, known_licences, scan
 from .mixing import mix_sources
 from .packing import pack
 from .sharding import shard
@@ -200,8 +200,8 @@ FROM captures LEFT JOIN judged USING (page_id)
 
 def _canonical(text: str) -> str:
     out = f"lower({text})"
-    out = f"regexp_replace({out}, '(?m)^[ \\t#*/;-]*(?:copyright|\\(c\\)|©)[^\\n]*$', ' ', 'g')"
-    out = f"regexp_replace({out}, '(?m)^[ \\t#*/;-]*all rights reserved[ \\t.]*$', ' ', 'g')"
+    out = f"regexp_replace({out}, '{NOTICE}', ' ', 'g')"
+    out = f"regexp_replace({out}, '{RESERVED}', ' ', 'g')"
     out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
     for said, form in SPELLINGS:
         out = f"regexp_replace({out}, '\\b{said}\\b', '{form}', 'g')"
@@ -209,8 +209,10 @@ def _canonical(text: str) -> str:
 
 
 _known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+_whole = ", ".join(f"('{d}', '{i}')" for i, d, _ in WHOLE)
 OP10_SQL = f"""
-WITH known AS (SELECT md5({_canonical('t')}) AS digest, min(i) AS licence_id FROM (VALUES {_known}) k(i, t) GROUP BY 1),
+WITH known AS (SELECT digest, min(i) AS licence_id FROM (
+  SELECT md5({_canonical('t')}) AS digest, i FROM (VALUES {_known}) k(i, t) UNION ALL SELECT * FROM (VALUES {_whole}) w(digest, i)) GROUP BY 1),
 texts AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE text IS NOT NULL),
 units AS (
   SELECT doc_id, 'document' AS unit, t FROM texts

@@ -334,11 +334,3 @@ def test_shards_of_the_query_keep_the_law(spark):
     assert sizes.max() - sizes.min() <= largest + 2 * 0.002 * sizes.mean() + 1
     assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
     assert got.groupby("text_crc32")["shard"].nunique().max() == 1
-
-
-def test_licences(spark, empty):
-    text = dict(licences.KNOWN)["MIT-text"]
-    rows = [(1, "Copyright 2020 Me\n" + text.upper().replace(",", " ,"), 0, "x"), (2, "x\nlicenced  under CC-BY NC 4.0\ny", 0, "x"), (2, "RELEASED under the MIT licence", 0, "x"), (None, "Released under the MIT License.", 0, "x"), (3, None, 0, "x"), (4, "", 0, "x")]
-    got = licences.scan(spark.createDataFrame(rows, SCHEMA), licences.known_licences(spark)).collect()
-    assert {(r["doc_id"], r["unit"], r["licence_id"]) for r in got} == {(1, "document", "MIT-text"), (2, "line", "CC-BY-NC-4.0"), *[(i, u, "MIT") for i in (2, None) for u in ("document", "paragraph", "line")]}
-    assert licences.scan(empty, licences.known_licences(spark)).count() == 0
