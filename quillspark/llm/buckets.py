@@ -37,9 +37,32 @@ def blocked(rows: DataFrame, scratch: Scratch, block: int = BLOCK, payloads: Dat
     )
 
 
-def grouped(batches: Iterator[pa.RecordBatch], dtype) -> Iterator[tuple]:
+#: Groups of so few rows are looked through together, pair by pair, before any is taken up by itself.
+FEW = 16
+
+
+def eventful(lo: np.ndarray, hi: np.ndarray, payload: np.ndarray, cuts: list[int], screen) -> np.ndarray:
+    """Of the groups that end at ``cuts``: whether one has more than FEW rows or two blocks, or a pair that
+    ``screen`` (rows, rows) passes."""
+    ends = np.array(cuts)
+    sizes = np.diff(ends, prepend=0)
+    out = (sizes > FEW) | (lo[ends - 1] != hi[ends - 1])
+    group = np.repeat(np.arange(len(ends)), sizes)
+    for apart in range(1, FEW):
+        i = np.flatnonzero(group[apart:] == group[:-apart])
+        i = i[~out[group[i]]]
+        if not len(i):
+            break
+        for at in range(0, len(i), 65_536):
+            j = i[at : at + 65_536]
+            out[group[j[screen(payload[j], payload[j + apart])]]] = True
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], dtype, screen=None) -> Iterator[tuple]:
     """Consecutive groups (k, lo, hi, part, ids, payload matrix) of batches sorted by (k, lo, hi).
-    Payloads of several lengths may come; those of a group that differ in length are groups apart."""
+    Payloads of several lengths may come; those of a group that differ in length are groups apart.
+    With a screen, small groups without a pair that passes it are left out."""
     held: dict[int, list] = {}
     for batch in batches:
         if not batch.num_rows:
@@ -53,10 +76,12 @@ def grouped(batches: Iterator[pa.RecordBatch], dtype) -> Iterator[tuple]:
             if length in held:
                 cols = [np.concatenate(x) for x in zip(held[length], cols)]
             k, lo, hi = cols[:3]
-            cuts = np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            cuts = (np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist()
+            wanted = eventful(lo, hi, cols[5], cuts, screen).tolist() if screen and cuts else [True] * len(cuts)
             start = 0
-            for end in cuts.tolist():
-                yield tuple(x[start:end] for x in cols)
+            for end, want in zip(cuts, wanted):
+                if want:
+                    yield tuple(x[start:end] for x in cols)
                 start = end
             held[length] = [x[start:] for x in cols]
     for rest in held.values():
@@ -109,13 +134,13 @@ def spanning(left: np.ndarray, right: np.ndarray, sure: np.ndarray, ids: np.ndar
     return forest(linked | linked.T, ids)
 
 
-def flushed(batches, dtype, compare, of_group, names: list[str]):
+def flushed(batches, dtype, compare, of_group, names: list[str], screen=None):
     """Columns that ``of_group(group, left, right, marks)`` makes of each group, in batches."""
     outs, held = [], 0
-    for group in grouped(batches, dtype):
+    for group in grouped(batches, dtype, screen):
         _, lo, hi, part, _, payload = group
         found = marked(payload, lo[0], hi[0], part, compare)
-        columns = found and of_group(group, *found)
+        columns = of_group(group, *found) if found and found[2].any() else None
         if columns and len(columns[0]):
             outs.append(columns)
             held += len(columns[0])
@@ -132,13 +157,14 @@ def meet(groups: DataFrame) -> DataFrame:
 
 def forest_links(
     rows: DataFrame, scratch: Scratch, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str,
-    block: int = BLOCK, payloads: DataFrame | None = None,
+    block: int = BLOCK, payloads: DataFrame | None = None, screen=None,
 ) -> DataFrame:
     """(a, b, ask): links that join what ``compare`` links in any bucket, and with ask every pair whose
     link it leaves open. rows and payloads as in ``blocked``.
 
     compare(left payload, right payload) returns a matrix and must be symmetric: 1 or True for a link,
-    2 for a pair that it can't decide, else 0.
+    2 for a pair that it can't decide, else 0. screen(rows, rows) may tell of rows set against rows, one
+    by one, which pairs may be of account; it must pass all of them.
     """
 
     def links(group, left, right, marks):
@@ -150,14 +176,14 @@ def forest_links(
         return np.concatenate([a, np.minimum(i, j)]), np.concatenate([b, np.maximum(i, j)]), ask
 
     def run(batches):
-        return flushed(batches, dtype, compare, links, ["a", "b", "ask"])
+        return flushed(batches, dtype, compare, links, ["a", "b", "ask"], screen)
 
     return meet(blocked(rows, scratch, block, payloads)).mapInArrow(run, "a long, b long, ask boolean").distinct()
 
 
 def settled_links(
     rows: DataFrame, payloads: DataFrame, scratch: Scratch, compare, dtype: str, exact: DataFrame, settle, exact_dtype: str,
-    block: int = BLOCK,
+    block: int = BLOCK, screen=None,
 ) -> DataFrame:
     """(a, b): links that join what is linked in any bucket. Pairs that ``compare`` leaves open (2) are
     decided by ``settle`` on the ``exact`` payloads (id, payload): their rows, not the pairs, meet once
@@ -176,7 +202,7 @@ def settled_links(
         )
 
     def run(batches):
-        return flushed(batches, dtype, compare, first, ["k", "lo", "hi", "part", "a", "b"])
+        return flushed(batches, dtype, compare, first, ["k", "lo", "hi", "part", "a", "b"], screen)
 
     def last(group, left, right, marks):
         return spanning(left, right, marks == 1, group[4])

@@ -167,15 +167,21 @@ def embedding_components(
     cells = classes.select("node", "dim", "unit").mapInArrow(rows_of, "id long, keys array<long>, payload binary")
     cells = scratch.keep(cells)
 
+    def band_of(dim):
+        return STEP * math.sqrt(dim) + dim * STEP * STEP + 1e-5  # what rounding and single precision may add
+
+    def screen(left, right):
+        cos = np.einsum("ij,ij->i", left.astype(np.float32), right.astype(np.float32)) * (STEP * STEP)
+        return cos >= threshold - band_of(left.shape[1])
+
     def compare(left, right):
-        dim = left.shape[1]
-        band = STEP * math.sqrt(dim) + dim * STEP * STEP + 1e-5  # what rounding and single precision may add
+        band = band_of(left.shape[1])
         cos = left.astype(np.float32) @ right.T.astype(np.float32) * (STEP * STEP)
         return (cos >= threshold - band) * np.int8(2) - (cos >= threshold + band)
 
     links = settled_links(
         cells.select(F.explode(F.array_distinct("keys")).alias("k"), "id"), cells.select("id", "payload"), scratch, compare, "int16",
-        classes.select(F.col("node").alias("id"), F.col("unit").alias("payload")), lambda x, y: x @ y.T >= threshold, "float64",
+        classes.select(F.col("node").alias("id"), F.col("unit").alias("payload")), lambda x, y: x @ y.T >= threshold, "float64", screen=screen,
     )
     linked = scratch.keep(connected_components(links, scratch))
 

@@ -167,14 +167,15 @@ def segment_masks(ring: Ring) -> list[list[tuple[int, np.uint64]]]:
 
 
 def comparer(ring: Ring):
-    """Links of two sets of fingerprints. A pair stays a candidate if from some segment on all chains of
-    up to ``seed`` + 2 segments keep to their budgets; only candidates get the full Hamming check."""
+    """(links of two sets of fingerprints as a matrix, candidates among rows set against rows). A pair stays a
+    candidate if from some segment on all chains of up to ``seed`` + 2 segments keep to their budgets;
+    only candidates get the full Hamming check."""
     masks = segment_masks(ring)
     chains = min(ring.segments, ring.seed + 2)
     budgets = [length * ring.distance // ring.segments for length in range(1, chains + 1)]
 
-    def viable(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        other = [left[:, w, None] ^ right[None, :, w] for w in range(left.shape[1])]
+    def pairwise(differing_word, words: int) -> np.ndarray:
+        other = [differing_word(w) for w in range(words)]
         differing = [sum(np.bitwise_count(other[w] & mask) for w, mask in parts) for parts in masks]
         out = np.zeros(other[0].shape, bool)
         for start in range(ring.segments):
@@ -187,7 +188,7 @@ def comparer(ring: Ring):
 
     def compare(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         left, right = (np.ascontiguousarray(x).view(np.uint64) for x in (left, right))
-        near = viable(left, right)
+        near = pairwise(lambda w: left[:, w, None] ^ right[None, :, w], left.shape[1])
         i, j = np.nonzero(near)
         if len(i):
             bits = np.zeros(len(i), np.int64)
@@ -196,14 +197,19 @@ def comparer(ring: Ring):
             near[i, j] = bits <= ring.distance
         return near
 
-    return compare
+    def screen(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        left, right = (np.ascontiguousarray(x).view(np.uint64) for x in (left, right))
+        return pairwise(lambda w: left[:, w] ^ right[:, w], left.shape[1])
+
+    return compare, screen
 
 
 def near_duplicates(spark: SparkSession, classes: DataFrame, ring: Ring, scratch: Scratch) -> DataFrame:
     """(node, fp), one row a distinct fingerprint, to (node, component) of nodes that have a link."""
+    compare, screen = comparer(ring)
     links = forest_links(
-        candidate_rows(classes, ring), scratch, comparer(ring), "uint8",
-        payloads=classes.select(F.col("node").alias("id"), F.col("fp").alias("payload")),
+        candidate_rows(classes, ring), scratch, compare, "uint8",
+        payloads=classes.select(F.col("node").alias("id"), F.col("fp").alias("payload")), screen=screen,
     )
     return connected_components(links, scratch)
 

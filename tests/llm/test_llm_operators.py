@@ -80,7 +80,8 @@ def test_pigeonring_compares_blocks_of_any_size_alike():
             for b in rng.choice(ring.bits, rng.integers(0, 6), replace=False):
                 row[b // 8] ^= 128 >> b % 8
         bits = (np.unpackbits(x, axis=1)[:, None, :] != np.unpackbits(y, axis=1)[None, :, :]).sum(2)
-        compare = simhash.comparer(ring)
+        compare, screen = simhash.comparer(ring)
+        assert screen(x[:280], y)[np.diag(bits[:280]) <= ring.distance].all()
         assert np.array_equal(compare(x, y), bits <= ring.distance)
         assert np.array_equal(compare(x[:5], y[:7]), bits[:5, :7] <= ring.distance)
         assert 0 < (bits <= ring.distance).sum() < (bits <= 5).sum()
