@@ -291,6 +291,34 @@ def test_nearest_recall_and_odd_rows(spark):
     assert ann.nearest(spark, frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_index_grows_by_levels_for_each_dimension(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 16)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 40)
+    monkeypatch.setattr(ann, "PART_ROWS", 500)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 5)
+    rng = np.random.default_rng(16)
+    rows, plain = [], {}
+    for dim, start, n in ((12, 0, 2500), (5, 5000, 700)):
+        centres = rng.normal(size=(20, dim)) * 3
+        x = centres[rng.integers(0, 20, n)] + rng.normal(size=(n, dim)) * 0.3
+        x[n // 2 : n // 2 + 60] = x[0]  # no tree can cut these
+        rows += [(start + i, [float(a) for a in v], 1, "p") for i, v in enumerate(x)]
+        for q in range(0, n, 25):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            plain[start + q] = [start + int(i) for i in np.lexsort((np.arange(n), d))[:10]]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, k long, payload string")
+    seen = []
+    grow = ann.grow
+    monkeypatch.setattr(ann, "grow", lambda *a: seen.append(a[-1]) or grow(*a))
+    got = {}
+    for r in ann.nearest(spark, frame, frame.where("vec_id % 25 = 0"), sample=200).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert sorted(got) == sorted(plain) and all(sorted(g) == list(range(1, 11)) for g in got.values()) and len(seen) >= 2
+    assert sum(len(set(g.values()) & set(plain[q])) for q, g in got.items()) / (10 * len(plain)) >= 0.9
+    assert [got[0][i] for i in range(1, 11)] == plain[0]
+
+
 def test_lists_over_time(spark):
     changes = [("spam", "add", "domain", "bad.com", "2024-02-01"), ("spam", "remove", "domain", "bad.com", "2024-03-01"), ("spam", "add", "prefix", "ok.com/x", "2024-01-01"), ("allow", "add", "host", "fine.bad.com", "2024-01-01"), ("spam", "add", "host", None, "2024-01-01")]
     lists = spark.createDataFrame(changes, "list string, action string, kind string, entry string, at string").withColumn("at", F.to_date("at"))
