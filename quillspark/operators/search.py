@@ -1,123 +1,204 @@
-"""Keyword search: column-weighted BM25 over chunks, as one scan with array functions.
+"""Keyword search: column-weighted BM25 over a persisted inverted index.
 
-Each chunk yields its token count and its weighted hits per phrase; corpus statistics are one small
-aggregation of these narrow rows, so the text is tokenized once and nothing but the top rows moves.
+The index is built once, with one tokenization of each chunk. A query reads the postings of its terms
+alone, which are written in the order of terms so that Parquet's row-group statistics leave out the
+rest; each posting carries its chunk's length, so that no join is needed to score it.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import term_variants, tokens
+from ..functions.text import BASES, MARKED, term_variants, tokens
 
 WEIGHTS = {"content": 1.0, "file_name": 2.0, "keywords": 1.0, "caption": 5.0}
 K1, B = 1.2, 0.75
 
 
-def phrase_tokens(spark, phrase: str) -> list[str]:
-    """A literal's tokens by the same expression as the columns'."""
-    import re
-    import unicodedata
-
-    from ..functions.text import BASES, MARKED
-
+def phrase_tokens(phrase: str) -> list[str]:
+    """A literal's tokens by the same rule as the columns'."""
     low = unicodedata.normalize("NFC", phrase).lower().translate(str.maketrans(MARKED, BASES))
     return re.findall(r"[^\W_]+", low)
 
 
-def instances(array: Column, phrase: list[str], exact: bool) -> Column:
-    """Count of a phrase in a token array; its last token is a prefix unless ``exact``."""
-    if not phrase:
-        return F.lit(0)
-    hit = (lambda t, p: t == p) if exact else (lambda t, p: t.startswith(p))
-    if len(phrase) == 1:
-        return F.size(F.filter(array, lambda t: hit(t, phrase[0])))
-    places = F.when(F.size(array) >= len(phrase), F.sequence(F.lit(1), F.size(array) - len(phrase) + 1)).otherwise(F.array().cast("array<int>"))
+def add(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, parts)
+
+
+@dataclass(frozen=True)
+class Index:
+    """The tables of a search index below one folder.
+
+    postings: (term, field, seq, type, n_tokens, places), a row per term, field and chunk: the chunk's
+    tokens in all fields, the term's places in the field. lengths: (seq, type, n_tokens). stats: one row
+    (n, total). chunks: the rows as they came. tokens: the chunks' tokens, from which postings are made.
+    """
+
+    spark: SparkSession
+    root: str
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+
+def tokenized(chunks: DataFrame, columns: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
+    """(seq, type, n_tokens, fields array<struct<field, tokens>>): the one pass over the text."""
+    bound = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias("tokens")) for c in columns])
+    n = F.aggregate(F.col("fields"), F.lit(0).cast("long"), lambda s, x: s + F.size(x["tokens"]))
+    return chunks.select("seq", "type", bound.alias("fields")).withColumn("n_tokens", n)
+
 
-    def here(i: Column) -> Column:
-        same = [F.get(array, i - 1 + j) == w for j, w in enumerate(phrase[:-1])]
-        return reduce(lambda a, b: a & b, [*same, hit(F.get(array, i - 2 + len(phrase)), phrase[-1])])
+def postings(rows: DataFrame) -> DataFrame:
+    """Tokenized rows as (term, field, seq, type, n_tokens, places), by ranges of term and chunk, sorted.
 
-    return F.size(F.filter(places, here))
+    One shuffle: what is dealt by ranges is grouped where it lies. Ranges go into the chunks of a term,
+    so a term that every chunk has is spread like all others."""
+    flat = rows.select("seq", "type", "n_tokens", F.explode("fields").alias("x"))
+    flat = flat.select("seq", "type", "n_tokens", "x.field", F.posexplode("x.tokens").alias("place", "term"))
+    flat = flat.repartitionByRange("term", "field", "seq")
+    found = flat.groupBy("term", "field", "seq", "type", "n_tokens").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return found.sortWithinPartitions("term", "field", "seq")
+
+
+def build_index(chunks: DataFrame, root: str, columns: tuple[str, ...] = tuple(WEIGHTS)) -> Index:
+    """Writes the index of chunks (seq, type, the weighted columns, and others to keep) below ``root``.
+
+    Chunks are tokenized once. Null columns have no tokens; an empty table gives an empty index; rows
+    that repeat a seq are one chunk to the postings.
+    """
+    spark = chunks.sparkSession
+    chunks.write.parquet(f"{root}/chunks")
+    # the text is read back from the files: a costly source is not made twice
+    rows = tokenized(spark.read.parquet(f"{root}/chunks"), columns)
+    rows.write.parquet(f"{root}/tokens")
+    rows = spark.read.parquet(f"{root}/tokens")
+    rows.select("seq", "type", "n_tokens").write.parquet(f"{root}/lengths")
+    lengths = spark.read.parquet(f"{root}/lengths")
+    lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("total")).coalesce(1).write.parquet(f"{root}/stats")
+    postings(rows).write.option("parquet.block.size", 8 << 20).parquet(f"{root}/postings")
+    return Index(spark, root)
 
 
 def bm25(
-    chunks: DataFrame, query: str, *, exact_word: bool = False, require_all: bool = True, fallback_to_any: bool = True,
+    index: Index, query: str, *, exact_word: bool = False, require_all: bool = True, fallback_to_any: bool = True,
     case_sensitive: bool = False, types: list[str] | None = None, limit: int | None = 50, weights: dict[str, float] = WEIGHTS,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(seq, score, keep...) of chunks that match, best (lowest) first, ties by seq.
 
-    chunks: seq, type and the weighted columns. A term is a phrase of its tokens, its stem an
-    alternative. All terms must match; if none does and there are several, any (``fallback_to_any``).
+    A term is a phrase of its tokens, its stem an alternative; the last token is a prefix unless
+    ``exact_word``. All terms must match; if none does and there are several, any (``fallback_to_any``).
     case_sensitive: raw terms must be in the content as written, among the first 5 * limit rows.
-    types restrict rows, never the statistics. A query without terms finds nothing.
+    types restrict rows, never the statistics. A query without terms, and an empty index, find
+    nothing. keep: columns of the chunks, fetched for the rows within the limit.
     """
     variants = term_variants(query)
-    if not variants:
-        return chunks.limit(0).select("seq", F.lit(0.0).alias("score"), *keep)
-    phrases = [(i, phrase_tokens(chunks.sparkSession, v)) for i, group in enumerate(variants) for v in group]
-    # bound once per row: as plain columns the tokens would be made anew for every use
-    bound = F.array(F.struct(*[tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in weights]))
-
-    def measure(t: Column) -> Column:
-        found = [reduce(lambda a, b: a + b, [F.lit(w) * instances(t[c], p, exact_word) for c, w in weights.items()]) for _, p in phrases]
-        length = reduce(lambda a, b: a + b, [F.size(t[c]) for c in weights])
-        return F.struct(length.alias("_len"), *[f.alias(f"_f{j}") for j, f in enumerate(found)])
-
-    extra = [F.col("content")] if case_sensitive and "content" not in keep else []
-    rows = chunks.select("seq", "type", *keep, *extra, F.inline(F.transform(bound, measure)))
-    names = [f"_f{j}" for j in range(len(phrases))]
-    stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(n) > 0).alias(f"_d{n}") for n in names])
+    phrases = [(i, phrase_tokens(v)) for i, group in enumerate(variants) for v in group]
+    if not phrases:
+        return index.read("chunks").limit(0).select("seq", F.lit(0.0).alias("score"), *keep)
+    found = scored(index, phrases, len(variants), exact_word, require_all, fallback_to_any, types, weights)
+    found = found.orderBy("score", "seq")
+    if case_sensitive:
+        found = found.limit(5 * limit) if limit else found
+        found = with_columns(index, found, ("content",), limit)
+        raw = [F.col("content").contains(group[0]) for group in variants]
+        op = (lambda a, b: a & b) if require_all else (lambda a, b: a | b)
+        found = found.where(reduce(op, raw)).select("seq", "score")
+        found = found.orderBy("score", "seq")
+    if limit:
+        found = found.limit(limit)
+    return with_columns(index, found, keep, limit).orderBy("score", "seq") if keep else found
+
+
+def with_columns(index: Index, found: DataFrame, columns: tuple[str, ...], limit: int | None) -> DataFrame:
+    """Rows found with columns of their chunks. Within a limit the rows come to the driver, so that the
+    search runs once and their ids bound the row groups of the chunks that are read."""
+    rows = index.read("chunks").select("seq", *columns)
+    if limit:
+        few = found.collect()
+        found = index.spark.createDataFrame(few, found.schema)
+        rows = rows.where(F.col("seq").isin([r["seq"] for r in few]))
+    return found.join(rows, "seq", "left")
+
+
+def scored(index: Index, phrases, n_terms: int, exact: bool, require_all: bool, fallback: bool, types, weights) -> DataFrame:
+    """(seq, score) of all chunks that match."""
+    named = [(i, f"_f{j}", p) for j, (i, p) in enumerate(phrases)]
+
+    def is_last(word: str) -> Column:
+        return F.col("term") == word if exact else F.col("term").startswith(word)
+
+    wanted = [is_last(p[-1]) for _, _, p in named if p] + [F.col("term").isin(sorted({w for _, _, p in named for w in p[:-1]}))]
+    rows = index.read("postings").where(reduce(lambda a, b: a | b, wanted))
+    no_places = F.array().cast("array<int>")
+
+    def places(test: Column) -> Column:
+        return F.flatten(F.collect_list(F.when(test, F.col("places"))))
+
+    def back(j: int):
+        return lambda place: place - j
+
+    counts = {}
+    for _, name, p in named:
+        if not p:
+            counts[name] = [F.lit(0).alias(name)]
+        elif len(p) == 1:
+            counts[name] = [F.sum(F.when(is_last(p[0]), F.size("places")).otherwise(0)).alias(name)]
+        else:
+            tests = [F.col("term") == w for w in p[:-1]] + [is_last(p[-1])]
+            counts[name] = [places(t).alias(f"{name}_{j}") for j, t in enumerate(tests)]
+    by_field = rows.groupBy("seq", "type", "n_tokens", "field").agg(*[c for parts in counts.values() for c in parts])
+    for _, name, p in named:
+        if len(p) > 1:  # starts from which every word of the phrase follows at its distance
+            shifted = [F.transform(F.coalesce(f"{name}_{j}", no_places), back(j)) for j in range(len(p))]
+            by_field = by_field.withColumn(name, F.size(reduce(F.array_intersect, shifted)))
+    weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("field")]
+    names = [name for _, name, _ in named]
+    rows = by_field.groupBy("seq", "type", "n_tokens").agg(*[F.sum(F.col(n) * F.coalesce(weight, F.lit(0.0))).alias(n) for n in names])
+    stats = index.read("stats").select(F.col("n").alias("_n"), (F.col("total") / F.col("n")).alias("_avg"))
+    # one row of counts beside the one of statistics
+    stats = stats.crossJoin(rows.agg(*[F.count_if(F.col(n) > 0).alias(f"_d{n}") for n in names]))
 
     def idf(n: str) -> Column:
         found = F.log((F.col("_n") - F.col(f"_d{n}") + 0.5) / (F.col(f"_d{n}") + 0.5))
         return F.when(found <= 0, 1e-6).otherwise(found)
 
-    norm = K1 * (1 - B + B * F.col("_len") / F.col("_avg"))
-    score = reduce(lambda a, b: a + b, [idf(n) * F.col(n) * (K1 + 1) / (F.col(n) + norm) for n in names])
-    matched = [reduce(lambda a, b: a | b, [F.col(n) > 0 for n, (g, _) in zip(names, phrases) if g == i]) for i in range(len(variants))]
+    norm = K1 * (1 - B + B * F.col("n_tokens") / F.col("_avg"))
+    score = add([idf(n) * F.col(n) * (K1 + 1) / (F.col(n) + norm) for n in names])
+    matched = [reduce(lambda a, b: a | b, [F.col(n) > 0 for j, n, _ in named if j == i]) for i in range(n_terms)]
     every, some = reduce(lambda a, b: a & b, matched), reduce(lambda a, b: a | b, matched)
-    rows = rows.where(some).withColumn("_all", every) if not require_all or fallback_to_any else rows.where(every).withColumn("_all", F.lit(True))
+    relaxed = require_all and fallback and n_terms > 1
+    rows = rows.where(some if not require_all or relaxed else every).withColumn("_all", every)
     if types:
         rows = rows.where(F.col("type").isin(types))
-    if require_all and fallback_to_any and len(variants) > 1:
+    if relaxed:
         whole = rows.agg(F.coalesce(F.bool_or("_all"), F.lit(False)).alias("_whole"))
         rows = rows.crossJoin(F.broadcast(whole)).where(F.col("_all") | ~F.col("_whole"))  # one row
-    elif require_all:
-        rows = rows.where("_all")
-    # the statistics are one row
-    out = rows.crossJoin(F.broadcast(stats)).select("seq", (-score).alias("score"), *keep, *extra)
-    if case_sensitive:
-        raw = [group[0] for group in variants]
-        out = out.orderBy("score", "seq").limit(5 * limit) if limit else out
-        op = (lambda a, b: a & b) if require_all else (lambda a, b: a | b)
-        out = out.where(reduce(op, [F.col("content").contains(t) for t in raw])).select("seq", "score", *keep)
-    out = out.orderBy("score", "seq")
-    return out.limit(limit) if limit else out
-
-
-def postings(chunks: DataFrame, columns: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
-    """(term, col, seq, pos) of every token: the inverted index. Written sorted by term, row-group
-    statistics prune a prefix lookup."""
-    found = [chunks.select("seq", F.lit(c).alias("col"), F.posexplode(tokens(F.col(c)))) for c in columns]
-    found = [x.toDF("seq", "field", "pos", "term") for x in found]
-    return reduce(DataFrame.unionAll, found).select("term", "field", "seq", "pos")
+    return rows.crossJoin(F.broadcast(stats)).select("seq", (-score).alias("score"))  # one row
 
 
-def doc_lengths(chunks: DataFrame, columns: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
-    return chunks.select("seq", reduce(lambda a, b: a + b, [F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns]).cast("long").alias("n_tokens"))
+def with_retry(search, query: str, previous: str | None) -> tuple[str, DataFrame]:
+    """(query that was asked, its result): ``search(query)``; without a row, and with an earlier question,
+    that question and the query together."""
+    found = search(query)
+    if previous and previous.strip() and found.isEmpty():
+        both = f"{previous.strip()} {query}"
+        return both, search(both)
+    return query, found
 
 
-def term_frequencies(posting: DataFrame) -> DataFrame:
-    """(term, df, tf): rows with the term and its instances; combined per task before the shuffle."""
-    one = posting.groupBy("term", "seq").agg(F.count("*").alias("tf"))
-    return one.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+def term_frequencies(index: Index, field: str) -> DataFrame:
+    """(term, df, tf): chunks with the term in a field, and its instances."""
+    rows = index.read("postings").where(F.col("field") == field)
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("places")).alias("tf"))
 
 
-def prefix_frequency(posting: DataFrame, prefix: str) -> DataFrame:
-    """Rows with any token of the prefix: not a sum over terms."""
-    return posting.where(F.col("term").startswith(prefix)).agg(F.countDistinct("seq").alias("df"))
+def prefix_frequency(index: Index, prefix: str) -> DataFrame:
+    """Chunks with any token of the prefix: not a sum over terms."""
+    return index.read("postings").where(F.col("term").startswith(prefix)).agg(F.countDistinct("seq").alias("df"))

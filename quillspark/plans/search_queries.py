@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ranking, search
 from ..operators.evidence import select_excerpts
+from ..workspace import Scratch, file_system
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,18 @@ CHUNKS_SQL = """c AS (SELECT doc_id AS seq, CASE WHEN doc_id % 7 = 0 THEN 'table
 COLUMNS = ["content", "file_name", "keywords", "caption"]
 
 
+_INDEXES: dict[tuple, search.Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The index of the chunks, built once for an application and a state of the documents' files."""
+    fs, path = file_system(spark, f"{sf_dir}/documents.parquet")
+    key = (spark.sparkContext.applicationId, *[(str(x.getPath()), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path)])
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build_index(chunks(spark, sf_dir), Scratch(spark, "index").root)
+    return _INDEXES[key]
+
+
 def tokens_sql(column: str) -> str:
     return rf"regexp_extract_all(strip_accents(lower({column})), '[\p{{L}}\p{{N}}]+')"
 
@@ -36,7 +49,7 @@ def tokens_sql(column: str) -> str:
 def bm25_sql(query: str, *, exact=False, require_all=True, fallback=True, types=None, case_sensitive=False, limit=20, tail="SELECT seq, round(score, 6) AS score FROM top") -> str:
     """BM25 as SQL, from the definition: the weighted instances of each phrase, and three statistics."""
     variants = T.term_variants(query)
-    phrases = [(i, [t.lower() for t in search.phrase_tokens(None, v)]) for i, g in enumerate(variants) for v in g]
+    phrases = [(i, search.phrase_tokens(v)) for i, g in enumerate(variants) for v in g]
 
     def count(col: str, p: list[str]) -> str:
         last = (lambda x, w: f"{x} = '{w}'") if exact else (lambda x, w: f"starts_with({x}, '{w}')")
@@ -70,7 +83,7 @@ s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {stats} FROM f), s2 AS (SELECT *,
 
 def bm25_query(query: str, **options):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search.bm25(chunks(spark, sf_dir), query, limit=20, **options).select("seq", F.round("score", 6).alias("score"))
+        return search.bm25(index_of(spark, sf_dir), query, limit=20, **options).select("seq", F.round("score", 6).alias("score"))
 
     return run
 
@@ -96,26 +109,32 @@ def tokenize_counts(spark, sf_dir):
 
 
 def term_df(spark, sf_dir):
-    return search.term_frequencies(search.postings(chunks(spark, sf_dir), ("content",)))
+    return search.term_frequencies(index_of(spark, sf_dir), "content")
 
 
 def doc_len(spark, sf_dir):
-    return search.doc_lengths(chunks(spark, sf_dir))
+    return index_of(spark, sf_dir).read("lengths").select("seq", "n_tokens")
 
 
 def corpus_stats(spark, sf_dir):
-    n = search.doc_lengths(chunks(spark, sf_dir))
-    return n.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("total"), F.round(F.avg("n_tokens"), 6).alias("avgdl"))
+    return index_of(spark, sf_dir).read("stats").select("n", "total", F.round(F.col("total") / F.col("n"), 6).alias("avgdl"))
 
 
 def prefix_df(spark, sf_dir):
-    return search.prefix_frequency(search.postings(chunks(spark, sf_dir)), "trash")
+    return search.prefix_frequency(index_of(spark, sf_dir), "trash")
+
+
+def index_build(spark, sf_dir):
+    """Builds the index anew and counts what it holds."""
+    index = search.build_index(chunks(spark, sf_dir), Scratch(spark, "index").root)
+    return index.read("postings").groupBy("field").agg(F.count("*").alias("n_postings"), F.sum(F.size("places")).alias("n_tokens"), F.countDistinct("term").alias("n_terms"))
 
 
-QUERIES |= {f.__name__: f for f in (tokenize_counts, term_df, doc_len, corpus_stats, prefix_df)}
+QUERIES |= {f.__name__: f for f in (tokenize_counts, term_df, doc_len, corpus_stats, prefix_df, index_build)}
 SQL |= {
     "tokenize_counts": f"WITH {CHUNKS_SQL}, t AS (SELECT seq, {tokens_sql('content')} AS t FROM c) SELECT seq, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms FROM t",
-    "term_df": f"WITH {CHUNKS_SQL}, t AS (SELECT seq, unnest({tokens_sql('content')}) AS term FROM c) SELECT term, count(DISTINCT seq) AS df, count(*) AS tf FROM t GROUP BY term HAVING count(DISTINCT seq) >= 50",
+    "term_df": f"WITH {CHUNKS_SQL}, t AS (SELECT seq, unnest({tokens_sql('content')}) AS term FROM c) SELECT term, count(DISTINCT seq) AS df, count(*) AS tf FROM t GROUP BY term",
+    "index_build": " UNION ALL ".join(f"SELECT '{x}' AS field, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_tokens, count(DISTINCT term) AS n_terms FROM (WITH {CHUNKS_SQL}, t AS (SELECT seq, unnest({tokens_sql(x)}) AS term FROM c) SELECT seq, term, count(*) AS tf FROM t GROUP BY ALL)" for x in COLUMNS),
     "doc_len": f"WITH {CHUNKS_SQL} SELECT seq, CAST({' + '.join(f'len({tokens_sql(x)})' for x in COLUMNS)} AS BIGINT) AS n_tokens FROM c",
     "corpus_stats": f"WITH {CHUNKS_SQL}, l AS (SELECT {' + '.join(f'len({tokens_sql(x)})' for x in COLUMNS)} AS n FROM c) SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS total, round(avg(n), 6) AS avgdl FROM l",
     "prefix_df": f"WITH {CHUNKS_SQL} SELECT count(*) AS df FROM c WHERE len(list_filter({tokens_sql('content')} || {tokens_sql('file_name')} || {tokens_sql('keywords')} || {tokens_sql('caption')}, lambda x: starts_with(x, 'trash'))) > 0",
@@ -131,7 +150,7 @@ def vectors(spark, sf_dir):
 
 
 def candidates(spark, sf_dir):
-    return search.bm25(chunks(spark, sf_dir), RANK_QUERY, require_all=False, limit=CANDIDATES, keep=("content", "caption", "heading"))
+    return search.bm25(index_of(spark, sf_dir), RANK_QUERY, require_all=False, limit=CANDIDATES, keep=("content", "caption", "heading"))
 
 
 def query_vector(spark, sf_dir) -> list[float]:
@@ -149,7 +168,7 @@ def hybrid_no_vectors(spark, sf_dir):
 
 
 def keyword_vs_hybrid(spark, sf_dir):
-    k = search.bm25(chunks(spark, sf_dir), RANK_QUERY, require_all=False, limit=20).withColumn("keyword_place", F.expr("row_number() over (order by score, seq)"))
+    k = search.bm25(index_of(spark, sf_dir), RANK_QUERY, require_all=False, limit=20).withColumn("keyword_place", F.expr("row_number() over (order by score, seq)"))
     h = ranking.rerank(candidates(spark, sf_dir), RANK_QUERY, limit=20).select("seq", F.col("place").alias("hybrid_place"))
     return k.select("seq", "keyword_place").join(h, "seq", "full_outer")
 
@@ -163,7 +182,7 @@ def sequence_gap(spark, sf_dir):
 
 def extension_filter(spark, sf_dir):
     """Fetch 100, filter by extension, cut to 20: the filter comes after the limit."""
-    found = search.bm25(chunks(spark, sf_dir), "the", limit=100, keep=("file_name",))
+    found = search.bm25(index_of(spark, sf_dir), "the", limit=100, keep=("file_name",))
     return found.where(F.col("file_name").endswith("7.txt")).orderBy("score", "seq").limit(20).select("seq", F.round("score", 6).alias("score"))
 
 
@@ -190,7 +209,7 @@ def missing_vectors(spark, sf_dir):
 
 def evidence_select(spark, sf_dir):
     found = ranking.rerank(candidates(spark, sf_dir), RANK_QUERY, vectors=vectors(spark, sf_dir), query_vector=query_vector(spark, sf_dir), threshold=0.05, limit=50)
-    rows = found.join(chunks(spark, sf_dir).select("seq", "content"), "seq").withColumn("question_id", F.lit(1))
+    rows = search.with_columns(index_of(spark, sf_dir), found.select("seq", "place", "similarity"), ("content",), 50).withColumn("question_id", F.lit(1))
     return select_excerpts(rows, threshold=0.0).select("seq", F.col("n").cast("long").alias("n"))
 
 

@@ -10,10 +10,11 @@ from quillspark.streaming import events
 
 
 @pytest.fixture(scope="module")
-def chunks(spark):
+def chunks(spark, tmp_path_factory):
     rows = [(1, "text", "red fox and red hen", "a.txt", "", "", ""), (2, "text", "a Reddish barn", "b.txt", "", "", ""),
             (3, "table", "blue sky", "red.xlsx", "", "fox", ""), (4, "text", "infrared", "c.txt", "", "", "")]
-    return spark.createDataFrame(rows, "seq long, type string, content string, file_name string, keywords string, caption string, heading string")
+    frame = spark.createDataFrame(rows, "seq long, type string, content string, file_name string, keywords string, caption string, heading string")
+    return search.build_index(frame, str(tmp_path_factory.mktemp("index")) + "/i")
 
 
 def ids(frame):
@@ -39,6 +40,34 @@ def test_filters(chunks):
     assert ids(search.bm25(chunks, "fox-an")) == [1]
 
 
+def test_index_of_odd_rows(spark, tmp_path):
+    schema = "seq long, type string, content string, file_name string, keywords string, caption string, heading string, term string"
+    long = "wide words " * 60_000
+    rows = [(1, "text", None, None, None, None, None, "t"), (2, None, "", "", "", "", "", None), (3, "text", long + "end", "a.txt", None, "", "", "t"), (4, "text", "end wide", "a", "", "", "", "t")]
+    frame = spark.createDataFrame(rows, schema)
+    index = search.build_index(frame, f"{tmp_path}/odd")
+    assert sorted(ids(search.bm25(index, "wide end"))) == [3, 4] and ids(search.bm25(index, "words-end")) == [3]
+    assert {r["seq"]: r["n_tokens"] for r in index.read("lengths").collect()} == {1: 0, 2: 0, 3: 120_003, 4: 3}
+    assert [r["term"] for r in search.bm25(index, "wide", keep=("term",)).collect()] == ["t", "t"]
+    none = search.build_index(frame.limit(0), f"{tmp_path}/none")
+    assert ids(search.bm25(none, "wide end")) == ids(search.bm25(index, "...")) == []
+    assert none.read("stats").first()["n"] == 0
+
+
+def test_a_query_reads_the_postings_of_its_terms(spark, chunks):
+    plan = search.bm25(chunks, "red hen")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,red)" in plan and "StringStartsWith(term,hen)" in plan and "/postings" in plan and "/chunks" not in plan
+
+
+def test_follow_up_is_asked_again_with_the_question_before(chunks):
+    ask = lambda q: search.bm25(chunks, q, fallback_to_any=False)
+    assert search.with_retry(ask, "hen", "blue")[0] == "hen"
+    query, found = search.with_retry(ask, "nowhere", None)
+    assert query == "nowhere" and ids(found) == []
+    query, found = search.with_retry(lambda q: search.bm25(chunks, q), "nowhere", " red ")
+    assert query == "red nowhere" and set(ids(found)) == {1, 2, 3}
+
+
 def test_rerank_orders_by_sequence(spark):
     rows = spark.createDataFrame([(1, -1.0, "hen fox", "", ""), (2, -1.0, "fox then hen", "", ""), (3, -1.0, "fox hen", "", "")], "seq long, score double, content string, caption string, heading string")
     got = ranking.rerank(rows, "fox hen").collect()
