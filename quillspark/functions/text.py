@@ -1,12 +1,18 @@
-"""Text expressions: folding, tokens, sentences, chunks, shingles and excerpts, all in Catalyst but highlight spans."""
+"""Text expressions: folding, tokens, sentences, chunks, shingles and excerpts, all in Catalyst but the
+places of matches."""
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import ship
+
 TOKEN = r"([\p{L}\p{N}\p{Co}]+)"
 #: Korean particles and endings, in the order in which they are tried.
 KOREAN_SUFFIXES = (
@@ -46,8 +52,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(1))
 
 
+#: What (?U)\s matches: the characters with Unicode's White_Space property.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def strip_end(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WHITE))
 
 
 def split_terms(query: str) -> list[str]:
@@ -78,15 +92,17 @@ def stem_column(term: Column) -> Column:
     return out
 
 
-#: A sentence: up to marks that no digit follows, with closing quotes and spaces; or a line; or the rest.
-SENTENCE = r"""(?s)(.+?(?:[.!?]+(?!\d)["')\]】」』]*\s*|\n+|\z))"""
+_END = r"""[.!?]+(?!\d)["')\]】」』]*\s*|\n+"""
+#: A sentence: one character and what follows up to marks that no digit follows, with closing quotes and
+#: spaces; or to a line's end; or the rest. Runs without marks are taken whole, and nothing is tried twice.
+SENTENCE = rf"(?s)(.[^.!?\n]*+(?:(?!{_END})[.!?\n][^.!?\n]*+)*+(?:{_END}|\z))"
 
 
 def sentence_pieces(text: Column) -> Column:
     """Sentences with the separator that joins them to the next: a newline if one was there, else a space."""
     raw = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(1))
-    kept = F.filter(raw, lambda p: strip(p) != "")
-    return F.transform(kept, lambda p: F.concat(strip(p), F.when(p.contains("\n"), "\n").otherwise(" ")))
+    pieces = F.transform(raw, lambda p: F.concat(strip(p), F.when(p.contains("\n"), "\n").otherwise(" ")))
+    return F.filter(pieces, lambda p: F.length(p) > 1)
 
 
 def sentences(text: Column) -> Column:
@@ -94,27 +110,37 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(raw, strip), lambda p: p != "")
 
 
-def chunk_text(text: Column, max_chars: int = 300) -> Column:
-    """Sentences packed greedily into chunks of at most ``max_chars`` characters; a longer sentence is
-    a chunk of its own. A text without sentences is one chunk as it is."""
-    end = lambda x: F.regexp_replace(x, r"(?U)\s+\z", "")
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+def chunk_text(text: Column, max_chars: int = 300, measure=None) -> Column:
+    """Sentences packed greedily into chunks of at most ``max_chars``; a longer sentence is a chunk of its
+    own. A text without sentences is one chunk as it is.
+
+    measure: a text column's size, its characters if not given; ``count_tokens`` bounds chunks by tokens.
+    Chunks gather in blocks, so that a long text's are not copied for each more.
+    """
+    size = measure or F.length
+    none, block = F.array().cast("array<string>"), 64
+    empty = F.struct(F.array().cast("array<array<string>>").alias("full"), none.alias("done"), F.lit("").alias("cur"))
 
     def step(state, piece):
-        joined = F.concat(state["cur"], piece)
-        fits = (state["cur"] == "") | (F.length(end(joined)) <= max_chars)
-        return F.struct(
-            F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(end(state["cur"])))).alias("done"),
-            F.when(fits, joined).otherwise(piece).alias("cur"),
-        )
+        fits = (state["cur"] == "") | (size(strip_end(F.concat(state["cur"], piece))) <= max_chars)
+        ends = F.size(state["done"]) >= block
+        done = F.concat(F.when(ends, none).otherwise(state["done"]), F.array(strip_end(state["cur"])))
+        return F.when(fits, F.struct(state["full"].alias("full"), state["done"].alias("done"), F.concat(state["cur"], piece).alias("cur"))).otherwise(F.struct(
+            F.when(ends, F.concat(state["full"], F.array(state["done"]))).otherwise(state["full"]).alias("full"), done.alias("done"), piece.alias("cur")))
 
     def finish(state):
-        return F.when(state["cur"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(end(state["cur"]))))
+        last = F.when(state["cur"] == "", none).otherwise(F.array(strip_end(state["cur"])))
+        return F.concat(F.flatten(state["full"]), state["done"], last)
 
     found = F.aggregate(sentence_pieces(text), empty, step, finish)
     return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(text)))
 
 
+def count_tokens(text: Column) -> Column:
+    """Tokens of a text by the index's rule: there is no model whose tokenizer could count them."""
+    return F.size(tokens(text))
+
+
 def normalized(text: Column) -> Column:
     """For overlap: no white space, no characters but letters, digits and underscores."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", ""), r"(?U)[^\w]+", "")
@@ -159,30 +185,67 @@ def _window(flat: Column, term: str, window: int) -> Column:
     return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + window < F.length(flat), "…").otherwise(""))
 
 
+def merged_spans(text: str, terms: list[str], exact_word: bool) -> list[list[int]]:
+    found = []
+    for term in terms:
+        if term.strip():
+            pattern = rf"\b{re.escape(term)}\b" if exact_word else re.escape(term)
+            found += [m.span() for m in re.finditer(pattern, text, re.IGNORECASE)]
+    merged: list[list[int]] = []
+    for begin, end in sorted(found):
+        if merged and begin <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([begin, end])
+    return merged
+
+
 def highlight_spans(text: Column, terms: list[str], exact_word: bool = False) -> Column:
     """Merged [begin, end) spans of the terms' matches, case ignored; touching spans are one. Null: none.
 
     A term's matches don't overlap each other. exact_word: only between word borders. One search a term
-    and one merge in Python: Catalyst has no places of matches, and arrays that grow are copied."""
-
-    @F.udf("array<struct<b:int,e:int>>")
-    def spans(value):
-        import re
-
-        found = []
-        for term in terms:
-            if term.strip():
-                pattern = rf"\b{re.escape(term)}\b" if exact_word else re.escape(term)
-                found += [m.span() for m in re.finditer(pattern, value or "", re.IGNORECASE)]
-        merged = []
-        for begin, end in sorted(found):
-            if merged and begin <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], end)
-            else:
-                merged.append([begin, end])
-        return [tuple(x) for x in merged]
-
-    return spans(text)
+    and one merge, on Arrow batches in Python: Catalyst has no places of matches, and arrays that grow
+    are copied."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("array<struct<b:int,e:int>>")
+    def spans(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: [{"b": b, "e": e} for b, e in merged_spans(x or "", terms, exact_word)])
+
+    return spans(F.coalesce(text, F.lit("")))
+
+
+#: Characters that markup needs written otherwise, the one that the others hold first.
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
+
+
+def escape(text: Column) -> Column:
+    for raw, safe in ESCAPES:
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def marked_up(text: str, terms: list[str], exact_word: bool, tag: str) -> str:
+    out, at = [], 0
+    for b, e in merged_spans(text, terms, exact_word):
+        out += [html.escape(text[at:b]), f"<{tag}>", html.escape(text[b:e]), f"</{tag}>"]
+        at = e
+    return "".join([*out, html.escape(text[at:])])
+
+
+def rich_text(text: Column, terms: list[str], exact_word: bool = False, tag: str = "b") -> Column:
+    """The text as markup, the terms' matches in a tag, all else escaped once. Null: empty."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def rich(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: marked_up(x, terms, exact_word, tag))
+
+    return rich(F.coalesce(text, F.lit("")))
+
+
+def rich_excerpt(text: Column, term: str, window: int = 140) -> Column:
+    return rich_text(excerpt(text, term, window), [term])
 
 
 def clean_heading(text: Column, limit: int = 40) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import let, normalized, ratio, sentences, shingles
 
 ABSTAIN = "문서에서 찾을 수 없습니다."  # fixed value
+INTRODUCTION = "Answer from the numbered excerpts only and cite them as [n]. If they do not say: " + ABSTAIN
 
 
 def select_excerpts(results: DataFrame, threshold: float = 0.5, most: int = 5, by: str = "question_id") -> DataFrame:
@@ -40,7 +41,7 @@ def format_history(turns: Column, last: int = 3, limit: int = 300) -> Column:
 def messages(question: Column, excerpts: Column, turns: Column) -> Column:
     """The prompt; without history exactly what it would be had there never been any."""
     past = format_history(turns)
-    body = F.concat(F.lit("Answer from the numbered excerpts only and cite them as [n]. If they don't say: " + ABSTAIN + "\n\n"), format_excerpts(excerpts))
+    body = F.concat(F.lit(INTRODUCTION + "\n\n"), format_excerpts(excerpts))
     return F.concat(body, F.when(past != "", F.concat(F.lit("\n\n"), past)).otherwise(""), F.lit("\n\nQuestion: "), question)
 
 

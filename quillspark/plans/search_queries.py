@@ -99,7 +99,7 @@ for name, query, spark_options, sql_options in [
     ("bm25_type_filter", "clown", {"types": ["table"]}, {"types": ["table"]}),
     ("bm25_case_sensitive", "Then", {"case_sensitive": True}, {"case_sensitive": True}),
     ("bm25_accent_folding", "éaux", {}, {}),
-    ("bm25_korean_stem", "trash에서는 계약서를", {"require_all": False}, {"require_all": False}),
+    ("bm25_korean_stem", "trash에서는 보고서를", {"require_all": False}, {"require_all": False}),
 ]:
     QUERIES[name], SQL[name] = bm25_query(query, **spark_options), bm25_sql(query, **sql_options)
 
@@ -198,7 +198,8 @@ def vector_stats(spark, sf_dir):
 
 
 def l2_norm_check(spark, sf_dir):
-    return vectors(spark, sf_dir).select("seq", F.round(ranking.l2_norm(ranking.l2_normalize(F.col("vector"))), 4).alias("norm"))
+    unit = ranking.l2_normalize(F.col("vector"))
+    return vectors(spark, sf_dir).select("seq", F.round(ranking.l2_norm(unit), 4).alias("norm"), F.round(unit[0].cast("double"), 5).alias("first"))
 
 
 def missing_vectors(spark, sf_dir):
@@ -246,7 +247,7 @@ SQL |= {
     "extension_filter": bm25_sql("the", limit=100, tail="SELECT top.seq, round(score, 6) AS score FROM top JOIN c USING (seq) WHERE ends_with(file_name, '7.txt') ORDER BY top.score, seq LIMIT 20"),
     "vector_topk": f"SELECT vec_id AS seq, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {QUERY_VECTOR_ID})), 5) AS similarity FROM embeddings ORDER BY list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {QUERY_VECTOR_ID})) DESC, vec_id LIMIT 20",
     "vector_stats": "SELECT 'm' AS model, count(*) AS n FROM embeddings GROUP BY 1",
-    "l2_norm_check": "SELECT vec_id AS seq, round(CAST(1.0 AS DOUBLE), 4) AS norm FROM embeddings",
+    "l2_norm_check": "WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) AS n FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: CAST(CAST(x / n AS FLOAT) AS DOUBLE)) AS u FROM n) SELECT vec_id AS seq, round(sqrt(list_dot_product(u, u)), 4) AS norm, round(u[1], 5) AS first FROM u",
     "missing_vectors": "SELECT doc_id AS seq FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "evidence_select": f"WITH {_RANKED}, {_VEC}, g AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY place) AS o FROM r WHERE place <= 50 AND sim >= 0) SELECT seq, CAST(row_number() OVER (ORDER BY place) AS BIGINT) AS n FROM g WHERE o = 1 QUALIFY n <= 5",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import context, evidence, segments, snapshots, tables
 from ..streaming import events as stream
-from .search_queries import chunks, read, vectors
+from .search_queries import read, tokens_sql, vectors
 
 QUERIES, SQL = {}, {}
 
@@ -43,21 +43,63 @@ def max_indexed_at(spark, sf_dir):
 
 # --- text -------------------------------------------------------------------------------------
 #: RE2 has no lookahead: marks before a digit are covered first. The corpus has none of these characters.
-_SENT = r"""s AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([.!?]+)([0-9])', '\1' || chr(1) || '\2', 'g'),
-  '(?s).+?(?:[.!?]+["'')\]】」』]*\s+|[.!?]+["'')\]】」』]+|\n+|\z)') AS p FROM documents)"""
+_WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_COVER = {".": 1, "!": 2, "?": 3}
 
 
-@query()
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_WS}]+|[{_WS}]+\\z', '', 'g')"
+
+
+def strip_end_sql(x: str) -> str:
+    return f"regexp_replace({x}, '[{_WS}]+\\z', '')"
+
+
+def pieces_sql(x: str) -> str:
+    """Sentences as they are in the text: from a character on up to marks, a line's end or the end."""
+    for mark, n in _COVER.items():
+        x = f"regexp_replace({x}, '\\{mark}([0-9])', chr({n}) || '\\1', 'g')"
+    found = f"""regexp_extract_all({x}, '(?s).[^.!?\\n]*(?:[.!?]+["'')\\]】」』]*[ \\t\\n\\x0B\\f\\r]*|\\n+|\\z)')"""
+    return f"list_transform({found}, lambda p: translate(p, chr(1) || chr(2) || chr(3), '.!?'))"
+
+
+def sentences_sql(x: str) -> str:
+    return f"list_filter(list_transform({pieces_sql(x)}, lambda p: {strip_sql('p')}), lambda p: p <> '')"
+
+
+@query(f"WITH s AS (SELECT doc_id, {sentences_sql('coalesce(text, $$$$)')} AS s FROM documents) SELECT doc_id, CAST(len(s) AS INT) AS n, md5(coalesce(array_to_string(s, '|'), '')) AS digest FROM s")
 def sentence_split(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("s"))
     return rows.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
-@query()
+def chunks_sql(x: str, limit: int, size=lambda t: f"length({t})") -> str:
+    """Chunks of a text: the list's pieces folded one by one into the last chunk while that fits."""
+    joined = f"list_transform({pieces_sql(x)}, lambda p: {strip_sql('p')} || CASE WHEN contains(p, chr(10)) THEN chr(10) ELSE ' ' END)"
+    states = f"list_transform(list_filter({joined}, lambda p: length(p) > 1), lambda p: {{'done': []::VARCHAR[], 'cur': p}})"
+    fits = f"{size(strip_end_sql('a.cur || b.cur'))} <= {limit}"
+    return f"""list_reduce({states}, lambda a, b: CASE WHEN {fits} THEN {{'done': a.done, 'cur': a.cur || b.cur}}
+      ELSE {{'done': list_append(a.done, {strip_end_sql('a.cur')}), 'cur': b.cur}} END)"""
+
+
+def chunk_rows_sql(key: str, x: str, source: str, limit: int, size=lambda t: f"length({t})") -> str:
+    """(key, k, chunk): the chunks of each row of ``source``."""
+    return f"""SELECT {key}, CAST(unnest(range(len(c))) AS INT) AS k, unnest(c) AS chunk FROM (
+      SELECT {key}, CASE WHEN r IS NULL THEN [t] ELSE list_append(r.done, {strip_end_sql('r.cur')}) END AS c FROM (
+        SELECT {key}, t, CASE WHEN len({sentences_sql('t')}) = 0 THEN NULL ELSE {chunks_sql('t', limit, size)} END AS r FROM (SELECT {key}, {x} AS t FROM {source})))"""
+
+
+@query(chunk_rows_sql("doc_id", "coalesce(text, '')", "documents", 300))
 def chunk_text_300(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunk_text(F.coalesce("text", F.lit("")))).alias("k", "chunk"))
 
 
+@query(chunk_rows_sql("doc_id", "coalesce(text, '')", "documents", 40, lambda t: f"len({tokens_sql(t)})"))
+def chunk_by_tokens(spark, sf_dir):
+    found = T.chunk_text(F.coalesce("text", F.lit("")), 40, T.count_tokens)
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("k", "chunk"))
+
+
 @query("SELECT doc_id, CAST(greatest(length(n) - 1, CASE WHEN length(n) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pairs, CAST(len(list_distinct(list_transform(range(1, greatest(length(n), 2)), lambda i: substr(n, i, 2)))) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', '', 'g'), '[^\\p{L}\\p{N}_]+', '', 'g') AS n FROM documents WHERE text IS NOT NULL) WHERE length(n) > 1")
 def bigram_sets(spark, sf_dir):
     n = T.normalized(F.col("text"))
@@ -81,24 +123,56 @@ def bigram_overlap(spark, sf_dir):
     return rows.select("doc_id", F.round(T.overlap_ratio(first, F.col("x")), 6).alias("overlap"))
 
 
-_TERMS = ["계약서를", "도로", "서울에서의", "trash", "회의록으로부터", "은", "보고서까지는", "합니다"]
+_TERMS = ["보고서를", "도로", "부산에서의", "trash", "회의록으로부터", "은", "보고서까지는", "합니다"]
 
 
-@query("SELECT * FROM (VALUES ('계약서를', '계약서'), ('도로', NULL), ('서울에서의', '서울'), ('trash', NULL), ('회의록으로부터', '회의록'), ('은', NULL), ('보고서까지는', '보고서까지'), ('합니다', NULL)) t(term, stem)")
+@query("SELECT * FROM (VALUES ('보고서를', '보고서'), ('도로', NULL), ('부산에서의', '부산'), ('trash', NULL), ('회의록으로부터', '회의록'), ('은', NULL), ('보고서까지는', '보고서까지'), ('합니다', NULL)) t(term, stem)")
 def korean_variants(spark, sf_dir):
     return spark.createDataFrame([(t,) for t in _TERMS], "term string").select("term", T.stem_column(F.col("term")).alias("stem"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[{_WS}]+', ' ', 'g')) AS t FROM documents WHERE contains(lower(text), 'trash')),
+a AS (SELECT *, greatest(strpos(lower(t), 'trash') - 1, 0) + 2 AS middle FROM f),
+s AS (SELECT *, greatest(least(middle - 70, length(t) - 140), 0) AS start FROM a)
+SELECT doc_id, CASE WHEN start > 0 THEN '…' ELSE '' END || substr(t, start + 1, 140) || CASE WHEN start + 140 < length(t) THEN '…' ELSE '' END AS excerpt FROM s""")
 def excerpt_window(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").where(F.lower("text").contains("trash"))
     return rows.select("doc_id", T.excerpt(F.col("text"), "trash").alias("excerpt"))
 
 
-@query()
+_MARKED = ["the", "her", "on"]
+_SPANS = " UNION ALL ".join(
+    f"SELECT doc_id, unnest(list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) AS BIGINT) + (i - 1) * {len(t)})) AS b, {len(t)} AS n FROM (SELECT doc_id, regexp_split_to_array(text, '(?i){t}') AS p FROM documents)"
+    for t in _MARKED
+)
+_MERGED = f"""spans AS (SELECT doc_id, b, b + n AS e FROM ({_SPANS})),
+l AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM spans),
+g AS (SELECT *, sum(CASE WHEN m IS NULL OR b > m THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY b, e) AS island FROM l),
+i AS (SELECT doc_id, min(b) AS b, max(e) AS e FROM g GROUP BY doc_id, island)"""
+
+
+@query(f"""WITH {_MERGED}, j AS (SELECT doc_id, '[' || string_agg('{{"b":' || b || ',"e":' || e || '}}', ',' ORDER BY b) || ']' AS spans FROM i GROUP BY doc_id)
+SELECT doc_id, coalesce(spans, '[]') AS spans FROM documents LEFT JOIN j USING (doc_id)""")
 def highlight_merge(spark, sf_dir):
     rows = read(spark, sf_dir, "documents")
-    return rows.select("doc_id", F.to_json(T.highlight_spans(F.col("text"), ["the", "her", "on"])).alias("spans"))
+    return rows.select("doc_id", F.to_json(T.highlight_spans(F.col("text"), _MARKED)).alias("spans"))
+
+
+def escape_sql(x: str) -> str:
+    for raw, safe in T.ESCAPES:
+        x = f"replace({x}, {_quoted(raw)}, '{safe}')"
+    return x
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query(f"""WITH {_MERGED}, n AS (SELECT i.*, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS r FROM i),
+p AS (SELECT doc_id, string_agg(CASE WHEN r = 1 THEN {escape_sql('substr(text, 1, n.b)')} ELSE '' END || '<b>' || {escape_sql('substr(text, n.b + 1, n.e - n.b)')} || '</b>' || {escape_sql('substr(text, n.e + 1, coalesce(n.next, length(text)) - n.e)')}, '' ORDER BY n.b) AS rich FROM n JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(rich, {escape_sql('text')}, '')) AS digest FROM documents LEFT JOIN p USING (doc_id)""")
+def rich_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.rich_text(F.col("text"), _MARKED).cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, regexp_replace(source || '/' || lang || ' ' || doc_id, '[^A-Za-z0-9_-]', '_', 'g') AS name FROM documents")
@@ -106,9 +180,13 @@ def safe_file_name(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.safe_name(F.concat("source", F.lit("/"), "lang", F.lit(" "), F.col("doc_id").cast("string"))).alias("name"))
 
 
-@query("SELECT page_id, substr(h, 1, 12) || '5' || substr(h, 14, 3) || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 15) AS uid FROM (SELECT page_id, sha1(from_hex('6f1a2c3d4e5b4a7c8d9e0f1a2b3c4d5e') || encode(lower(url))) AS h FROM pages)")
+#: Fixed value: the namespace of document ids.
+NAMESPACE = "6f1a2c3d4e5b4a7c8d9e0f1a2b3c4d5e"
+
+
+@query(f"SELECT page_id, substr(h, 1, 12) || '5' || substr(h, 14, 3) || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 15) AS uid FROM (SELECT page_id, sha1(from_hex('{NAMESPACE}') || encode(lower(url))) AS h FROM pages)")
 def doc_uuid5(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", T.uuid5("6f1a2c3d4e5b4a7c8d9e0f1a2b3c4d5e", F.lower("url")).alias("uid"))
+    return read(spark, sf_dir, "pages").select("page_id", T.uuid5(NAMESPACE, F.lower("url")).alias("uid"))
 
 
 @query("SELECT page_id, sha256(html) AS hash FROM pages")
@@ -116,9 +194,13 @@ def file_sha256(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("hash"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda p: {strip_sql('p')}), lambda p: p <> '') AS lines FROM documents),
+c AS (SELECT doc_id, flatten(list_transform(lines, lambda p: list_concat(CASE WHEN length(p) <= 180 THEN [p] ELSE [] END,
+  list_transform(list_filter([180, 90, 40, 20], lambda n: length(p) > n), lambda n: substr(p, 1, n))))) AS c FROM l)
+SELECT doc_id, CAST(len(list_distinct(c)) AS INT) AS n, md5(coalesce(array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), '|'), '')) AS digest FROM c""")
 def needle_ladder(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.needles(F.coalesce("text", F.lit("")))).alias("n"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", T.needles(F.coalesce("text", F.lit(""))).alias("c"))
+    return rows.select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "|").cast("binary")).alias("digest"))
 
 
 # --- order ------------------------------------------------------------------------------------
@@ -134,7 +216,9 @@ def next_prev_chunk(spark, sf_dir):
     return context.neighbours(_conv(spark, sf_dir), keep=()).select("doc_id", "seq", "prev_seq", "next_seq")
 
 
-@query()
+@query(f"""WITH p AS (SELECT seq, lag(type) OVER w AS t, lag(content) OVER w AS c FROM ({_CONV}) WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+l AS (SELECT seq, t, list_filter(list_transform(string_split(c, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '')[1] AS h FROM p)
+SELECT seq, CASE WHEN t = 'text' AND length(h) <= 120 THEN h ELSE '' END AS heading FROM l""")
 def heading_before(spark, sf_dir):
     return context.heading_before(_conv(spark, sf_dir))
 
@@ -339,7 +423,15 @@ def expand_citations(spark, sf_dir):
     return _answers(spark, sf_dir).select("doc_id", F.md5(evidence.expand_citations(F.col("answer"), F.col("excerpts")).cast("binary")).alias("digest"))
 
 
-@query()
+def _plain(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '[{_WS}]+', '', 'g'), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
+
+
+@query(f"""WITH a AS (SELECT d.doc_id, split_part(d.text, chr(10), 1) || ' [' || (d.doc_id % 4) || '][9][9]' AS answer, {_plain('e.text')} AS x FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1),
+s AS (SELECT doc_id, x, list_filter(list_transform({sentences_sql('answer')}, lambda s: {_plain("regexp_replace(s, '\\[[0-9]+\\]', '', 'g')")}), lambda n: length(n) >= 8) AS said,
+  len(list_filter(list_distinct([doc_id % 4, 9]), lambda c: c <> 1)) AS invalid FROM a),
+w AS (SELECT doc_id, invalid, len(list_filter(said, lambda n: len(list_intersect({_BG.format('n')}, {_BG.format('x')})) / len({_BG.format('n')})::DOUBLE < 0.5)) AS weak FROM s)
+SELECT doc_id, weak > 0 OR invalid > 0 AS needs_review, CAST(weak AS INT) AS weak, CAST(invalid AS INT) AS invalid FROM w""")
 def verify_answers(spark, sf_dir):
     v = evidence.verify(F.col("answer"), F.col("excerpts"))
     rows = _answers(spark, sf_dir).select("doc_id", v.alias("v"))
@@ -364,7 +456,9 @@ def latency_median(spark, sf_dir):
     return evidence.latency_metrics(rows).select(F.round("median_sec", 6).alias("median_sec"), F.round("tokens_per_sec", 4).alias("tokens_per_sec"))
 
 
-@query()
+@query(f"""SELECT d.doc_id, md5('{evidence.INTRODUCTION}' || chr(10) || chr(10) || '[1] ' || e.source || ' · page 1' || chr(10)
+  || CASE WHEN length(e.text) > 1200 THEN substr(e.text, 1, 1200) || '…' ELSE e.text END
+  || chr(10) || chr(10) || 'Q: q' || chr(10) || 'A: a' || chr(10) || chr(10) || 'Question: why') AS digest FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1""")
 def prompt_messages(spark, sf_dir):
     turns = F.array(F.struct(F.lit("q").alias("question"), F.lit("a").alias("answer")))
-    return _answers(spark, sf_dir).select("doc_id", F.length(evidence.messages(F.lit("why"), F.col("excerpts"), turns)).alias("n_chars"))
+    return _answers(spark, sf_dir).select("doc_id", F.md5(evidence.messages(F.lit("why"), F.col("excerpts"), turns).cast("binary")).alias("digest"))

@@ -25,7 +25,7 @@ def test_chunks_pack_and_keep_long_sentences(spark):
 
 
 def test_stems_stop_at_the_first_ending(spark):
-    for term, stem in [("계약서를", "계약서"), ("도로", None), ("trash", None)]:
+    for term, stem in [("보고서를", "보고서"), ("도로", None), ("trash", None)]:
         assert one(spark, term, T.stem_column) == stem == T.stem(term)
 
 
@@ -42,3 +42,20 @@ def test_spans_merge_when_they_touch(spark):
 def test_uuid5_is_that_of_the_standard(spark):
     ns = uuid.UUID("6f1a2c3d-4e5b-4a7c-8d9e-0f1a2b3c4d5e")
     assert one(spark, "/a/b", lambda c: T.uuid5(ns.hex, c)) == uuid.uuid5(ns, "/a/b").hex
+
+
+def test_rich_text_escapes_once_and_marks_matches(spark):
+    rows = spark.createDataFrame([(1, 'a <b> & "The" the\'s'), (2, None), (3, ""), (4, "no match & more")], "i int, x string")
+    got = {r["i"]: r["r"] for r in rows.select("i", T.rich_text(F.col("x"), ["the"]).alias("r")).collect()}
+    assert got == {1: "a &lt;b&gt; &amp; &quot;<b>The</b>&quot; <b>the</b>&#x27;s", 2: "", 3: "", 4: "no match &amp; more"}
+    one = rows.where("i = 1").select(T.rich_excerpt(F.col("x"), "the", 8).alias("r")).first()["r"]
+    assert one.startswith("…") and "<b>The</b>" in one
+
+
+def test_chunks_of_long_texts_and_by_tokens(spark):
+    text = "One two three four. " * 20_000
+    rows = spark.createDataFrame([(text,), ("",), (" \n",), ("x" * 500 + ". b",)], "x string")
+    by_chars, by_tokens = [[r[0] for r in rows.select(T.chunk_text(F.col("x"), 60, m)).collect()] for m in (None, T.count_tokens)]
+    assert by_chars[0] == ["One two three four. One two three four. One two three four."] * 6666 + ["One two three four. One two three four."]
+    assert by_tokens[0] == [" ".join(["One two three four."] * 15)] * 1333 + [" ".join(["One two three four."] * 5)]
+    assert by_chars[1:] == [[""], [" \n"], ["x" * 500 + ".", "b"]]
