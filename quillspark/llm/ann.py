@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workspace import Scratch
 from .buckets import grouped, meet
 from .lattice import usable
-from .scratch import Scratch
 
 #: Rows that a cell should have, and those of a cell that one group holds.
 CELL, GROUP_ROWS, GROUP_QUERIES = 512, 4096, 1024

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..workspace import Scratch
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

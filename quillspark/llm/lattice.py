@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import Scratch
 from .buckets import blocked, grouped, meet, settled_links
 from .components import connected_components
-from .scratch import Scratch
 from .simhash import GOLDEN, mix
 
 def layout(rows: int) -> tuple[int, int]:

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..workspace import Scratch
 
 UNKNOWN = "unknown"
 LEVELS = ["domain", "lang", "source"]

@@ -19,8 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
-from .shipping import ship
+from ..workspace import Scratch, ship
 
 #: Characters for which cutting a text into words here equals the tokenizer's own cutting; a text
 #: with any other goes to the tokenizer whole. Left out: controls, spaces beyond ASCII, numerals that

@@ -12,7 +12,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..workspace import Scratch
 
 #: Bits that one refinement resolves: every splitter's range is counted in so many parts.
 STEP_BITS = 9

@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import Scratch, ship
 from .buckets import forest_links
 from .components import connected_components
-from .scratch import Scratch
-from .shipping import ship
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
