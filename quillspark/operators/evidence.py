@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, normalized, ratio, sentences, shingles
+from ..workspace import ship
 
 ABSTAIN = "문서에서 찾을 수 없습니다."  # fixed value
 INTRODUCTION = "Answer from the numbered excerpts only and cite them as [n]. If they do not say: " + ABSTAIN
@@ -95,6 +97,29 @@ def status(n_excerpts: Column, error: Column, answer: Column) -> Column:
     return (F.when(n_excerpts == 0, "no_evidence").when(error.isNotNull(), "failed").when(is_abstention(answer), "abstained").otherwise("ok"))
 
 
+def ask_model(rows: DataFrame, model, batch: int = 16) -> DataFrame:
+    """(id, answer, error, status) of prompts (id, prompt, n_excerpts): ``model`` takes a list of prompts and
+    returns their answers, on executors. Prompts without excerpts never reach it; an error of a
+    batch is the status of its rows and stops nothing."""
+    ship(rows.sparkSession)
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                try:
+                    answers, error = list(model(part["prompt"].tolist())), None
+                except Exception as e:  # a failed call is a result
+                    answers, error = [None] * len(part), str(e)[:500]
+                yield pd.DataFrame({"id": part["id"], "answer": answers, "error": [error] * len(part), "n_excerpts": part["n_excerpts"]})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    asked = rows.where("n_excerpts > 0").select("id", "prompt", "n_excerpts").mapInPandas(run, f"id {kind}, answer string, error string, n_excerpts int")
+    bare = rows.where("n_excerpts <= 0").select("id", F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error"), F.col("n_excerpts").cast("int").alias("n_excerpts"))
+    found = asked.unionAll(bare)
+    return found.select("id", "answer", "error", status(F.col("n_excerpts"), F.col("error"), F.coalesce("answer", F.lit(""))).alias("status"))
+
+
 def keywords_hit(answer: Column, keywords: Column) -> Column:
     """Every slot of an array of synonym lists has a synonym in the answer; no slots: false."""
     squeeze = lambda c: F.lower(F.regexp_replace(c, r"(?U)\s+", ""))

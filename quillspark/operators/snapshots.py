@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import file_system
+
 
 def classify(scan: DataFrame, stored: DataFrame) -> DataFrame:
     """scan (path, mtime, hash) against stored (path, mtime, hash): (path, change, refresh_mtime).
@@ -49,22 +54,56 @@ def stale(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return before.select(key).distinct().join(after.select(key), key, "left_anti")
 
 
-def write_snapshot(frame: DataFrame, root: str, version: str) -> str:
-    """Writes a version beside the others and then points ``CURRENT`` at it, by a rename."""
-    spark = frame.sparkSession
-    frame.write.parquet(f"{root}/{version}")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(path(f"{root}/CURRENT.{version}"), True)
-    out.write(bytearray(version.encode()))
+def needs_reindex(change: Column) -> Column:
+    return change != "unchanged"
+
+
+def lingering(chunks: DataFrame, folders: DataFrame) -> DataFrame:
+    """(image_path) of chunks whose image lies below one of the folders (folder), case aside. Damaged
+    image notes and chunks without one are left out."""
+    path = F.get_json_object("image_json", "$.image_path")
+    rows = chunks.select(path.alias("image_path")).where("image_path is not null")
+    parts = F.split(F.lower(F.regexp_replace("image_path", r"\\", "/")), "/")
+    # each leading part of the path, so that folders meet by equality
+    above = F.transform(F.sequence(F.lit(1), F.size("_p")), lambda i: F.array_join(F.slice("_p", F.lit(1), i), "/"))
+    rows = rows.withColumn("_n", F.monotonically_increasing_id()).withColumn("_p", F.slice(parts, F.lit(1), F.size(parts) - 1)).where(F.size("_p") > 0)
+    names = folders.select(F.rtrim(F.lower(F.regexp_replace("folder", r"\\", "/")), F.lit("/")).alias("_f")).distinct()
+    hit = rows.select("_n", "image_path", F.explode(above).alias("_f")).join(names, "_f", "left_semi")
+    return hit.select("_n", "image_path").distinct().select("image_path")
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    fs, path = file_system(spark, f"{root}/_versions")
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame | str]) -> int:
+    """Writes a version of a store: tables by name, or the path of one that is there already.
+
+    The tables are written first, then one small file that names them, created under the next number. A
+    reader takes the highest number, so it sees the old version or the new one, whatever fails in
+    between; a second writer of the same version gets an error.
+    """
+    version = max(versions(spark, root), default=0) + 1
+    paths = {}
+    for name, table in tables.items():
+        paths[name] = table if isinstance(table, str) else f"{root}/{name}/{version:012d}-{uuid.uuid4().hex[:8]}"
+        if not isinstance(table, str):
+            table.write.parquet(paths[name])
+    fs, path = file_system(spark, f"{root}/_versions/{version:012d}")
+    temporary = file_system(spark, f"{root}/_writing/{uuid.uuid4().hex}")[1]
+    out = fs.create(temporary, False)
+    out.write(bytearray(json.dumps(paths).encode()))
     out.close()
-    if fs.exists(path(f"{root}/CURRENT")):
-        fs.delete(path(f"{root}/CURRENT"), False)
-    fs.rename(path(f"{root}/CURRENT.{version}"), path(f"{root}/CURRENT"))
+    fs.mkdirs(path.getParent())
+    if fs.exists(path) or not fs.rename(temporary, path):  # a rename onto a file fails
+        raise RuntimeError(f"version {version} of {root} was written by another job")
     return version
 
 
-def read_snapshot(spark, root: str) -> DataFrame:
-    version = spark.read.text(f"{root}/CURRENT").first()[0]
-    return spark.read.parquet(f"{root}/{version}")
+def current(spark: SparkSession, root: str) -> dict[str, str]:
+    """The paths of the newest version's tables by name; none: empty."""
+    found = versions(spark, root)
+    if not found:
+        return {}
+    return json.loads("".join(r[0] for r in spark.read.text(f"{root}/_versions/{found[-1]:012d}").collect()))

@@ -203,6 +203,29 @@ def needle_ladder(spark, sf_dir):
     return rows.select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "|").cast("binary")).alias("digest"))
 
 
+@query("SELECT doc_id, CASE WHEN length(t) BETWEEN 1 AND 40 THEN t ELSE '' END AS heading FROM (SELECT doc_id, " + strip_sql("split_part(text, chr(10), 1)") + " AS t FROM documents)")
+def clean_headings(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.clean_heading(F.substring_index("text", "\n", 1)).alias("heading"))
+
+
+@query("""WITH s AS (SELECT event_id, ts, date_diff('second', date_trunc('second', ts), TIMESTAMP '2025-01-01 00:00:00') AS s FROM events)
+SELECT event_id, CASE WHEN s < 60 THEN 'now' WHEN s < 3600 THEN (s // 60) || ' min' WHEN s < 86400 THEN (s // 3600) || ' h' WHEN s < 604800 THEN (s // 86400) || ' d' ELSE strftime(ts, '%Y-%m-%d') END AS said FROM s""")
+def relative_times(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").selectExpr("event_id", "cast(ts as timestamp) AS ts")
+    return rows.select("event_id", T.relative_time(F.col("ts"), F.to_timestamp(F.lit("2025-01-01 00:00:00"))).alias("said"))
+
+
+#: How files of each kind begin, in hexadecimal digits.
+_HEADS = [("png", "89504E470D0A1A0A00"), ("gif", "474946383961"), ("jpg", "FFD8FFE0"), ("bmp", "424D0000"), ("tif", "49492A0008"), ("wmf", "D7CDC69A00"), ("emf", "01000000" + "00" * 36 + "20454D46"),
+          ("webp", "524946460000000057454250"), (None, "00" * 60), (None, ""), (None, "52494646000000005741564520"), ("tif", "4D4D002A"), ("gif", "474946383761")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {repr(k) if k else 'NULL'})" for i, (k, _) in enumerate(_HEADS)) + ") t(i, kind)")
+def image_kinds(spark, sf_dir):
+    rows = spark.createDataFrame([(i, h) for i, (_, h) in enumerate(_HEADS)], "i int, h string")
+    return rows.select("i", T.image_kind(F.unhex("h")).alias("kind"))
+
+
 # --- order ------------------------------------------------------------------------------------
 _CONV = "SELECT conv_id AS doc_id, turn AS seq, text AS content, CASE WHEN role = 'system' THEN 'table' ELSE 'text' END AS type FROM conversations"
 
@@ -345,6 +368,16 @@ def running_heading(spark, sf_dir):
     return segments.running_heading(rows).select("doc_id", "pos", "segment", F.md5(F.col("heading").cast("binary")).alias("heading"))
 
 
+@query(f"""WITH b AS (SELECT *, CASE WHEN kind IN ('heading', 'table') OR coalesce(lag(kind) OVER w = 'table', false) THEN 1 ELSE 0 END AS f,
+  last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER w AS h FROM {_BLOCKS} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+s AS (SELECT *, CAST(sum(f) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS segment FROM b)
+SELECT doc_id, segment, md5(coalesce(arg_min(coalesce(h, ''), pos), '')) AS heading, md5(string_agg(text, chr(10) ORDER BY pos)) AS digest FROM s WHERE kind <> 'table' GROUP BY doc_id, segment HAVING {strip_sql("string_agg(text, '' ORDER BY pos)")} <> ''""")
+def flushed_segments(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").selectExpr("conv_id AS doc_id", "turn AS pos", "CASE role WHEN 'user' THEN 'heading' WHEN 'system' THEN 'table' ELSE 'text' END AS kind", "text")
+    found = segments.flush_segments(rows)
+    return found.select("doc_id", "segment", F.md5(F.col("heading").cast("binary")).alias("heading"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("SELECT * FROM (VALUES (1, 0), (2, 1), (3, 1), (4, 1), (5, 2)) t(pos, part)")
 def table_split(spark, sf_dir):
     rows = [(1, 1, ["h", "i"]), (1, 2, ["1.2 Scope", "", None]), (1, 3, ["a", "b"]), (1, 4, ["1.3 x", "y"]), (1, 5, [" 2.1.4 Next", None])]
@@ -377,6 +410,30 @@ def page_heading(spark, sf_dir):
     return segments.page_heading(_lines(spark, sf_dir, "page_id"))
 
 
+@query(f"""WITH l AS (SELECT *, max(size) OVER (PARTITION BY doc_id) AS m, min(top) OVER (PARTITION BY doc_id) AS t FROM ({_LINES})),
+g AS (SELECT doc_id, max(size) FILTER (WHERE size < m) AS second, max(m) AS m, arg_min(text, pos) FILTER (WHERE size = m AND top = t) AS h FROM l GROUP BY doc_id)
+SELECT doc_id AS page_id, CASE WHEN second IS NOT NULL AND m >= 1.2 * second AND h IS NOT NULL THEN h ELSE '' END AS heading FROM g""")
+def page_heading_on_top(spark, sf_dir):
+    return segments.page_heading(_lines(spark, sf_dir, "page_id"), top=True)
+
+
+@query("""WITH r AS (SELECT event_id, floor(value) % 10 AS x, event_id % 9 AS y FROM events)
+SELECT event_id, greatest(least(x + 2, 8.0) - greatest(x, 3.0), 0) * greatest(least(y + 2, 7.0) - greatest(y, 2.0), 0) > 2.0 AS inside FROM r""")
+def inside_tables(spark, sf_dir):
+    r = read(spark, sf_dir, "events").selectExpr("event_id", "cast(floor(value) % 10 as double) AS x", "cast(event_id % 9 as double) AS y")
+    x, y, at = F.col("x"), F.col("y"), [F.lit(v) for v in (3.0, 2.0, 8.0, 7.0)]
+    return r.select("event_id", tables.mostly_inside(x, y, x + 2, y + 2, *at).alias("inside"))
+
+
+_PLACES = [(1, "a.xlsx", "table", 2, "Sheet"), (2, "a.xlsx", "table", 2, ""), (3, "b.PPTX", "text", 3, None), (4, "c.pdf", "text", 4, None), (5, "d.txt", "text", None, None), (6, "e.xlsx", "text", 1, "Sheet")]
+
+
+@query("SELECT * FROM (VALUES (1, 'Sheet'), (2, 'page 2'), (3, 'slide 3'), (4, 'page 4'), (5, '-'), (6, 'page 1')) t(id, place)")
+def locations(spark, sf_dir):
+    rows = spark.createDataFrame(_PLACES, "id int, f string, k string, p int, c string")
+    return rows.select("id", tables.location(F.col("f"), F.col("k"), F.col("p"), F.col("c")).alias("place"))
+
+
 _TABLES = [(1, [["a", "b"], [" ", None], ["1", "2"], ["33", "4"]]), (2, [["x", "y"]]), (3, [["", " "]])]
 
 
@@ -462,3 +519,23 @@ def latency_median(spark, sf_dir):
 def prompt_messages(spark, sf_dir):
     turns = F.array(F.struct(F.lit("q").alias("question"), F.lit("a").alias("answer")))
     return _answers(spark, sf_dir).select("doc_id", F.md5(evidence.messages(F.lit("why"), F.col("excerpts"), turns).cast("binary")).alias("digest"))
+
+
+_SAID = [(1, 0, None, "x", "no_evidence"), (2, 1, "e", "x", "failed"), (3, 2, None, " 문서에서 찾을 수 없습니다", "abstained"), (4, 2, None, "답변: fox [1]", "ok"), (5, 1, None, "[ 답변 ] fox", "ok")]
+
+
+@query("SELECT * FROM (VALUES (1, 'no_evidence', 'x', false), (2, 'failed', 'x', false), (3, 'abstained', '문서에서 찾을 수 없습니다', true), (4, 'ok', 'fox [1]', false), (5, 'ok', 'fox', false)) t(id, status, said, abstains)")
+def answer_status(spark, sf_dir):
+    rows = spark.createDataFrame([x[:4] for x in _SAID], "id int, n int, e string, a string")
+    a = F.col("a")
+    return rows.select("id", evidence.status(F.col("n"), F.col("e"), a).alias("status"), evidence.clean_answer(a).alias("said"), evidence.is_abstention(a).alias("abstains"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no_evidence' ELSE 'ok' END AS status, CASE WHEN doc_id % 3 <> 0 THEN length(answer) END AS n FROM (SELECT doc_id, split_part(text, chr(10), 1) || ' [1]' AS answer FROM documents)")
+def answers_by_model(spark, sf_dir):
+    """A stand-in for a model answers with its prompt's first line; without evidence it isn't called."""
+    d = read(spark, sf_dir, "documents")
+    excerpts = F.when(F.col("doc_id") % 3 != 0, F.array(F.struct(F.col("source").alias("file_name"), F.lit("page 1").alias("location"), F.col("text").alias("text")))).otherwise(F.expr("cast(array() as array<struct<file_name:string,location:string,text:string>>)"))
+    rows = d.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("prompt"), F.size(excerpts).alias("n_excerpts"))
+    found = evidence.ask_model(rows, lambda prompts: [p + " [1]" for p in prompts])
+    return found.select(F.col("id").alias("doc_id"), "status", F.length("answer").alias("n"))

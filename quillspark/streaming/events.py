@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,52 @@ def debounce(events: DataFrame, keys: tuple[str, ...] = (), quiet: str = "3 seco
     return out.select(*keys, "first_ts", "last_ts", "n")
 
 
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, kind, source): what happened between two scans (path, hash) of a folder: "created", "modified",
+    "deleted" and "moved", with the path that a moved file had. A file that came with the bytes of one
+    that went has moved; of several with these bytes the first path counts."""
+    gone = before.join(after.select("path"), "path", "left_anti")
+    come = after.join(before.select("path"), "path", "left_anti")
+    first = gone.groupBy("hash").agg(F.min("path").alias("source"))
+    moved = come.join(first, "hash", "left")
+    used = moved.select(F.col("source").alias("path")).where("path is not null").distinct()
+    none = F.lit(None).cast(before.schema["path"].dataType).alias("source")
+    both = after.join(before.select("path", F.col("hash").alias("_h")), "path").where(F.col("hash") != F.col("_h"))
+    return (
+        moved.select("path", F.when(F.col("source").isNull(), "created").otherwise("moved").alias("kind"), "source")
+        .unionAll(both.select("path", F.lit("modified").alias("kind"), none))
+        .unionAll(gone.join(used, "path", "left_anti").select("path", F.lit("deleted").alias("kind"), none))
+    )
+
+
+def idle(requests: DataFrame, after: int = 300, key: str = "user_id") -> DataFrame:
+    """(key, starts, busy_sec) of requests (key, ts): how often something that stops when ``after`` seconds
+    bring no request is started, and how long it runs in all."""
+    line = Window.partitionBy(key).orderBy("ts")
+    second = F.unix_seconds("ts")
+    rows = requests.select(key, (second - F.lag(second).over(line)).alias("gap"), (F.lead(second).over(line) - second).alias("next"))
+    busy = F.sum(F.least(F.coalesce("next", F.lit(after)), F.lit(after)))
+    return rows.groupBy(key).agg(F.count_if(F.col("gap").isNull() | (F.col("gap") > after)).alias("starts"), busy.alias("busy_sec"))
+
+
+def run_until(stream: DataFrame, name: str, checkpoint: str, stop, poll: float = 0.2) -> None:
+    """Runs a stream into a memory table until ``stop()`` says so; the batch at hand is ended first."""
+    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+    while not query.awaitTermination(poll):
+        if stop():
+            query.processAllAvailable()
+            query.stop()
+            return
+
+
 def watch(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stream of the change records that appear as JSON files below a folder."""
-    return spark.readStream.schema(schema).option("recursiveFileLookup", True).json(path)
+    """A stream of the change records (kind, path, is_dir, ...) that appear as JSON files below a folder. With
+    these columns, records of folders and of kinds other than created, modified, deleted and moved are
+    left out."""
+    rows = spark.readStream.schema(schema).option("recursiveFileLookup", True).json(path)
+    if "is_dir" in rows.columns:
+        rows = rows.where(~F.coalesce("is_dir", F.lit(False)))
+    return rows.where(F.col("kind").isin("created", "modified", "deleted", "moved")) if "kind" in rows.columns else rows
 
 
 def latest(results: DataFrame, key: str = "user_id", order: str = "request_id") -> DataFrame:

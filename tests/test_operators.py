@@ -90,9 +90,22 @@ def test_changes(spark):
 
 
 def test_snapshots_switch(spark, tmp_path):
+    root = str(tmp_path)
+    assert snapshots.current(spark, root) == {}
     for n in (1, 2):
-        snapshots.write_snapshot(spark.range(n), str(tmp_path), f"v{n}")
-    assert snapshots.read_snapshot(spark, str(tmp_path)).count() == 2
+        assert snapshots.publish(spark, root, {"t": spark.range(n)}) == n
+    old = snapshots.current(spark, root)["t"]
+    assert spark.read.parquet(old).count() == 2
+    snapshots.publish(spark, root, {"t": old, "u": spark.range(5)})  # a table that stays is not written again
+    assert snapshots.current(spark, root)["t"] == old and spark.read.parquet(snapshots.current(spark, root)["u"]).count() == 5
+
+
+def test_a_failed_write_leaves_the_version_before(spark, tmp_path):
+    root = str(tmp_path)
+    snapshots.publish(spark, root, {"t": spark.range(3)})
+    with pytest.raises(Exception, match="broken"):
+        snapshots.publish(spark, root, {"t": spark.range(9), "u": spark.range(1).select(F.raise_error(F.lit("broken")))})
+    assert spark.read.parquet(snapshots.current(spark, root)["t"]).count() == 3
 
 
 def test_answers(spark):
