@@ -29,7 +29,7 @@ def empty(spark):
 
 
 def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (100, 101)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (100, 101), (None, 7), (200, None), (None, None)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
@@ -221,17 +221,28 @@ def test_html_cases(spark):
 
 def test_maximal_segments_are_those_of_the_definition():
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        s = np.round(rng.normal(-0.2, 1, rng.integers(1, 14)), 2)
+    for _ in range(300):
+        s = rng.normal(-0.2, 1, rng.integers(0, 14))  # no two sums are equal, so the places are one
 
         def split(lo, hi):  # the best segment, then both sides of it
-            best = max(((s[i:j].sum(), -(j - i), -i, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0,))
-            if best[0] <= 1e-9:
+            best = max(((s[i:j].sum(), i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0,))
+            if best[0] <= 0:
                 return []
-            return split(lo, best[3]) + [(best[3], best[4])] + split(best[4], hi)
+            return split(lo, best[1]) + [best[1:]] + split(best[2], hi)
 
         got = toxicity.maximal_segments(s)
-        assert sum(v for *_, v in got) == pytest.approx(sum(s[i:j].sum() for i, j in split(0, len(s))))
+        assert [(i, j) for i, j, _ in got] == split(0, len(s))
+        assert [v for *_, v in got] == pytest.approx([s[i:j].sum() for i, j, _ in got])
+
+
+def test_passages_of_very_long_texts(spark):
+    model = toxicity.Model({"w:vile": 4.0, "b:rott": 3.0}, -0.05, 1.0, 0.5, 1.0, -3.0)
+    long = "plain words " * 300_000
+    rows = [(1, long + "vile rotten vile rottenness " + long, 0, "x"), (2, long, 0, "x"), (3, None, 0, "x"), (4, "!", 0, "x"), (5, "Vile, VILE rotten", 0, "x")]
+    got = {r["doc_id"]: r for r in toxicity.score_documents(spark.createDataFrame(rows, SCHEMA), model, spans=True).collect()}
+    assert [(x["begin"], x["end"]) for x in got[1]["_quill_passages"]] == [(len(long), len(long) + 27)]
+    assert [(x["begin"], x["end"]) for x in got[5]["_quill_passages"]] == [(0, 17)]
+    assert got[2]["_quill_score"] == got[3]["_quill_score"] == got[4]["_quill_score"] < got[1]["_quill_score"] < 1
 
 
 def test_toxicity_learns_and_handles_odd_rows(spark):
@@ -327,6 +338,10 @@ def test_lists_over_time(spark):
     got = url_lists.judge(spark, caps, lists).collect()
     assert sorted((r["page_id"], r["blocked"], r["n_entries"]) for r in got) == [(1, True, 1), (1, True, 1), (2, False, 0), (3, True, 1), (4, False, 0), (5, False, 2), (6, False, 0), (7, False, 0), (8, False, 0)]
     assert url_lists.judge(spark, caps.limit(0), lists.limit(0)).count() == 0
+    assert {r["blocked"] for r in url_lists.judge(spark, caps, lists.limit(0)).collect()} == {False}
+    clash = caps.selectExpr("*", "1 AS list", "'x' AS entry", "'k' AS kind", "2 AS since", "3 AS until", "4 AS _row", "'u' AS _url")
+    same = url_lists.judge(spark, clash, lists.selectExpr("*", "'h' AS url", "5 AS page_id", "6 AS _at")).collect()
+    assert sorted((r["page_id"], r["blocked"], r["n_entries"]) for r in same) == sorted((r["page_id"], r["blocked"], r["n_entries"]) for r in got)
 
 
 def test_shards_are_even_and_whole(spark, docs, empty):
