@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,12 @@ def failures_first(outcomes: DataFrame, n: int) -> DataFrame:
     return outcomes.withColumn("wrong", wrong).orderBy(F.desc("wrong"), "case_id").limit(n)
 
 
+def merge_reports(reports: dict[str, DataFrame]) -> DataFrame:
+    """Reports of several machines as one table with the ``machine`` each is from; what a report lacks is null."""
+    parts = [r.withColumn("machine", F.lit(name)) for name, r in reports.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def page(ranked: DataFrame, order: list, number: int, size: int = 5) -> DataFrame:
     """One page of a ranked result, pages from 0."""
     return ranked.orderBy(*order).offset(number * size).limit(size)

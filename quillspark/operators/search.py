@@ -19,6 +19,8 @@ from ..functions.text import BASES, MARKED, term_variants, tokens
 
 WEIGHTS = {"content": 1.0, "file_name": 2.0, "keywords": 1.0, "caption": 5.0}
 K1, B = 1.2, 0.75
+#: Bytes of a row group of postings: a query reads whole ones.
+ROW_GROUP = 8 << 20
 
 
 def phrase_tokens(phrase: str) -> list[str]:
@@ -79,10 +81,38 @@ def build_index(chunks: DataFrame, root: str, columns: tuple[str, ...] = tuple(W
     rows.write.parquet(f"{root}/tokens")
     rows = spark.read.parquet(f"{root}/tokens")
     rows.select("seq", "type", "n_tokens").write.parquet(f"{root}/lengths")
+    write_stats(spark, root)
+    postings(rows).write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/postings")
+    return Index(spark, root)
+
+
+def refresh_index(index: Index, root: str, changed: DataFrame, removed: DataFrame, columns: tuple[str, ...] = tuple(WEIGHTS)) -> Index:
+    """Writes the index below ``root`` that holds ``changed`` chunks in the place of those of their seq, or as
+    new ones, and none of the ``removed`` (seq). Only changed chunks are tokenized; of the others postings,
+    lengths and rows are taken over. The old index stays as it is for those who read it."""
+    spark = index.spark
+    gone = changed.select("seq").unionAll(removed.select("seq")).distinct()
+    gone.write.parquet(f"{root}/gone")
+    gone = spark.read.parquet(f"{root}/gone")
+    fresh = changed.join(removed.select("seq").distinct(), "seq", "left_anti")
+    tokenized(fresh, columns).write.parquet(f"{root}/tokens")
+    rows = spark.read.parquet(f"{root}/tokens")
+
+    def renew(name: str, new: DataFrame) -> DataFrame:
+        return index.read(name).join(gone, "seq", "left_anti").unionByName(new)
+
+    renew("chunks", fresh.select(*index.read("chunks").columns)).write.parquet(f"{root}/chunks")
+    renew("lengths", rows.select("seq", "type", "n_tokens")).write.parquet(f"{root}/lengths")
+    write_stats(spark, root)
+    line = ["term", "field", "seq"]
+    found = renew("postings", postings(rows)).repartitionByRange(*line).sortWithinPartitions(*line)
+    found.write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/postings")
+    return Index(spark, root)
+
+
+def write_stats(spark: SparkSession, root: str) -> None:
     lengths = spark.read.parquet(f"{root}/lengths")
     lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("total")).coalesce(1).write.parquet(f"{root}/stats")
-    postings(rows).write.option("parquet.block.size", 8 << 20).parquet(f"{root}/postings")
-    return Index(spark, root)
 
 
 def bm25(

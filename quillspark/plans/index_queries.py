@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import indexing, results, snapshots, vectors
+from ..operators import indexing, results, search, snapshots, tables, vectors
 from ..operators.ranking import l2_normalize
 from ..sources import files
 from ..streaming import events as stream
 from ..workspace import Scratch
-from .search_queries import read, tokens_sql
+from .search_queries import chunks, index_of, read, tokens_sql
 from .text_queries import chunk_rows_sql
 
 QUERIES, SQL = {}, {}
@@ -121,6 +121,32 @@ def supported_count(spark, sf_dir):
     return files.count_supported(read(spark, sf_dir, "pages").select(F.regexp_replace("url", r"[?#].*\z", "").alias("path")))
 
 
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'trash heap ' ELSE '' END || coalesce(text, '') AS text FROM documents WHERE doc_id % 5 <> 0)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM d) GROUP BY term""")
+def index_refresh(spark, sf_dir):
+    rows = chunks(spark, sf_dir)
+    changed = rows.where("seq % 4 = 0").withColumn("content", F.concat(F.lit("trash heap "), "content"))
+    index = search.refresh_index(index_of(spark, sf_dir), Scratch(spark, "index").root, changed, rows.where("seq % 5 = 0").select("seq"))
+    return search.term_frequencies(index, "content")
+
+
+@query("""WITH b AS (SELECT event_id, user_id % 20 AS p, floor(value) % 40 AS x, event_id % 37 AS y FROM events),
+t AS (SELECT user_id % 20 AS p, floor(value) % 40 AS x, event_id % 37 AS y FROM events WHERE event_id % 500 = 0)
+SELECT event_id FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.p = b.p AND
+  greatest(least(b.x + 4, t.x + 9) - greatest(b.x, t.x), 0) * greatest(least(b.y + 3, t.y + 9) - greatest(b.y, t.y), 0) > 6)""")
+def outside_tables(spark, sf_dir):
+    e = read(spark, sf_dir, "events").selectExpr("event_id", "user_id % 20 AS page_id", "cast(floor(value) % 40 as double) AS x0", "cast(event_id % 37 as double) AS y0")
+    blocks = e.selectExpr("*", "x0 + 4 AS x1", "y0 + 3 AS y1")
+    boxes = e.where("event_id % 500 = 0").selectExpr("page_id", "x0", "y0", "x0 + 9 AS x1", "y0 + 9 AS y1")
+    return tables.outside_tables(blocks, boxes).select("event_id")
+
+
+@query("SELECT machine, event_type, CASE WHEN machine = 'a' THEN count(*) END AS n, CASE WHEN machine = 'b' THEN round(sum(value), 3) END AS total FROM events, (VALUES ('a'), ('b')) m(machine) GROUP BY machine, event_type")
+def merged_reports(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return results.merge_reports({"a": e.groupBy("event_type").agg(F.count("*").alias("n")), "b": e.groupBy("event_type").agg(F.round(F.sum("value"), 3).alias("total"))})
+
+
 # --- vectors --------------------------------------------------------------------------------------
 _STATES = "list_transform(range(0, 4), lambda i: embedding[16 * i + 1:16 * i + 16]::DOUBLE[])"
 _MASK = "[1.0::DOUBLE, (vec_id % 2)::DOUBLE, (vec_id % 3 > 0)::INT::DOUBLE, 0.0]"

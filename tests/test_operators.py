@@ -54,6 +54,16 @@ def test_index_of_odd_rows(spark, tmp_path):
     assert none.read("stats").first()["n"] == 0
 
 
+def test_a_refreshed_index_is_the_one_built_anew(spark, chunks, tmp_path):
+    old = chunks.read("chunks")
+    changed = old.where("seq = 2").withColumn("content", F.lit("a red hen")).unionByName(old.where("seq = 3").withColumn("seq", F.lit(9).cast("long")))
+    new = search.refresh_index(chunks, f"{tmp_path}/new", changed, old.where("seq = 1").select("seq"))
+    whole = search.build_index(old.where("seq in (3, 4)").unionByName(changed), f"{tmp_path}/whole")
+    for name in ("postings", "lengths", "stats", "chunks"):
+        assert sorted(map(str, new.read(name).collect())) == sorted(map(str, whole.read(name).select(*new.read(name).columns).collect()))
+    assert ids(search.bm25(new, "red hen")) == [2] and ids(search.bm25(chunks, "red hen")) == [1]
+
+
 def test_a_query_reads_the_postings_of_its_terms(spark, chunks):
     plan = search.bm25(chunks, "red hen")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(term,red)" in plan and "StringStartsWith(term,hen)" in plan and "/postings" in plan and "/chunks" not in plan
