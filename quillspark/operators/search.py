@@ -166,7 +166,6 @@ def scored(index: Index, phrases, n_terms: int, exact: bool, require_all: bool,
 
     wanted = [is_last(p[-1]) for _, _, p in named if p] + [F.col("term").isin(sorted({w for _, _, p in named for w in p[:-1]}))]
     rows = index.read("postings").where(reduce(lambda a, b: a | b, wanted))
-    no_places = F.array().cast("array<int>")
 
     def places(test: Column) -> Column:
         return F.flatten(F.collect_list(F.when(test, F.col("places"))))
@@ -174,23 +173,22 @@ def scored(index: Index, phrases, n_terms: int, exact: bool, require_all: bool,
     def back(j: int):
         return lambda place: place - j
 
-    counts = {}
-    for _, name, p in named:
-        if not p:
-            counts[name] = [F.lit(0).alias(name)]
-        elif len(p) == 1:
-            counts[name] = [F.sum(F.when(is_last(p[0]), F.size("places")).otherwise(0)).alias(name)]
-        else:
-            tests = [F.col("term") == w for w in p[:-1]] + [is_last(p[-1])]
-            counts[name] = [places(t).alias(f"{name}_{j}") for j, t in enumerate(tests)]
-    by_field = rows.groupBy("seq", "type", "n_tokens", "field").agg(*[c for parts in counts.values() for c in parts])
-    for _, name, p in named:
-        if len(p) > 1:  # starts from which every word of the phrase follows at its distance
-            shifted = [F.transform(F.coalesce(f"{name}_{j}", no_places), back(j)) for j in range(len(p))]
-            by_field = by_field.withColumn(name, F.size(reduce(F.array_intersect, shifted)))
     weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("field")]
+    weight = F.coalesce(weight, F.lit(0.0))
     names = [name for _, name, _ in named]
-    rows = by_field.groupBy("seq", "type", "n_tokens").agg(*[F.sum(F.col(n) * F.coalesce(weight, F.lit(0.0))).alias(n) for n in names])
+    if all(len(p) < 2 for _, _, p in named):
+        hits = [F.when(is_last(p[0]), F.size("places")).otherwise(0) * weight if p else F.lit(0.0) for _, _, p in named]
+        rows = rows.groupBy("seq", "type", "n_tokens").agg(*[F.sum(h).alias(n) for n, h in zip(names, hits)])
+    else:  # the places of a phrase's words meet in each field, then fields add up where they lie
+        counts = []
+        for _, name, p in named:
+            tests = [F.col("term") == w for w in p[:-1]] + [is_last(p[-1])] if p else []
+            counts += [places(t).alias(f"{name}_{j}") for j, t in enumerate(tests)]
+        by_field = rows.repartition("seq").groupBy("seq", "type", "n_tokens", "field").agg(*counts)
+        for _, name, p in named:  # starts from which every word of the phrase follows at its distance
+            shifted = [F.transform(f"{name}_{j}", back(j)) for j in range(len(p))]
+            by_field = by_field.withColumn(name, F.size(reduce(F.array_intersect, shifted)) if p else F.lit(0))
+        rows = by_field.groupBy("seq", "type", "n_tokens").agg(*[F.sum(F.col(n) * weight).alias(n) for n in names])
     stats = index.read("stats").select(F.col("n").alias("_n"), (F.col("total") / F.col("n")).alias("_avg"))
     # one row of counts beside the one of statistics
     stats = stats.crossJoin(rows.agg(*[F.count_if(F.col(n) > 0).alias(f"_d{n}") for n in names]))
