@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, evidence, segments, snapshots, tables
+from ..operators.indexing import NAMESPACE
 from ..streaming import events as stream
 from .search_queries import read, tokens_sql, vectors
 
@@ -123,10 +124,10 @@ def bigram_overlap(spark, sf_dir):
     return rows.select("doc_id", F.round(T.overlap_ratio(first, F.col("x")), 6).alias("overlap"))
 
 
-_TERMS = ["보고서를", "도로", "부산에서의", "trash", "회의록으로부터", "은", "보고서까지는", "합니다"]
+_TERMS = ["보고서를", "바로", "부산에서의", "trash", "회의록으로부터", "은", "보고서까지는", "합니다"]
 
 
-@query("SELECT * FROM (VALUES ('보고서를', '보고서'), ('도로', NULL), ('부산에서의', '부산'), ('trash', NULL), ('회의록으로부터', '회의록'), ('은', NULL), ('보고서까지는', '보고서까지'), ('합니다', NULL)) t(term, stem)")
+@query("SELECT * FROM (VALUES ('보고서를', '보고서'), ('바로', NULL), ('부산에서의', '부산'), ('trash', NULL), ('회의록으로부터', '회의록'), ('은', NULL), ('보고서까지는', '보고서까지'), ('합니다', NULL)) t(term, stem)")
 def korean_variants(spark, sf_dir):
     return spark.createDataFrame([(t,) for t in _TERMS], "term string").select("term", T.stem_column(F.col("term")).alias("stem"))
 
@@ -180,10 +181,6 @@ def safe_file_name(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.safe_name(F.concat("source", F.lit("/"), "lang", F.lit(" "), F.col("doc_id").cast("string"))).alias("name"))
 
 
-#: Fixed value: the namespace of document ids.
-NAMESPACE = "6f1a2c3d4e5b4a7c8d9e0f1a2b3c4d5e"
-
-
 @query(f"SELECT page_id, substr(h, 1, 12) || '5' || substr(h, 14, 3) || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 15) AS uid FROM (SELECT page_id, sha1(from_hex('{NAMESPACE}') || encode(lower(url))) AS h FROM pages)")
 def doc_uuid5(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.uuid5(NAMESPACE, F.lower("url")).alias("uid"))
