@@ -48,7 +48,7 @@ class WordIds:
     generations of at most ``limit`` runs bound the memory; a run that comes again stays.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 150_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -26,6 +26,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 #: Labelled rows used at most; they are chosen by a hash of their id.
 MAX_LABELLED = 40_000
+#: Words that a task remembers at a time, so that its memory has a bound; it begins anew with the next.
+MOST_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ def features(text: str) -> set[str]:
 
 class Scores(dict):
     """Token scores by word: the whole word's if it has one, else that of its longest beginning.
-    Bounded: it forgets all when it holds a million words."""
+    Bounded: it forgets all when it holds MOST_WORDS."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
@@ -63,7 +65,7 @@ class Scores(dict):
                     break
         if found is None:
             found = self.model.neutral
-        if len(self) >= 1_000_000:
+        if len(self) >= MOST_WORDS:
             self.clear()
         self[word] = found
         return found
@@ -184,7 +186,7 @@ def train(
                     if (x := seen.get(f)) is None:
                         x = seen[f] = [0, 0]
                     x[y] += 1
-            if len(seen) > 400_000:
+            if len(seen) > MOST_WORDS:
                 yield out()
                 seen, docs_of = {}, [0, 0]
         yield out()
