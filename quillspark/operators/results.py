@@ -118,4 +118,4 @@ def write_csv(trace: DataFrame, path: str) -> None:
 
 def lines(report: DataFrame, n: int = 20) -> str:
     """The first rows as a person reads them."""
-    return report._jdf.showString(n, 80, False)
+    return report.limit(n).toPandas().to_string(index=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +37,12 @@ _INDEXES: dict[tuple, search.Index] = {}
 
 def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
     """The index of the chunks, built once for an application and a state of the documents' files."""
-    fs, path = file_system(spark, f"{sf_dir}/documents.parquet")
-    key = (spark.sparkContext.applicationId, *[(str(x.getPath()), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path)])
+    files = []
+    for name in read(spark, sf_dir, "documents").inputFiles():
+        fs, path = file_system(spark, unquote(name))
+        found = fs.getFileStatus(path)
+        files.append((name, found.getLen(), found.getModificationTime()))
+    key = (spark.sparkContext.applicationId, *sorted(files))
     if key not in _INDEXES:
         _INDEXES[key] = search.build_index(chunks(spark, sf_dir), Scratch(spark, "index").root)
     return _INDEXES[key]
