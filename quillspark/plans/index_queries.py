@@ -11,7 +11,7 @@ from ..sources import files
 from ..streaming import events as stream
 from ..workspace import Scratch
 from .search_queries import chunks, index_of, read, tokens_sql
-from .text_queries import chunk_rows_sql
+from .text_queries import chunk_rows_sql, strip_sql
 
 QUERIES, SQL = {}, {}
 
@@ -81,6 +81,18 @@ def reindex_listed(spark, sf_dir):
     return _chunks_of(store)
 
 
+@query("""SELECT 'f' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.docx' WHEN doc_id % 7 = 1 THEN '.pdf' ELSE '.txt' END AS path, CASE WHEN doc_id % 7 < 2 THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN doc_id % 7 < 2 THEN 'f' || doc_id ELSE substr(ltrim(""" + strip_sql("coalesce(t, '')") + """, '#'), 1, 200) END AS title
+FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: """ + strip_sql("x") + """ <> '')[1] AS t FROM documents)""")
+def failed_documents(spark, sf_dir):
+    """Files that no reader can open are documents too, named by their file."""
+    rows = _files(spark, sf_dir)
+    kind = F.when(F.col("doc_id") % 7 == 0, ".docx").when(F.col("doc_id") % 7 == 1, ".pdf").otherwise(".txt")
+    store = indexing.Store(spark, Scratch(spark, "store").root)
+    store.index(rows.withColumn("path", F.concat(F.lit("f"), F.col("doc_id").cast("string"), kind)))
+    return store.read("documents").select("path", "status", "title")
+
+
 @query("SELECT 'c' || doc_id || '/pic.png' AS image_path FROM documents WHERE doc_id % 3 = 0")
 def lingering_images(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
