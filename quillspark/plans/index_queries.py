@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import indexing, results, search, snapshots, tables, vectors
@@ -214,8 +214,9 @@ def vector_codec(spark, sf_dir):
 @query("SELECT CAST(row_number() OVER (ORDER BY md5('' || doc_id)) AS INT) AS pos, doc_id, md5(text) AS digest FROM documents QUALIFY pos <= 200")
 def ordered_lookup(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    place = F.expr("row_number() OVER (ORDER BY md5(cast(cast(doc_id as string) as binary)))")
-    wanted = d.select("doc_id", place.alias("pos")).where("pos <= 200")
+    key = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    wanted = d.select("doc_id", key.alias("key")).orderBy("key").limit(200)
+    wanted = wanted.select("doc_id", F.row_number().over(Window.orderBy("key")).alias("pos"))  # of 200 rows
     return results.in_order(wanted, d.select("doc_id", "text"), "doc_id").select("pos", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
