@@ -19,6 +19,45 @@ from ..workspace import Scratch
 BLOCK = 512
 
 
+#: Bits of one row of a sieve, and the most and fewest rows of one: 32 MB are the most that is broadcast.
+SIEVE_ROW, SIEVE_MOST, BITS_EACH = 32_768, 8192, 16
+
+
+def sieve(ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """((block, bits), bits in all) of ids (id long): a table that tells of an id that it is not among them, or
+    may be. With 16 bits an id one in 16 of the others may; from 16 million ids on the table grows no
+    more and tells less, until in the end every id may be among them."""
+    n = ids.count()
+    size = SIEVE_ROW
+    while size < n * BITS_EACH and size < SIEVE_ROW * SIEVE_MOST:
+        size *= 2
+    place = F.pmod(F.xxhash64("id"), F.lit(size))
+    rows = ids.select(F.floor(place / SIEVE_ROW).cast("int").alias("block"), F.pmod(place, F.lit(SIEVE_ROW)).alias("at"))
+    return scratch.keep(rows.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))), size
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, longer by underscores as long as a column has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def sifted(frame: DataFrame, id_col: str, found: tuple[DataFrame, int]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be one of the sieve's, rows whose id is not), all their columns. No row moves."""
+    table, size = found
+    block, bits, maybe = (free_name(frame, f"_quill_{x}") for x in ("block", "bits", "maybe"))
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(size))
+    at = F.pmod(place, F.lit(SIEVE_ROW))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))).cast("long"), F.lit(2)) == 1
+    table = F.broadcast(table.toDF(block, bits))  # SIEVE_MOST rows of 4 KB at most
+    rows = frame.join(table, F.floor(place / SIEVE_ROW).cast("int") == F.col(block), "left")
+    rows = rows.withColumn(maybe, F.coalesce(bit, F.lit(False))).drop(block, bits)
+    return rows.where(F.col(maybe)).drop(maybe), rows.where(~F.col(maybe)).drop(maybe)
+
+
 def blocked(rows: DataFrame, scratch: Scratch, block: int = BLOCK, payloads: DataFrame | None = None) -> DataFrame:
     """(k long, id long, payload binary) to rows of (k, lo, hi, part, id, payload), where each pair
     of a bucket shares a group (k, lo, hi). Buckets of one row are left out: they hold no pair.

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..workspace import ship
 
@@ -164,7 +165,7 @@ def train(
     known = known.where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (fold("_id") != 0))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled).collect()
-    chosen = spark.createDataFrame([(r[0], r[1]) for r in chosen], known.schema)
+    chosen = spark.createDataFrame(pa.table({"_id": [r[0] for r in chosen], "_y": [r[1] for r in chosen]}, schema=to_arrow_schema(known.schema)), known.schema)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
     rows = rows.join(F.broadcast(chosen), "_id").select("_text", "_y", (F.xxhash64("_id", F.lit(1)) % 4 == 0).alias("_late"))
 

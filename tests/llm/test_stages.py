@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -88,7 +89,7 @@ def test_toxic_rows_go_and_others_stay(spark, corpus, folder):
 
 def test_near_copies_leave_columns_alone(spark, corpus):
     rows = [(*r, "mine", f"row {n}", {"a": n}) for n, r in enumerate(corpus)]
-    docs = spark.createDataFrame(rows, SCHEMA + ", _id string, _quill_row string, m map<string,int>")
+    docs = spark.createDataFrame(rows, SCHEMA + ", _id string, _quill_row string, m map<string,int>").withColumns({"_quill_maybe": F.lit(1), "_quill_bits": F.lit(2), "a.b": F.lit(3)})
     got = pipeline_stages.drop_near_copies(spark, docs)
     assert got.columns == docs.columns
     got = got.collect()
