@@ -152,8 +152,14 @@ WHOLE = [
 ]
 
 
+def stated(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Fixed values as a table, as one expression."""
+    line = [F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*line)))
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
     """(licence_id, digest, n) of the notices, short texts and whole licences above."""
-    short = known_digests(spark.createDataFrame(KNOWN, "licence_id string, text string"))
-    whole = spark.createDataFrame(WHOLE, "licence_id string, digest string, n long")
+    short = known_digests(stated(spark, KNOWN, ["licence_id", "text"]))
+    whole = stated(spark, WHOLE, ["licence_id", "digest", "n"]).withColumn("n", F.col("n").cast("long"))
     return short.unionByName(whole).groupBy("digest").agg(F.min("licence_id").alias("licence_id"), F.min("n").alias("n"))
