@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .ann import nearest
 from .html_extract import extract_pages
 from .lattice import embedding_components
@@ -21,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_lattice_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +116,16 @@ def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), known_licences(spark))
 
 
+def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lattice_near_dups, op2_power_of_two_packing, op3_html_main_text, op4_toxic_segments, op5_hierarchical_mixing,
         op6_stable_projection_search, op7_temporal_url_lists, op8_histogram_sort_shards, op9_pigeonring_simhash,
-        op10_licence_digests,
+        op10_licence_digests, op12_bpe_transducer,
     )
 }
 
