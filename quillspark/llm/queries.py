@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import alignment, bpe
 from .ann import nearest
 from .html_extract import extract_pages
 from .lattice import embedding_components
@@ -120,12 +120,18 @@ def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = alignment.align(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lattice_near_dups, op2_power_of_two_packing, op3_html_main_text, op4_toxic_segments, op5_hierarchical_mixing,
         op6_stable_projection_search, op7_temporal_url_lists, op8_histogram_sort_shards, op9_pigeonring_simhash,
-        op10_licence_digests, op12_bpe_transducer,
+        op10_licence_digests, op12_bpe_transducer, op13_token_alignment,
     )
 }
 
