@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe
+from . import alignment, bpe, sequences
 from .ann import nearest
 from .html_extract import extract_pages
 from .lattice import embedding_components
@@ -116,6 +116,30 @@ def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), known_licences(spark))
 
 
+#: Patterns of op11: the longest step between two events, and of all of one, in microseconds.
+GAP, SPAN = 300_000_000, 450_000_000
+
+
+def click_events(clicks: DataFrame) -> DataFrame:
+    """(client_id, at, kind): clicks as events in microseconds. Every fifth of them or so, by its id's digest, is
+    opened a second before and shut a second after."""
+    since = F.col("ts") - F.lit("1970-01-01 00:00:00").cast(clicks.schema["ts"].dataType)  # without a zone's changes
+    part = lambda unit: F.expr(f"extract({unit} FROM since)")
+    at = ((part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
+    rows = clicks.where("client_id is not null and ts is not null and kind is not null").withColumn("since", since).select("client_id", at.alias("at"), "kind", F.crc32(F.col("click_id").cast("string")).alias("digest"))
+    event = lambda kind, shift: F.struct(kind.alias("kind"), (F.col("at") + shift).alias("at"))
+    own = event(F.col("kind"), 0)
+    said = F.when(F.col("digest") % 5 == 0, F.array(own, event(F.lit("open"), -1_000_000), event(F.lit("shut"), 1_000_000))).otherwise(F.array(own))
+    return rows.select("client_id", F.explode(said).alias("e")).select("client_id", "e.at", "e.kind")
+
+
+def op11_cspade_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = click_events(table(spark, sf_dir, "clicks"))
+    found = sequences.frequent_sequences(spark, events, GAP, SPAN, weight=lambda client: F.crc32(client.cast("string")))
+    return sequences.with_wider(found).select(
+        F.array_join("pattern", ">").alias("pattern"), "length", "support", F.col("weight").alias("clients_crc"), "n_wider", (F.col("n_wider") == 0).alias("closed"))
+
+
 def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -131,7 +155,7 @@ QUERIES = {
     for f in (
         op1_lattice_near_dups, op2_power_of_two_packing, op3_html_main_text, op4_toxic_segments, op5_hierarchical_mixing,
         op6_stable_projection_search, op7_temporal_url_lists, op8_histogram_sort_shards, op9_pigeonring_simhash,
-        op10_licence_digests, op12_bpe_transducer, op13_token_alignment,
+        op10_licence_digests, op11_cspade_patterns, op12_bpe_transducer, op13_token_alignment,
     )
 }
 
@@ -234,4 +258,32 @@ FROM (SELECT doc_id, unit, md5({_canonical('t')}) AS digest FROM units) JOIN kno
 GROUP BY doc_id, unit, licence_id
 """
 
-ORACLE_SQL = {"op5_hierarchical_mixing": OP5_SQL, "op7_temporal_url_lists": OP7_SQL, "op10_licence_digests": OP10_SQL}
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a string of ASCII characters; ``tab`` is the list of its 256 steps."""
+    letters = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {letters}), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
+
+
+def _longer(n: int) -> str:
+    return f"""l{n} AS (SELECT l.c, l.p || '>' || v.k AS p, v.t AS e, max(l.s) AS s FROM l{n - 1} l JOIN ev v
+  ON v.c = l.c AND v.t > l.e AND v.t <= l.e + {GAP} AND v.t <= l.s + {SPAN} GROUP BY ALL)"""
+
+
+OP11_SQL = f"""
+WITH tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i))),
+k AS (SELECT client_id AS c, kind AS k, epoch_us(ts) AS t, {_crc("click_id::VARCHAR")} AS digest FROM clicks, tab WHERE client_id IS NOT NULL AND ts IS NOT NULL AND kind IS NOT NULL),
+ev AS (SELECT c, k, t FROM k UNION SELECT c, 'open', t - 1000000 FROM k WHERE digest % 5 = 0 UNION SELECT c, 'shut', t + 1000000 FROM k WHERE digest % 5 = 0),
+l1 AS (SELECT c, k AS p, t AS e, t AS s FROM ev), {_longer(2)}, {_longer(3)}, {_longer(4)},
+who AS (SELECT c, {_crc("c::VARCHAR")} AS digest FROM (SELECT DISTINCT c FROM ev), tab),
+s AS (SELECT p, count(*) AS support, CAST(sum(digest) AS BIGINT) AS clients_crc FROM (SELECT DISTINCT c, p FROM (SELECT c, p FROM l1 UNION ALL SELECT c, p FROM l2 UNION ALL SELECT c, p FROM l3 UNION ALL SELECT c, p FROM l4))
+  JOIN who USING (c) GROUP BY p),
+f AS (SELECT p, string_split(p, '>') AS parts, support, clients_crc FROM s WHERE support >= 2 AND support * 100 >= 3 * (SELECT count(*) FROM who)),
+d AS (SELECT DISTINCT support, p AS wide, array_to_string(list_filter(parts, lambda x, i: (m >> (i - 1)) & 1 = 1), '>') AS p FROM (SELECT *, unnest(range(1, CAST(pow(2, len(parts)) AS BIGINT) - 1)) AS m FROM f)),
+n AS (SELECT p, support, count(*) AS n_wider FROM d GROUP BY p, support)
+SELECT p AS pattern, CAST(len(parts) AS INT) AS length, support, clients_crc, coalesce(n_wider, 0) AS n_wider, coalesce(n_wider, 0) = 0 AS closed FROM f LEFT JOIN n USING (p, support)
+"""
+
+ORACLE_SQL = {"op11_cspade_patterns": OP11_SQL, "op5_hierarchical_mixing": OP5_SQL, "op7_temporal_url_lists": OP7_SQL, "op10_licence_digests": OP10_SQL}

@@ -14,7 +14,7 @@ from quillspark.llm import queries
 from test_llm_operators import plain_components, plain_simhash
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations clicks".split()
 
 
 @pytest.fixture(scope="module")
