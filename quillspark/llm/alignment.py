@@ -31,7 +31,7 @@ NOUGHT = 9_999_999
 #: Pairs whose counts go to every task: a table of more of them meets its pairs by a shuffle.
 SENT_PAIRS = 1_000_000
 #: Characters of texts in a block.
-BLOCK = 4_000_000
+BLOCK = 500_000
 #: White space that the tokenizers and Python don't see alike.
 UNLIKE = "\x1c\x1d\x1e\x1f"
 PIECE = re.compile(r"\s*\S+|\s+")
@@ -262,11 +262,15 @@ def aligned(blocks: DataFrame, longest_token: int) -> DataFrame:
     return blocks.select(F.explode(found).alias("d")).select("d.*")
 
 
-def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", sent_pairs: int = SENT_PAIRS) -> tuple[DataFrame, DataFrame]:
+def align(
+    spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", sent_pairs: int = SENT_PAIRS,
+    said=lambda groups: groups,
+) -> tuple[DataFrame, DataFrame]:
     """(documents, pairs) of two tokenizers over whole texts.
 
     documents: (id_col, n_a, n_b, n_groups, n_links, groups, n_best, count_sum), a row each. groups: the ids
-    between ends that both have, "a1,a2|b1;a3|b2". n_links: pairs of tokens whose bytes overlap; n_best: those
+    between ends that both have, "a1,a2|b1;a3|b2", or what ``said`` makes of that text: it is sent with its
+    document, so who needs a digest alone should say so. n_links: pairs of tokens whose bytes overlap; n_best: those
     whose count is the highest of their first id, ties included; count_sum: the links' counts added up.
     pairs: (id_a, id_b, n_docs): in how many documents a pair is linked, over the whole corpus.
 
@@ -281,7 +285,7 @@ def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, id_col
     longest = pair_of(path_a, path_b).longest_token
     found = aligned(tokenized(docs, path_a, path_b, id_col, text_col), longest)
     links = with_counts(F.sort_array("links"))
-    kept = scratch.keep(found.select("_id", F.monotonically_increasing_id().alias("_row"), "n_a", "n_b", F.size("links").cast("long").alias("n_links"), "groups", links.alias("links")))
+    kept = scratch.keep(found.select("_id", F.monotonically_increasing_id().alias("_row"), "n_a", "n_b", F.size("links").cast("long").alias("n_links"), said(F.col("groups")).alias("groups"), links.alias("links")))
     linked = kept.select("_row", F.explode("links").alias("x")).select("_row", "x.pair", "x.n")
     counts = scratch.keep(linked.groupBy("pair").agg(F.count("*").alias("n_docs")))
     best = counts.groupBy(F.shiftright("pair", ID_BITS).alias("first")).agg(F.max("n_docs").alias("most"))

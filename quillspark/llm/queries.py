@@ -145,9 +145,9 @@ def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = alignment.align(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    found, _ = alignment.align(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), said=digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
 
 
 QUERIES = {
