@@ -31,6 +31,8 @@ RUN = 16
 ROWS, STEP = 1 << 14, 1 << 20
 #: Candidates of a row of bits: eight words.
 WORDS, WIDE = 8, 512
+#: Candidates of a row of counts.
+SIDE_BY_SIDE = 32
 
 
 class Miner:
@@ -152,22 +154,28 @@ def supporters(spread: DataFrame, child: list[np.ndarray], gap: int, span: int)
 
 
 def counted(bits: DataFrame, weight) -> DataFrame:
-    """(candidate, support, weight) of the bits of clients."""
+    """(candidate, support, weight) of the bits of clients. A task adds up what it reads, and gives rows of SIDE_BY_SIDE
+    candidates each."""
+    names = [f"{x}{i}" for i in range(SIDE_BY_SIDE) for x in ("n", "s")]
 
     def run(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             chunks, weights = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             words = np.stack([batch.column(2 + i).to_numpy() for i in range(WORDS)], 1)
             for c in np.unique(chunks):
                 own = chunks == c
-                on = np.unpackbits(np.ascontiguousarray(words[own]).view("u1"), axis=1, bitorder="little")
-                n = on.sum(0, dtype="i8")
-                there = np.flatnonzero(n)
-                sums = np.array([weights[own][on[:, i] > 0].sum() for i in there], "i8")
-                yield pa.record_batch([pa.array(there + int(c) * WIDE), pa.array(n[there]), pa.array(sums)], names=["candidate", "support", "weight"])
+                on = np.unpackbits(np.ascontiguousarray(words[own]).view("u1"), axis=1, bitorder="little").astype("i8")
+                sums[int(c)] = sums.get(int(c), 0) + np.stack([on.sum(0), weights[own] @ on], 1)
+        for c, found in sums.items():
+            blocks = found.reshape(-1, 2 * SIDE_BY_SIDE)
+            there = np.flatnonzero(blocks.any(1))
+            yield pa.record_batch([pa.array(c * len(blocks) + there), *[pa.array(np.ascontiguousarray(blocks[there, i])) for i in range(len(names))]], names=["block", *names])
 
     rows = bits.select("chunk", weight(F.col("_client")).cast("long").alias("weight"), *[f"w{i}" for i in range(WORDS)])
-    return rows.mapInArrow(run, "candidate long, support long, weight long").groupBy("candidate").agg(F.sum("support").alias("support"), F.sum("weight").alias("weight"))
+    found = rows.mapInArrow(run, "block long, " + ", ".join(f"{x} long" for x in names)).groupBy("block").agg(*[F.sum(x).alias(x) for x in names])
+    each = F.array(*[F.struct((F.col("block") * SIDE_BY_SIDE + i).alias("candidate"), F.col(f"n{i}").alias("support"), F.col(f"s{i}").alias("weight")) for i in range(SIDE_BY_SIDE)])
+    return found.select(F.inline(each)).where("support > 0")
 
 
 def frequent_sequences(
