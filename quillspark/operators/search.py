@@ -7,10 +7,12 @@ rest; each posting carries its chunk's length, so that no join is needed to scor
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import uuid
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ WEIGHTS = {"content": 1.0, "file_name": 2.0, "keywords": 1.0, "caption": 5.0}
 K1, B = 1.2, 0.75
 #: Bytes of a row group of postings: a query reads whole ones.
 ROW_GROUP = 8 << 20
+#: So many segments of about one size become one.
+FANOUT = 4
 
 
 def phrase_tokens(phrase: str) -> list[str]:
@@ -33,20 +37,49 @@ def add(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
+@dataclass(frozen=True)
+class Segment:
+    """A part of an index that is never changed: its folder, its chunks, and how many of them are out by now."""
+
+    path: str
+    n: int
+    n_gone: int
+
+    @property
+    def live(self) -> int:
+        return self.n - self.n_gone
+
+
 @dataclass(frozen=True)
 class Index:
-    """The tables of a search index below one folder.
+    """A version of a search index: ``root`` names its segments, which chunks of them are out, and the counts.
 
-    postings: (term, field, seq, type, n_tokens, places), a row per term, field and chunk: the chunk's
-    tokens in all fields, the term's places in the field. lengths: (seq, type, n_tokens). stats: one row
-    (n, total). chunks: the rows as they came. tokens: the chunks' tokens, from which postings are made.
+    Of a segment there are postings: (term, field, seq, type, n_tokens, places), a row per term, field and
+    chunk: the chunk's tokens in all fields, the term's places in the field. lengths: (seq, type, n_tokens).
+    chunks: the rows as they came. tokens: the chunks' tokens, from which postings are made. Of the
+    version: stats, one row (n, total); gone (segment, seq).
     """
 
     spark: SparkSession
     root: str
 
+    @cached_property
+    def segments(self) -> list[Segment]:
+        """A few: there are less than FANOUT of one size."""
+        return [Segment(*r) for r in self.spark.read.parquet(f"{self.root}/segments").orderBy("place").select("path", "n", "n_gone").collect()]
+
+    def of_segment(self, segment: Segment, name: str) -> DataFrame:
+        rows = self.spark.read.parquet(f"{segment.path}/{name}")
+        if not segment.n_gone:
+            return rows
+        gone = self.spark.read.parquet(f"{self.root}/gone").where(F.col("segment") == segment.path).select("seq")
+        return rows.join(gone, "seq", "left_anti")
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        """A table over all segments, without chunks that are out."""
+        if name == "stats":
+            return self.spark.read.parquet(f"{self.root}/stats")
+        return reduce(lambda a, b: a.unionByName(b), [self.of_segment(s, name) for s in self.segments])
 
 
 def tokenized(chunks: DataFrame, columns: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
@@ -68,51 +101,87 @@ def postings(rows: DataFrame) -> DataFrame:
     return found.sortWithinPartitions("term", "field", "seq")
 
 
-def build_index(chunks: DataFrame, root: str, columns: tuple[str, ...] = tuple(WEIGHTS)) -> Index:
-    """Writes the index of chunks (seq, type, the weighted columns, and others to keep) below ``root``.
+def write_postings(rows: DataFrame, path: str) -> None:
+    rows.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
 
-    Chunks are tokenized once. Null columns have no tokens; an empty table gives an empty index; rows
-    that repeat a seq are one chunk to the postings.
-    """
+
+def write_segment(chunks: DataFrame, path: str, columns: tuple[str, ...]) -> tuple[int, int]:
+    """Writes a segment of chunks, which are tokenized once: (chunks, their tokens)."""
     spark = chunks.sparkSession
-    chunks.write.parquet(f"{root}/chunks")
+    chunks.write.parquet(f"{path}/chunks")
     # the text is read back from the files: a costly source is not made twice
-    rows = tokenized(spark.read.parquet(f"{root}/chunks"), columns)
-    rows.write.parquet(f"{root}/tokens")
-    rows = spark.read.parquet(f"{root}/tokens")
-    rows.select("seq", "type", "n_tokens").write.parquet(f"{root}/lengths")
-    write_stats(spark, root)
-    postings(rows).write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/postings")
+    rows = tokenized(spark.read.parquet(f"{path}/chunks"), columns)
+    rows.write.parquet(f"{path}/tokens")
+    rows = spark.read.parquet(f"{path}/tokens")
+    rows.select("seq", "type", "n_tokens").write.parquet(f"{path}/lengths")
+    write_postings(postings(rows), path)
+    n, total = spark.read.parquet(f"{path}/lengths").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    return n, total
+
+
+def write_version(spark: SparkSession, root: str, segments: list[Segment], n: int, total: int) -> Index:
+    rows = [(i, s.path, s.n, s.n_gone) for i, s in enumerate(segments)]
+    spark.createDataFrame(rows, "place int, path string, n long, n_gone long").coalesce(1).write.parquet(f"{root}/segments")
+    spark.createDataFrame([(n, total)], "n long, total long").coalesce(1).write.parquet(f"{root}/stats")
     return Index(spark, root)
 
 
+def build_index(chunks: DataFrame, root: str, columns: tuple[str, ...] = tuple(WEIGHTS)) -> Index:
+    """Writes the index of chunks (seq, type, the weighted columns, and others to keep) below ``root``, as one
+    segment.
+
+    Null columns have no tokens; an empty table gives an empty index. Each chunk has a seq of its own: rows
+    that share one would be one chunk to the postings.
+    """
+    n, total = write_segment(chunks, f"{root}/segment", columns)
+    return write_version(chunks.sparkSession, root, [Segment(f"{root}/segment", n, 0)], n, total)
+
+
 def refresh_index(index: Index, root: str, changed: DataFrame, removed: DataFrame, columns: tuple[str, ...] = tuple(WEIGHTS)) -> Index:
-    """Writes the index below ``root`` that holds ``changed`` chunks in the place of those of their seq, or as
-    new ones, and none of the ``removed`` (seq). Only changed chunks are tokenized; of the others postings,
-    lengths and rows are taken over. The old index stays as it is for those who read it."""
+    """Writes the version below ``root`` that holds ``changed`` chunks in the place of those of their seq, or as
+    new ones, and none of the ``removed`` (seq).
+
+    What is written follows the change: the changed chunks' segment, and the seqs that are out of each older
+    one. When FANOUT segments are of about one size they become one without the chunks that are out, and
+    so does one of which more than half are out; a chunk is so written again a few times in all. The old
+    version stays as it is for those who read it, and keeps its segments.
+    """
     spark = index.spark
-    gone = changed.select("seq").unionAll(removed.select("seq")).distinct()
+    changed.select("seq").unionAll(removed.select("seq")).distinct().write.parquet(f"{root}/touched")
+    touched = spark.read.parquet(f"{root}/touched")
+    fresh = changed.join(removed.select("seq").distinct(), "seq", "left_anti").select(*index.read("chunks").columns)
+    n, total = write_segment(fresh, f"{root}/segment", columns)
+    lost = [index.of_segment(s, "lengths").join(touched, "seq", "left_semi").select(F.lit(s.path).alias("segment"), "seq", "n_tokens") for s in index.segments]
+    reduce(DataFrame.unionAll, lost).write.parquet(f"{root}/lost")
+    lost = spark.read.schema("segment string, seq long, n_tokens long").parquet(f"{root}/lost")
+    out = {r["segment"]: (r["n"], r["t"]) for r in lost.groupBy("segment").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
+    gone = lost.select("segment", "seq")
+    if before := [s.path for s in index.segments if s.n_gone]:
+        gone = gone.unionAll(spark.read.parquet(f"{index.root}/gone").where(F.col("segment").isin(before)).select("segment", "seq"))
     gone.write.parquet(f"{root}/gone")
-    gone = spark.read.parquet(f"{root}/gone")
-    fresh = changed.join(removed.select("seq").distinct(), "seq", "left_anti")
-    tokenized(fresh, columns).write.parquet(f"{root}/tokens")
-    rows = spark.read.parquet(f"{root}/tokens")
-
-    def renew(name: str, new: DataFrame) -> DataFrame:
-        return index.read(name).join(gone, "seq", "left_anti").unionByName(new)
-
-    renew("chunks", fresh.select(*index.read("chunks").columns)).write.parquet(f"{root}/chunks")
-    renew("lengths", rows.select("seq", "type", "n_tokens")).write.parquet(f"{root}/lengths")
-    write_stats(spark, root)
-    line = ["term", "field", "seq"]
-    found = renew("postings", postings(rows)).repartitionByRange(*line).sortWithinPartitions(*line)
-    found.write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/postings")
-    return Index(spark, root)
-
-
-def write_stats(spark: SparkSession, root: str) -> None:
-    lengths = spark.read.parquet(f"{root}/lengths")
-    lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("total")).coalesce(1).write.parquet(f"{root}/stats")
+    old_n, old_total = index.read("stats").first()
+    segments = [Segment(s.path, s.n, s.n_gone + out.get(s.path, (0, 0))[0]) for s in index.segments]
+    segments = [s for s in segments if s.live] + [Segment(f"{root}/segment", n, 0)] * (n > 0)
+    merged = merge_segments(Index(spark, root), segments or [Segment(f"{root}/segment", n, 0)])
+    return write_version(spark, root, merged, old_n + n - sum(x for x, _ in out.values()), old_total + total - sum(x for _, x in out.values()))
+
+
+def merge_segments(index: Index, segments: list[Segment]) -> list[Segment]:
+    """Segments of a version after those of one size tier, and those that are mostly out, became one."""
+    while True:
+        tiers: dict[int, list[Segment]] = {}
+        for s in segments:
+            tiers.setdefault(int(math.log(max(s.live, 1), FANOUT) + 1e-9), []).append(s)
+        found = next((t for t in tiers.values() if len(t) >= FANOUT), None) or next(([s] for s in segments if s.n_gone * 2 > s.n), None)
+        if found is None:
+            return segments
+        path = f"{index.root}/merged-{uuid.uuid4().hex[:8]}"
+        for name in ("chunks", "tokens", "lengths"):
+            reduce(DataFrame.unionByName, [index.of_segment(s, name) for s in found]).write.parquet(f"{path}/{name}")
+        line = ["term", "field", "seq"]
+        rows = reduce(DataFrame.unionByName, [index.of_segment(s, "postings") for s in found])
+        write_postings(rows.repartitionByRange(*line).sortWithinPartitions(*line), path)
+        segments = [s for s in segments if s not in found] + [Segment(path, sum(s.live for s in found), 0)]
 
 
 def bm25(

@@ -10,7 +10,7 @@ from ..operators.ranking import l2_normalize
 from ..sources import files
 from ..streaming import events as stream
 from ..workspace import Scratch
-from .search_queries import chunks, index_of, read, tokens_sql
+from .search_queries import bm25_sql, chunks, index_of, read, tokens_sql
 from .text_queries import chunk_rows_sql, strip_sql
 
 QUERIES, SQL = {}, {}
@@ -142,6 +142,31 @@ def index_refresh(spark, sf_dir):
     return search.term_frequencies(index, "content")
 
 
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 < 4 THEN 'heap ' ELSE '' END || coalesce(text, '') AS text FROM documents WHERE doc_id % 7 < 4 OR doc_id % 11 <> 0),
+t AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term""")
+def segment_merge(spark, sf_dir):
+    """Four changes one after the other, so that their segments become one; the last takes chunks out, too."""
+    rows, index = chunks(spark, sf_dir), index_of(spark, sf_dir)
+    none = rows.select("seq").limit(0)
+    for i in range(4):
+        changed = rows.where(f"seq % 7 = {i}").withColumn("content", F.concat(F.lit("heap "), "content"))
+        index = search.refresh_index(index, Scratch(spark, "index").root, changed, rows.where("seq % 7 > 3 and seq % 11 = 0").select("seq") if i == 3 else none)
+    return search.term_frequencies(index, "content")
+
+
+_STORED_CHUNKS = f"""c AS (SELECT path || ' ' || k AS seq, 'text' AS type, chunk AS content, path AS file_name, 'encoding:utf-8-sig' AS keywords, '' AS caption FROM (
+  {chunk_rows_sql('path', 'text', f"(SELECT 'f' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents WHERE {_SCANNED})", 300)}))"""
+
+
+@query(bm25_sql("trash heap", require_all=False, limit=10**9, source=_STORED_CHUNKS, tail="SELECT file_name AS path, md5(content) AS digest, round(score, 6) AS score FROM top JOIN c USING (seq, content)"))
+def store_search(spark, sf_dir):
+    """What a store finds after it was filled, then files changed, came and went."""
+    store = _indexed(spark, sf_dir)
+    store.index(_files(spark, sf_dir).where(_SCANNED))
+    found = store.search("trash heap", require_all=False, limit=None, keep=("path", "content"))
+    return found.select("path", F.md5(F.col("content").cast("binary")).alias("digest"), F.round("score", 6).alias("score"))
+
+
 @query("""WITH b AS (SELECT event_id, user_id % 20 AS p, floor(value) % 40 AS x, event_id % 37 AS y FROM events),
 t AS (SELECT user_id % 20 AS p, floor(value) % 40 AS x, event_id % 37 AS y FROM events WHERE event_id % 500 = 0)
 SELECT event_id FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.p = b.p AND

@@ -52,7 +52,7 @@ def tokens_sql(column: str) -> str:
     return rf"regexp_extract_all(strip_accents(lower({column})), '[\p{{L}}\p{{N}}]+')"
 
 
-def bm25_sql(query: str, *, exact=False, require_all=True, fallback=True, types=None, case_sensitive=False, limit=20, tail="SELECT seq, round(score, 6) AS score FROM top") -> str:
+def bm25_sql(query: str, *, exact=False, require_all=True, fallback=True, types=None, case_sensitive=False, limit=20, tail="SELECT seq, round(score, 6) AS score FROM top", source=CHUNKS_SQL) -> str:
     """BM25 as SQL, from the definition: the weighted instances of each phrase, and three statistics."""
     variants = T.term_variants(query)
     phrases = [(i, search.phrase_tokens(v)) for i, g in enumerate(variants) for v in g]
@@ -82,7 +82,7 @@ def bm25_sql(query: str, *, exact=False, require_all=True, fallback=True, types=
     if case_sensitive:
         raw = (" AND " if require_all else " OR ").join(f"contains(content, '{g[0]}')" for g in variants)
         inner = f"SELECT * FROM ({inner}) WHERE {raw} ORDER BY score, seq LIMIT {limit}"
-    return f"""WITH {CHUNKS_SQL}, t AS (SELECT *, {', '.join(f'{tokens_sql(x)} AS t_{x}' for x in COLUMNS)} FROM c),
+    return f"""WITH {source}, t AS (SELECT *, {', '.join(f'{tokens_sql(x)} AS t_{x}' for x in COLUMNS)} FROM c),
 f AS (SELECT seq, type, content, {' + '.join(f'len(t_{x})' for x in COLUMNS)} AS dl, {hits} FROM t),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {stats} FROM f), s2 AS (SELECT *, {idf} FROM s), top AS ({inner}) {tail}"""
 
