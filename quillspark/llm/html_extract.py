@@ -37,24 +37,33 @@ CLOSES = {
 }
 DROPPED = frozenset("nav aside footer form button select option input label fieldset svg canvas object embed audio video dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Words of a class or id by which an element is no part of the article.
+#: Words of a class or id by which an element may be no part of the article.
 NOISE = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner popup modal "
     "overlay cookie cookies consent gdpr notice notices alert warning disclaimer newsletter subscribe subscription signup "
     "login share sharing social follow related recommended recommendations trending popular more breadcrumb breadcrumbs "
-    "menu nav navbar navigation sidebar side aside widget widgets footer foot header masthead topbar toolbar comment "
-    "comments commentlist disqus respond reply replies discussion reviews pager pagination paging tags toc skip".split()
+    "menu nav navbar navigation sidebar side aside widget widgets footer foot header masthead topbar toolbar "
+    "pager pagination paging tags toc skip".split()
 )
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion reviews".split())
+#: A name with one of these says what an element has or lacks, not what it is.
+ABOUT = frozenset("with without no not has have is hide hides show shows target toggle".split())
+#: Of a name with one of these, a header is the article's own.
+CONTENT = frozenset("article entry post story content main body text".split())
+#: How sure a name is, and the share of the page's words beyond links from which on its element is kept all the same.
+KEPT_FROM = {1: 0.5, 2: 0.9}
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+#: How a sentence ends: an empty text ends so, too, and adds nothing.
+ENDS = (*".!?:;…。！？\"'”’»)", "")
 PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "noise", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "suspect", "noise", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False) -> None:
-        self.tag, self.parent, self.items, self.noise = tag, parent, [], noise
+    def __init__(self, tag: str, parent: Node | None, suspect: int = 0) -> None:
+        self.tag, self.parent, self.items, self.suspect, self.noise = tag, parent, [], suspect, suspect == 3
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
@@ -91,27 +100,37 @@ class Open:
         return best
 
 
-def is_noise(tag: str, rest: str, above: Open) -> bool:
+def suspicion(tag: str, rest: str, above: Open) -> int:
+    """0: nothing speaks against an element. 1: a part of a name, 2: a whole name or one of comments, 3: its tag, its
+    role, or that it is hidden."""
     if tag in DROPPED:
-        return True
+        return 3
+    inside = bool(above.deepest("article") or above.deepest("main"))
     if tag == "header":  # of the page, not of the article
-        return not above.deepest("article") and not above.deepest("main")
+        return 0 if inside else 3
     if not rest or "=" not in rest and "hidden" not in rest or tag in ("html", "body", "article", "main"):
-        return tag == "article" and "comment" in rest.lower()
+        return 3 if tag == "article" and "comment" in rest.lower() else 0
+    most = 0
     for m in ATTR.finditer(rest):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if any(x.lower() in NOISE for x in PARTS.findall(value)):
-                return True
+            for said in value.split():
+                parts = [x.lower() for x in PARTS.findall(said)]
+                if not ABOUT.isdisjoint(parts):
+                    continue
+                if not COMMENTS.isdisjoint(parts):
+                    most = 2
+                elif not NOISE.isdisjoint(parts) and not ("header" in parts and (inside or not CONTENT.isdisjoint(parts))):
+                    most = max(most, 2 if len(parts) == 1 else 1)
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                return 3
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 3
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 3
+    return most
 
 
 def parse(page: str) -> Node:
@@ -162,7 +181,7 @@ def parse(page: str) -> Node:
             if depth := above.first_below(*CLOSES[tag]):
                 above.cut(depth)
                 node = above.line[-1]
-        child = Node(tag, node, is_noise(tag, rest, above))
+        child = Node(tag, node, suspicion(tag, rest, above))
         node.items.append(child)
         if tag not in VOID and not rest.endswith("/"):
             above.push(child)
@@ -170,13 +189,20 @@ def parse(page: str) -> Node:
     return root
 
 
-def measure(root: Node) -> list[Node]:
-    """Fills in chars, linked and score; the nodes in page order, noise and what it holds left out."""
+def in_order(root: Node) -> list[Node]:
+    """The nodes in page order, noise and what it holds left out."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(x for x in reversed(node.items) if isinstance(x, Node) and not x.noise)
+    return order
+
+
+def count_text(order: list[Node]) -> None:
+    """Fills in chars and linked."""
+    for node in order:
+        node.chars = node.linked = 0
     for node in reversed(order):
         own = "".join(x for x in node.items if isinstance(x, str))
         direct = len(" ".join(own.split()))
@@ -186,6 +212,18 @@ def measure(root: Node) -> list[Node]:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
+
+
+def measure(root: Node) -> list[Node]:
+    """Fills in chars, linked and score of what is no noise, in page order. A suspect is noise unless it holds so much
+    of the page's words beyond links that there is no article without it."""
+    order = in_order(root)
+    count_text(order)
+    words = max(root.chars - root.linked, 1)
+    for node in order:
+        node.noise = node.suspect > 0 and node.chars - node.linked < KEPT_FROM[node.suspect] * words
+    order = in_order(root)
+    count_text(order)
     for node in order:
         if node.tag not in PARAGRAPH:
             continue
@@ -265,7 +303,8 @@ def extract(page: str | None) -> tuple[str, str, float]:
             elif isinstance(x, Node) and not x.noise and x.tag not in ("header",):
                 density = x.linked / x.chars if x.chars else 1.0
                 like = x.score >= line and (best.tag not in ("article", "main") or x.tag == best.tag)
-                prose = x.tag == "p" and best.tag not in ("article", "main") and (x.chars > 80 and density < 0.25)
+                said = density < 0.25 if x.chars > 80 else x.linked == 0 and inline_text(x)[-1:] in ENDS
+                prose = x.tag == "p" and best.tag not in ("article", "main") and said
                 if like or prose:
                     kept.append(x)
     return " ".join(y for x in kept for y in block_texts(x)), best.tag, float(best.score)

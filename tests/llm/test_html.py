@@ -84,3 +84,45 @@ def test_empty_tables_long_pages_and_clashing_columns(spark):
     got = html_extract.extract_pages(frame).collect()
     assert [r["n_chars"] for r in got] == [len(plain_article(long)), 0, len(plain_article(long))] and got[0]["text"] == plain_article(long)
     assert html_extract.extract_pages(frame.limit(0)).count() == 0
+
+
+def paragraphs(n, word="words"):
+    return "".join(f"<p>Paragraph {i} of the article, with {word} enough, and commas, to be read as prose by all.</p>" for i in range(n))
+
+
+def test_names_that_hold_the_article_are_no_noise():
+    article = html_extract.extract(f"<body><div>{paragraphs(8)}</div></body>")[0]
+    assert article.count("Paragraph") == 8
+    menu = "<nav><a href=x>Home</a></nav><div class='sidebar'><p>Short advice, beside.</p></div>"
+    for names in ("content with-sidebar", "post no-sidebar", "entry-content has-share", "post-with-comments", "read-more-target", "story notice-board", "article-body", "pageWithSidebar", "notice"):
+        page = f"<html><body>{menu}<div class=\"{names}\">{paragraphs(8)}</div><div class='site-footer'>All rights</div></body></html>"
+        assert html_extract.extract(page)[0] == article, names
+    page = f"<body>{menu}<div class='content-area has-sidebar'><article>{paragraphs(8)}</article></div></body>"
+    assert html_extract.extract(page)[0] == article
+
+
+def test_an_articles_own_header_and_short_paragraphs_stay():
+    page = f"<body><article><div class='entry-header'><h1>The title</h1></div>{paragraphs(4)}<div class='share-buttons'>Share this</div></article></body>"
+    got = html_extract.extract(page)[0]
+    assert got.startswith("The title Paragraph 0") and "Share" not in got
+    page = f"<body><div id=main><p>A short one.</p><div>{paragraphs(6)}</div><p><a href=x>Next page</a></p></div></body>"
+    got = html_extract.extract(page)[0]
+    assert got.startswith("A short one. Paragraph 0") and "Next page" not in got
+
+
+def test_noise_goes_also_where_it_is_long():
+    for names in ("comments", "comment-list", "post-comments", "id-disqus"):
+        page = f"<body><div class='post'>{paragraphs(5)}</div><div class='{names}'>{paragraphs(9, 'opinions')}</div></body>"
+        got = html_extract.extract(page)[0]
+        assert "opinions" not in got and got.count("Paragraph") == 5, names
+    for names in ("sidebar", "related-posts", "newsletter-signup", "cookieBanner", "ad-slot", "site-header"):
+        page = f"<body><div class='post'>{paragraphs(5)}</div><div class='{names}'>{paragraphs(2, 'noise')}</div></body>"
+        assert "noise" not in html_extract.extract(page)[0], names
+
+
+def test_tags_without_an_end_take_a_time_that_follows_the_page():
+    for unit in ("<script", "<a", "<div x=", "<p/"):
+        page = "<p>text, and more of it, to be kept.</p>" + unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        html_extract.extract(page)
+        assert time.process_time() - began < 8, unit
