@@ -124,12 +124,17 @@ def bigram_overlap(spark, sf_dir):
     return rows.select("doc_id", F.round(T.overlap_ratio(first, F.col("x")), 6).alias("overlap"))
 
 
-_TERMS = ["보고서를", "바로", "부산에서의", "trash", "회의록으로부터", "은", "보고서까지는", "합니다"]
+_ENDINGS = "[" + ", ".join(f"'{x}'" for x in T.KOREAN_SUFFIXES) + "]"
+_ENDED = f"substr(event_type, 1, 1 + event_id % 4) || CASE WHEN event_id % 6 = 0 THEN '' ELSE {_ENDINGS}[1 + event_id % {len(T.KOREAN_SUFFIXES)}] END"
 
 
-@query("SELECT * FROM (VALUES ('보고서를', '보고서'), ('바로', NULL), ('부산에서의', '부산'), ('trash', NULL), ('회의록으로부터', '회의록'), ('은', NULL), ('보고서까지는', '보고서까지'), ('합니다', NULL)) t(term, stem)")
+@query(f"""WITH t AS (SELECT event_id, {_ENDED} AS term FROM events), e AS (SELECT *, list_filter({_ENDINGS}, lambda s: ends_with(term, s) AND length(term) > length(s))[1] AS s FROM t)
+SELECT event_id, term, CASE WHEN s IS NOT NULL AND length(term) - length(s) >= 2 THEN substr(term, 1, length(term) - length(s)) END AS stem FROM e""")
 def korean_variants(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in _TERMS], "term string").select("term", T.stem_column(F.col("term")).alias("stem"))
+    """Beginnings of the events' types with an ending each; the tables have no Korean."""
+    ending = F.get(F.array(*[F.lit(x) for x in T.KOREAN_SUFFIXES]), (F.col("event_id") % len(T.KOREAN_SUFFIXES)).cast("int"))
+    term = F.concat(F.substring(F.col("event_type"), F.lit(1), (1 + F.col("event_id") % 4).cast("int")), F.when(F.col("event_id") % 6 == 0, "").otherwise(ending))
+    return read(spark, sf_dir, "events").select("event_id", term.alias("term")).withColumn("stem", T.stem_column(F.col("term")))
 
 
 @query(f"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[{_WS}]+', ' ', 'g')) AS t FROM documents WHERE contains(lower(text), 'trash')),
@@ -217,10 +222,17 @@ _HEADS = [("png", "89504E470D0A1A0A00"), ("gif", "474946383961"), ("jpg", "FFD8F
           ("webp", "524946460000000057454250"), (None, "00" * 60), (None, ""), (None, "52494646000000005741564520"), ("tif", "4D4D002A"), ("gif", "474946383761")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {repr(k) if k else 'NULL'})" for i, (k, _) in enumerate(_HEADS)) + ") t(i, kind)")
+_HEAD = "[" + ", ".join(f"'{h}'" for _, h in _HEADS) + f"][1 + page_id % {len(_HEADS)}]"
+_KINDS = [("png", "starts_with(h, '89504E470D0A1A0A')"), ("gif", "substr(h, 1, 12) IN ('474946383761', '474946383961')"), ("jpg", "starts_with(h, 'FFD8FF')"), ("bmp", "starts_with(h, '424D')"),
+          ("tif", "substr(h, 1, 8) IN ('49492A00', '4D4D002A')"), ("wmf", "starts_with(h, 'D7CDC69A')"), ("emf", "substr(h, 81, 8) = '20454D46'"), ("webp", "starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250'")]
+
+
+@query(f"SELECT page_id, CASE {' '.join(f"WHEN {test} THEN '{k}'" for k, test in _KINDS)} END AS kind FROM (SELECT page_id, {_HEAD} || hex(encode(coalesce(html, ''))) AS h FROM pages)")
 def image_kinds(spark, sf_dir):
-    rows = spark.createDataFrame([(i, h) for i, (_, h) in enumerate(_HEADS)], "i int, h string")
-    return rows.select("i", T.image_kind(F.unhex("h")).alias("kind"))
+    """Pages' bytes after beginnings of image files."""
+    head = F.get(F.array(*[F.lit(h) for _, h in _HEADS]), (F.col("page_id") % len(_HEADS)).cast("int"))
+    content = F.concat(F.unhex(head), F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    return read(spark, sf_dir, "pages").select("page_id", T.image_kind(content).alias("kind"))
 
 
 # --- order ------------------------------------------------------------------------------------
@@ -346,14 +358,22 @@ def cascade_delete(spark, sf_dir):
     return snapshots.cascade(vectors(spark, sf_dir), live, "seq").select("seq")
 
 
-# --- structure, on inline rows ------------------------------------------------------------------
-_CAPTIONS = [(1, 1, True, "One"), (1, 2, False, "[Table 1-1] a"), (1, 3, False, "[Table 1-2] b"), (1, 4, True, "Two"), (1, 5, False, "[Table 1-3] c"),
-             (1, 6, False, "[Figure 1-1] d"), (1, 7, False, "[Table 1-4] e\t7"), (2, 1, True, "One"), (2, 2, False, "[Table 1-1] a"), (2, 3, True, "Two"), (2, 4, False, "[Table 1-1] b")]
+# --- structure ----------------------------------------------------------------------------------
+#: Turns as paragraphs: every fourth begins a chapter, the others have captions of two labels, numbered through; in
+#: every fifth conversation from 2 on.
+_CAPTIONED = """SELECT *, row_number() OVER (PARTITION BY conv_id, label ORDER BY turn) + CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END AS minor
+  FROM (SELECT conv_id, turn, text, CASE WHEN turn % 4 = 0 THEN NULL WHEN turn % 3 = 0 THEN 'Figure' ELSE 'Table' END AS label FROM conversations)"""
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(5 AS BIGINT), '[Table 2-1] c')) t(doc_id, pos, text)")
+@query(f"""WITH p AS ({_CAPTIONED}), c AS (SELECT *, sum(CASE WHEN label IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS chapter FROM p),
+n AS (SELECT *, chapter || '-' || row_number() OVER (PARTITION BY conv_id, label, chapter ORDER BY turn) AS now, count(*) OVER w AS n, min(minor) OVER w AS least FROM c WHERE label IS NOT NULL WINDOW w AS (PARTITION BY conv_id, label))
+SELECT conv_id AS doc_id, turn AS pos, md5('[' || label || ' ' || now || '] ' || text || '.') AS digest FROM n WHERE n >= 2 AND least = 1 AND now <> '1-' || minor""")
 def caption_renumber(spark, sf_dir):
-    return segments.renumber_captions(spark.createDataFrame(_CAPTIONS, "doc_id long, pos long, is_boundary boolean, text string"))
+    rows = read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "text", "CASE WHEN turn % 4 = 0 THEN NULL WHEN turn % 3 = 0 THEN 'Figure' ELSE 'Table' END AS label")
+    minor = "row_number() OVER (PARTITION BY conv_id, label ORDER BY turn) + CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END"
+    said = f"CASE WHEN label IS NULL THEN text ELSE concat('[', label, ' 1-', {minor}, '] ', text, '.') END"
+    found = segments.renumber_captions(rows.selectExpr("conv_id AS doc_id", "turn AS pos", "label IS NULL AS is_boundary", f"{said} AS text"))
+    return found.select("doc_id", "pos", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 _BLOCKS = "(SELECT conv_id AS doc_id, turn AS pos, CASE role WHEN 'user' THEN 'heading' WHEN 'system' THEN 'table' ELSE 'text' END AS kind, text FROM conversations)"
@@ -375,19 +395,36 @@ def flushed_segments(spark, sf_dir):
     return found.select("doc_id", "segment", F.md5(F.col("heading").cast("binary")).alias("heading"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES (1, 0), (2, 1), (3, 1), (4, 1), (5, 2)) t(pos, part)")
+@query("SELECT event_id AS pos, CAST(sum(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS part FROM events")
 def table_split(spark, sf_dir):
-    rows = [(1, 1, ["h", "i"]), (1, 2, ["1.2 Scope", "", None]), (1, 3, ["a", "b"]), (1, 4, ["1.3 x", "y"]), (1, 5, [" 2.1.4 Next", None])]
-    found = segments.split_table(spark.createDataFrame(rows, "table_id int, pos int, cells array<string>"))
+    """Events as rows of tables. Every seventh is a numbered heading by itself; others have two cells, or a number of
+    one part."""
+    cells = "CASE event_id % 7 WHEN 0 THEN array(concat(' ', event_id % 9, '.2 ', event_type), '') WHEN 1 THEN array('1.3 x', event_type) WHEN 2 THEN array('3 x', NULL) ELSE array(event_type, NULL) END"
+    found = segments.split_table(read(spark, sf_dir, "events").selectExpr("user_id AS table_id", "event_id AS pos", f"{cells} AS cells"))
     return found.select("pos", F.col("part").cast("int").alias("part"))
 
 
-@query("SELECT * FROM (VALUES (1, '1.'), (2, '1.a)'), (3, '1.b)'), (4, '2.'), (5, '2.a)'), (6, '2.a.iii-i'), (7, '3.')) t(pos, number)".replace("2.a.iii-i", "2-a-i"))
+def _roman_sql(n: str) -> str:
+    digits = [("c", "d", "m"), ("x", "l", "c"), ("i", "v", "x")]
+    part = lambda a, b, c: "['', " + ", ".join(f"'{x}'" for x in (a, a * 2, a * 3, a + b, b, b + a, b + a * 2, b + a * 3, a + c)) + "]"
+    return " || ".join([f"repeat('m', {n} // 1000)", *[f"{part(*d)}[1 + {n} // {w} % 10]" for d, w in zip(digits, (100, 10, 1))]])
+
+
+def _letters_sql(n: str) -> str:
+    return f"CASE WHEN {n} <= 26 THEN chr(CAST(96 + {n} AS INT)) ELSE chr(CAST(96 + ({n} - 1) // 26 AS INT)) || chr(CAST(97 + ({n} - 1) % 26 AS INT)) END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, event_id % 5 % 3 AS l FROM events),
+g AS (SELECT *, sum((l < 1)::INT) OVER w AS g1, sum((l < 2)::INT) OVER w AS g2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT *, CAST(greatest(sum((l = 0)::INT) OVER (PARTITION BY user_id ORDER BY event_id), 1) AS BIGINT) AS c0, CAST(greatest(sum((l = 1)::INT) OVER (PARTITION BY user_id, g1 ORDER BY event_id), 1) AS BIGINT) AS c1,
+  CAST(greatest(sum((l = 2)::INT) OVER (PARTITION BY user_id, g2 ORDER BY event_id), 1) AS BIGINT) AS c2 FROM g)
+SELECT event_id AS pos, CASE l WHEN 0 THEN c0 || '.' WHEN 1 THEN c0 || '.' || ({_letters_sql('c1')}) || ')' ELSE c0 || '-' || ({_letters_sql('c1')}) || '-' || ({_roman_sql('c2')}) END AS number FROM c""")
 def numbering(spark, sf_dir):
-    kinds = ["decimal", "lowerLetter", "lowerRoman"]
-    rows = [(1, 1, 1, 0, kinds, "%1."), (1, 2, 1, 1, kinds, "%1.%2)"), (1, 3, 1, 1, kinds, "%1.%2)"), (1, 4, 1, 0, kinds, "%1."), (1, 5, 1, 1, kinds, "%1.%2)"), (1, 6, 1, 2, kinds, "%1-%2-%3"), (1, 7, 1, 0, kinds, "%1.")]
-    found = segments.multilevel_numbers(spark.createDataFrame(rows, "doc_id int, pos int, num_id int, level int, kinds array<string>, template string"))
-    return found.select("pos", "number")
+    """Events as the paragraphs of a list of three levels for each user."""
+    rows = read(spark, sf_dir, "events").selectExpr(
+        "user_id AS doc_id", "event_id AS pos", "1 AS num_id", "cast(event_id % 5 % 3 as int) AS level", "array('decimal', 'lowerLetter', 'lowerRoman') AS kinds",
+        "CASE event_id % 5 % 3 WHEN 0 THEN '%1.' WHEN 1 THEN '%1.%2)' ELSE '%1-%2-%3' END AS template")
+    return segments.multilevel_numbers(rows).select("pos", "number")
 
 
 _LINES = "SELECT user_id AS doc_id, event_id AS pos, CAST(length(event_type) AS DOUBLE) AS size, event_type || ' ' || CAST(event_id % 3 AS VARCHAR) AS text, event_id % 17 AS top FROM events"
@@ -422,37 +459,54 @@ def inside_tables(spark, sf_dir):
     return r.select("event_id", tables.mostly_inside(x, y, x + 2, y + 2, *at).alias("inside"))
 
 
-_PLACES = [(1, "a.xlsx", "table", 2, "Sheet"), (2, "a.xlsx", "table", 2, ""), (3, "b.PPTX", "text", 3, None), (4, "c.pdf", "text", 4, None), (5, "d.txt", "text", None, None), (6, "e.xlsx", "text", 1, "Sheet")]
+_FILE = "CASE doc_id % 4 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.PPTX' WHEN 2 THEN '.pdf' ELSE '.txt' END"
 
 
-@query("SELECT * FROM (VALUES (1, 'Sheet'), (2, 'page 2'), (3, 'slide 3'), (4, 'page 4'), (5, '-'), (6, 'page 1')) t(id, place)")
+@query(f"""WITH d AS (SELECT doc_id, lower({_FILE}) AS ext, doc_id % 3 = 0 AS is_table, CASE WHEN doc_id % 5 > 0 THEN doc_id % 40 END AS page, CASE WHEN doc_id % 8 > 0 THEN source END AS caption FROM documents)
+SELECT doc_id, CASE WHEN is_table AND ext = '.xlsx' AND caption IS NOT NULL THEN caption WHEN page IS NULL THEN '-' WHEN ext = '.pptx' THEN 'slide ' || page ELSE 'page ' || page END AS place FROM d""")
 def locations(spark, sf_dir):
-    rows = spark.createDataFrame(_PLACES, "id int, f string, k string, p int, c string")
-    return rows.select("id", tables.location(F.col("f"), F.col("k"), F.col("p"), F.col("c")).alias("place"))
+    rows = read(spark, sf_dir, "documents").selectExpr("doc_id", f"concat(source, {_FILE}) AS f", "CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'text' END AS k", "CASE WHEN doc_id % 5 > 0 THEN doc_id % 40 END AS p", "CASE WHEN doc_id % 8 > 0 THEN source END AS c")
+    return rows.select("doc_id", tables.location(F.col("f"), F.col("k"), F.col("p"), F.col("c")).alias("place"))
 
 
-_TABLES = [(1, [["a", "b"], [" ", None], ["1", "2"], ["33", "4"]]), (2, [["x", "y"]]), (3, [["", " "]])]
+def _tables(spark, sf_dir):
+    """Each document's lines as rows of a table, its words as cells."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.split(line, " "))
+    return read(spark, sf_dir, "documents").select("doc_id", "source", "lang", tables.from_rows(lines).alias("t"))
 
 
-def _tables(spark):
-    return spark.createDataFrame(_TABLES, "id int, rows array<array<string>>").select("id", tables.from_rows(F.col("rows")).alias("t"))
+_KEPT = f"""k AS (SELECT doc_id, source, lang, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: string_split(l, ' ')), lambda r: len(list_filter(r, lambda c: {strip_sql('c')} <> '')) > 0) AS r FROM documents),
+t AS (SELECT doc_id, source, lang, r, CASE WHEN len(r) > 1 THEN r[1] ELSE [] END AS head, CASE WHEN len(r) > 1 THEN r[2:] ELSE r END AS rows FROM k)"""
 
 
-@query("SELECT * FROM (VALUES (1, 'a|b', 2, '33'), (2, '', 1, 'x'), (3, NULL, NULL, NULL)) t(id, header, n, longest)")
+@query(f"""WITH {_KEPT}, c AS (SELECT *, flatten(r) AS cells, list_max(list_transform(flatten(r), lambda x: length(x))) AS most FROM t)
+SELECT doc_id, CASE WHEN len(r) > 0 THEN array_to_string(head, '|') END AS header, CASE WHEN len(r) > 0 THEN CAST(len(rows) AS INT) END AS n,
+  CASE WHEN len(r) > 0 THEN list_filter(cells, lambda c: length(c) = most)[1] END AS longest FROM c""")
 def table_from_rows(spark, sf_dir):
-    return _tables(spark).select("id", F.array_join("t.header_row", "|").alias("header"), F.when(F.col("t").isNotNull(), F.size("t.rows")).alias("n"), F.when(F.col("t").isNotNull(), tables.longest_cell(F.col("t"))).alias("longest"))
+    there = F.col("t").isNotNull()
+    return _tables(spark, sf_dir).select("doc_id", F.array_join("t.header_row", "|").alias("header"), F.when(there, F.size("t.rows")).alias("n"), F.when(there, tables.longest_cell(F.col("t"))).alias("longest"))
+
 
+_RENDERED = """list_transform(rows, lambda x: array_to_string(CASE WHEN len(head) > 0 AND len(x) > len(head) THEN x[1:len(head)] ELSE x END, ' | '))"""
 
-@query("SELECT * FROM (VALUES (1, 'cap' || chr(10) || 'a | b' || chr(10) || '1 | 2' || chr(10) || '33 | 4', 'a' || chr(9) || 'b' || chr(10) || '1' || chr(9) || '2' || chr(10) || '33' || chr(9) || '4', 'H' || chr(10) || chr(10) || 'a | b' || chr(10) || '1 | 2')) t(id, text, tsv, rendered)")
+
+@query(f"""WITH {_KEPT}, l AS (SELECT *, list_transform(rows, lambda x: array_to_string(x, ' | ')) AS lines, {_RENDERED} AS cut,
+  array_to_string(list_filter([lang, array_to_string(head, ' | ')], lambda x: x <> ''), chr(10) || chr(10)) AS top FROM t WHERE len(r) > 0),
+n AS (SELECT *, greatest(1, len(list_filter(range(1, len(cut) + 1), lambda i: length(top || chr(10) || array_to_string(cut[1:i], chr(10))) <= 200))) AS fits FROM l)
+SELECT doc_id, md5(array_to_string(list_filter(list_concat([source, array_to_string(head, ' | ')], lines), lambda x: x <> ''), chr(10))) AS text,
+  md5(array_to_string(list_concat([array_to_string(head, chr(9))], list_transform(rows, lambda x: array_to_string(x, chr(9)))), chr(10))) AS tsv,
+  md5(top || chr(10) || array_to_string(cut[1:fits], chr(10))) AS rendered FROM n""")
 def table_to_text(spark, sf_dir):
-    t = _tables(spark).where("id = 1")
-    return t.select("id", tables.to_text(F.col("t"), F.lit("cap")).alias("text"), tables.to_tsv(F.col("t")).alias("tsv"), tables.render(F.col("t"), F.lit("H"), 14).alias("rendered"))
+    said = [tables.to_text(F.col("t"), F.col("source")).alias("text"), tables.to_tsv(F.col("t")).alias("tsv"), tables.render(F.col("t"), F.col("lang"), 200).alias("rendered")]
+    found = _tables(spark, sf_dir).where("t is not null").select("doc_id", *said)
+    return found.select("doc_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("text", "tsv", "rendered")])
 
 
-@query("SELECT * FROM (VALUES (1, 1, 2)) t(id, hits, none)")
+@query(f"""WITH {_KEPT}, h AS (SELECT doc_id, len(rows) AS n, len(list_filter(rows, lambda x: contains(array_to_string(x, ' '), 'ing') OR contains(array_to_string(x, ' '), 'ung'))) AS hits FROM t WHERE len(r) > 0)
+SELECT doc_id, CAST(CASE WHEN hits > 0 THEN hits ELSE n END AS INT) AS hits, CAST(n AS INT) AS none FROM h""")
 def table_query_rows(spark, sf_dir):
     r = F.col("t.rows")
-    return _tables(spark).where("id = 1").select("id", F.size(tables.query_rows(r, ["33"])).alias("hits"), F.size(tables.query_rows(r, ["zz"])).alias("none"))
+    return _tables(spark, sf_dir).where("t is not null").select("doc_id", F.size(tables.query_rows(r, ["ing", "ung"])).alias("hits"), F.size(tables.query_rows(r, ["zzqq"])).alias("none"))
 
 
 # --- answers ----------------------------------------------------------------------------------
@@ -518,14 +572,19 @@ def prompt_messages(spark, sf_dir):
     return _answers(spark, sf_dir).select("doc_id", F.md5(evidence.messages(F.lit("why"), F.col("excerpts"), turns).cast("binary")).alias("digest"))
 
 
-_SAID = [(1, 0, None, "x", "no_evidence"), (2, 1, "e", "x", "failed"), (3, 2, None, " 문서에서 찾을 수 없습니다", "abstained"), (4, 2, None, "답변: fox [1]", "ok"), (5, 1, None, "[ 답변 ] fox", "ok")]
+_FIRST = "split_part(coalesce(text, ''), chr(10), 1)"
+_BEFORE = "CASE doc_id % 4 WHEN 0 THEN ' 문서에서 찾을  수 없습니다. ' WHEN 1 THEN '답변: ' WHEN 2 THEN ' [ 답변 ] ' ELSE '' END"
 
 
-@query("SELECT * FROM (VALUES (1, 'no_evidence', 'x', false), (2, 'failed', 'x', false), (3, 'abstained', '문서에서 찾을 수 없습니다', true), (4, 'ok', 'fox [1]', false), (5, 'ok', 'fox', false)) t(id, status, said, abstains)")
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no_evidence' WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 4 = 0 THEN 'abstained' ELSE 'ok' END AS status,
+  md5(trim(CASE doc_id % 4 WHEN 0 THEN '문서에서 찾을  수 없습니다. ' || f ELSE {strip_sql('f')} END, ' ')) AS said, doc_id % 4 = 0 AS abstains
+FROM (SELECT doc_id, {_FIRST} AS f FROM documents)""")
 def answer_status(spark, sf_dir):
-    rows = spark.createDataFrame([x[:4] for x in _SAID], "id int, n int, e string, a string")
-    a = F.col("a")
-    return rows.select("id", evidence.status(F.col("n"), F.col("e"), a).alias("status"), evidence.clean_answer(a).alias("said"), evidence.is_abstention(a).alias("abstains"))
+    """Each document's first line as an answer, after the words that a model begins with."""
+    d = read(spark, sf_dir, "documents")
+    a = F.concat(F.expr(_BEFORE), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
+    rows = d.select("doc_id", (F.col("doc_id") % 3).alias("n"), F.when(F.col("doc_id") % 5 == 0, "e").alias("e"), a.alias("a"))
+    return rows.select("doc_id", evidence.status(F.col("n"), F.col("e"), F.col("a")).alias("status"), F.md5(evidence.clean_answer(F.col("a")).cast("binary")).alias("said"), evidence.is_abstention(F.col("a")).alias("abstains"))
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no_evidence' ELSE 'ok' END AS status, CASE WHEN doc_id % 3 <> 0 THEN length(answer) END AS n FROM (SELECT doc_id, split_part(text, chr(10), 1) || ' [1]' AS answer FROM documents)")
