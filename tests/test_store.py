@@ -1,12 +1,14 @@
 """Segments of an index, the store that is searched, and which files a run opens."""
 
+import io
 import os
 import time
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import indexing, search
+from quillspark.operators import indexing, search, snapshots
 from quillspark.sources import files
 
 FILES = "path string, mtime double, content binary"
@@ -148,3 +150,35 @@ def test_encodings_are_told_by_their_bytes(text, encoding, said):
 def test_bytes_of_no_encoding_are_replaced():
     text, encoding = files.decode(b"\x81 \x8d\xff\x81")
     assert encoding == "utf-8" and "�" in text
+
+
+def docx_with(images):
+    out = io.BytesIO()
+    links = "".join(f'<Relationship Id="r{i}" Target="media/{name}"/>' for i, name in enumerate(images))
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="u"><w:body><w:p><w:r><w:t>text</w:t></w:r></w:p></w:body></w:document>')
+        z.writestr("word/_rels/document.xml.rels", f"<Relationships>{links}</Relationships>")
+        for name, content in images.items():
+            z.writestr(f"word/media/{name}", content)
+    return out.getvalue()
+
+
+def test_images_can_be_read_back_and_go_with_their_chunks(spark, tmp_path):
+    png = lambda x: b"\x89PNG\r\n\x1a\n" + x * 20
+    store = indexing.Store(spark, str(tmp_path))
+    assert store.assets().count() == store.image_contents().count() == 0
+    first = [("a.docx", 1.0, docx_with({"x.png": png(b"1"), "y.png": png(b"2")})), ("b.docx", 1.0, docx_with({"x.png": png(b"1")})), ("c.txt", 1.0, b"no image")]
+    store.index(spark.createDataFrame(first, FILES))
+    held = lambda: {r["image_path"]: bytes(r["content"]) for r in store.image_contents().collect()}
+    assert held() == {"a.docx/x.png": png(b"1"), "a.docx/y.png": png(b"2"), "b.docx/x.png": png(b"1")}
+    assert store.assets().count() == 2  # equal bytes are kept once
+    named = {r["chunk_id"] for r in store.read("chunks").where("type = 'image'").collect()}
+    assert named == {r["chunk_id"] for r in store.read("images").collect()}
+    # b stays, a changes one image and loses the other
+    second = [("a.docx", 2.0, docx_with({"x.png": png(b"3")})), *first[1:]]
+    store.index(spark.createDataFrame(second, FILES))
+    assert held() == {"a.docx/x.png": png(b"3"), "b.docx/x.png": png(b"1")} and store.assets().count() == 2
+    assert store.stale_images.count() == 1
+    store.index(spark.createDataFrame(first[2:], FILES))
+    assert held() == {} and store.assets().count() == 0
+    assert snapshots.current(spark, str(tmp_path))["assets"] == "[]"
