@@ -25,6 +25,14 @@ K1, B = 1.2, 0.75
 ROW_GROUP = 8 << 20
 #: So many segments of about one size become one.
 FANOUT = 4
+#: Chunks with neighbouring seqs that share the bounds of their scores.
+BLOCK = 1024
+#: The best blocks that a search reads first; as many times more as long as they hold too few rows.
+FIRST = 8
+#: Blocks that are named to the scan; more are joined.
+NAMED = 10_000
+#: Ranges of chunks that the scan's row groups and pages are asked for.
+RANGES = 64
 
 
 def phrase_tokens(phrase: str) -> list[str]:
@@ -56,12 +64,15 @@ class Index:
 
     Of a segment there are postings: (term, field, seq, type, n_tokens, places), a row per term, field and
     chunk: the chunk's tokens in all fields, the term's places in the field. lengths: (seq, type, n_tokens).
-    chunks: the rows as they came. tokens: the chunks' tokens, from which postings are made. Of the
-    version: stats, one row (n, total); gone (segment, seq).
+    chunks: the rows as they came. tokens: the chunks' tokens, from which postings are made. bounds: (term,
+    block, least, most), of the chunks of a block that hold the term the least tokens and, by field, the
+    most instances; a block is ``block`` neighbouring seqs. Of the version: stats, one row (n, total); gone
+    (segment, seq).
     """
 
     spark: SparkSession
     root: str
+    block: int = BLOCK
 
     @cached_property
     def segments(self) -> list[Segment]:
@@ -70,7 +81,7 @@ class Index:
 
     def of_segment(self, segment: Segment, name: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{segment.path}/{name}")
-        if not segment.n_gone:
+        if not segment.n_gone or name == "bounds":  # bounds hold for fewer chunks too
             return rows
         gone = self.spark.read.parquet(f"{self.root}/gone").where(F.col("segment") == segment.path).select("seq")
         return rows.join(gone, "seq", "left_anti")
@@ -101,11 +112,21 @@ def postings(rows: DataFrame) -> DataFrame:
     return found.sortWithinPartitions("term", "field", "seq")
 
 
-def write_postings(rows: DataFrame, path: str) -> None:
+def block_of(size: int) -> Column:
+    return F.expr(f"(seq - pmod(seq, {size})) div {size}")
+
+
+def write_postings(rows: DataFrame, path: str, block: int) -> None:
+    """Writes postings, and the bounds that are made of them with one shuffle of their numbers."""
     rows.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+    rows = rows.sparkSession.read.parquet(f"{path}/postings")
+    rows = rows.select("term", block_of(block).alias("block"), "n_tokens", "field", F.size("places").alias("n"))
+    rows = rows.repartitionByRange("term", "block").groupBy("term", "block", "field").agg(F.min("n_tokens").alias("n_tokens"), F.max("n").alias("n"))
+    bounds = rows.groupBy("term", "block").agg(F.min("n_tokens").alias("least"), F.map_from_entries(F.collect_list(F.struct("field", "n"))).alias("most"))
+    bounds.sortWithinPartitions("term", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/bounds")
 
 
-def write_segment(chunks: DataFrame, path: str, columns: tuple[str, ...]) -> tuple[int, int]:
+def write_segment(chunks: DataFrame, path: str, columns: tuple[str, ...], block: int = BLOCK) -> tuple[int, int]:
     """Writes a segment of chunks, which are tokenized once: (chunks, their tokens)."""
     spark = chunks.sparkSession
     chunks.write.parquet(f"{path}/chunks")
@@ -114,27 +135,28 @@ def write_segment(chunks: DataFrame, path: str, columns: tuple[str, ...]) -> tup
     rows.write.parquet(f"{path}/tokens")
     rows = spark.read.parquet(f"{path}/tokens")
     rows.select("seq", "type", "n_tokens").write.parquet(f"{path}/lengths")
-    write_postings(postings(rows), path)
+    write_postings(postings(rows), path, block)
     n, total = spark.read.parquet(f"{path}/lengths").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     return n, total
 
 
-def write_version(spark: SparkSession, root: str, segments: list[Segment], n: int, total: int) -> Index:
+def write_version(spark: SparkSession, root: str, segments: list[Segment], n: int, total: int, block: int = BLOCK) -> Index:
     rows = [(i, s.path, s.n, s.n_gone) for i, s in enumerate(segments)]
     spark.createDataFrame(rows, "place int, path string, n long, n_gone long").coalesce(1).write.parquet(f"{root}/segments")
     spark.createDataFrame([(n, total)], "n long, total long").coalesce(1).write.parquet(f"{root}/stats")
-    return Index(spark, root)
+    return Index(spark, root, block)
 
 
-def build_index(chunks: DataFrame, root: str, columns: tuple[str, ...] = tuple(WEIGHTS)) -> Index:
+def build_index(chunks: DataFrame, root: str, columns: tuple[str, ...] = tuple(WEIGHTS), block: int = BLOCK) -> Index:
     """Writes the index of chunks (seq, type, the weighted columns, and others to keep) below ``root``, as one
     segment.
 
     Null columns have no tokens; an empty table gives an empty index. Each chunk has a seq of its own: rows
-    that share one would be one chunk to the postings.
+    that share one would be one chunk to the postings. An index of another ``block`` than BLOCK is opened
+    with it.
     """
-    n, total = write_segment(chunks, f"{root}/segment", columns)
-    return write_version(chunks.sparkSession, root, [Segment(f"{root}/segment", n, 0)], n, total)
+    n, total = write_segment(chunks, f"{root}/segment", columns, block)
+    return write_version(chunks.sparkSession, root, [Segment(f"{root}/segment", n, 0)], n, total, block)
 
 
 def refresh_index(index: Index, root: str, changed: DataFrame, removed: DataFrame, columns: tuple[str, ...] = tuple(WEIGHTS)) -> Index:
@@ -150,7 +172,7 @@ def refresh_index(index: Index, root: str, changed: DataFrame, removed: DataFram
     changed.select("seq").unionAll(removed.select("seq")).distinct().write.parquet(f"{root}/touched")
     touched = spark.read.parquet(f"{root}/touched")
     fresh = changed.join(removed.select("seq").distinct(), "seq", "left_anti").select(*index.read("chunks").columns)
-    n, total = write_segment(fresh, f"{root}/segment", columns)
+    n, total = write_segment(fresh, f"{root}/segment", columns, index.block)
     lost = [index.of_segment(s, "lengths").join(touched, "seq", "left_semi").select(F.lit(s.path).alias("segment"), "seq", "n_tokens") for s in index.segments]
     reduce(DataFrame.unionAll, lost).write.parquet(f"{root}/lost")
     lost = spark.read.schema("segment string, seq long, n_tokens long").parquet(f"{root}/lost")
@@ -162,8 +184,8 @@ def refresh_index(index: Index, root: str, changed: DataFrame, removed: DataFram
     old_n, old_total = index.read("stats").first()
     segments = [Segment(s.path, s.n, s.n_gone + out.get(s.path, (0, 0))[0]) for s in index.segments]
     segments = [s for s in segments if s.live] + [Segment(f"{root}/segment", n, 0)] * (n > 0)
-    merged = merge_segments(Index(spark, root), segments or [Segment(f"{root}/segment", n, 0)])
-    return write_version(spark, root, merged, old_n + n - sum(x for x, _ in out.values()), old_total + total - sum(x for _, x in out.values()))
+    merged = merge_segments(Index(spark, root, index.block), segments or [Segment(f"{root}/segment", n, 0)])
+    return write_version(spark, root, merged, old_n + n - sum(x for x, _ in out.values()), old_total + total - sum(x for _, x in out.values()), index.block)
 
 
 def merge_segments(index: Index, segments: list[Segment]) -> list[Segment]:
@@ -180,7 +202,7 @@ def merge_segments(index: Index, segments: list[Segment]) -> list[Segment]:
             reduce(DataFrame.unionByName, [index.of_segment(s, name) for s in found]).write.parquet(f"{path}/{name}")
         line = ["term", "field", "seq"]
         rows = reduce(DataFrame.unionByName, [index.of_segment(s, "postings") for s in found])
-        write_postings(rows.repartitionByRange(*line).sortWithinPartitions(*line), path)
+        write_postings(rows.repartitionByRange(*line).sortWithinPartitions(*line), path, index.block)
         segments = [s for s in segments if s not in found] + [Segment(path, sum(s.live for s in found), 0)]
 
 
@@ -196,12 +218,22 @@ def bm25(
     case_sensitive: raw terms must be in the content as written, among the first 5 * limit rows.
     types restrict rows, never the statistics. A query without terms, and an empty index, find
     nothing. keep: columns of the chunks, fetched for the rows within the limit.
+
+    With a limit, and words alone, an index of more than FIRST blocks is searched by the bounds of its
+    blocks (``best_blocks``): the rows are the same. A phrase's frequency is known only from its places,
+    so a query that holds one reads its words' whole lists.
     """
     variants = term_variants(query)
     phrases = [(i, phrase_tokens(v)) for i, group in enumerate(variants) for v in group]
     if not phrases:
         return index.read("chunks").limit(0).select("seq", F.lit(0.0).alias("score"), *keep)
-    found = scored(index, phrases, len(variants), exact_word, require_all, fallback_to_any, types, weights)
+    ask = (index, phrases, len(variants), exact_word)
+    wide = sum(s.n for s in index.segments) > FIRST * index.block
+    words = all(len(p) < 2 for _, p in phrases) and any(p for _, p in phrases)
+    if limit and wide and words and min(weights.values(), default=0) >= 0:
+        found = best_rows(*ask, require_all, fallback_to_any, types, weights, 5 * limit if case_sensitive else limit)
+    else:
+        found = scored(*ask, require_all, fallback_to_any, types, weights)
     found = found.orderBy("score", "seq")
     if case_sensitive:
         found = found.limit(5 * limit) if limit else found
@@ -226,15 +258,116 @@ def with_columns(index: Index, found: DataFrame, columns: tuple[str, ...], limit
     return found.join(rows, "seq", "left")
 
 
-def scored(index: Index, phrases, n_terms: int, exact: bool, require_all: bool, fallback: bool, types, weights) -> DataFrame:
-    """(seq, score) of all chunks that match."""
+def is_term(word: str, exact: bool) -> Column:
+    return F.col("term") == word if exact else F.col("term").startswith(word)
+
+
+def any_of(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def idf_of(n: Column, df: Column) -> Column:
+    found = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(found <= 0, 1e-6).otherwise(found)
+
+
+def saturated(hits: Column, n_tokens: Column, average: Column) -> Column:
+    """A term's part of the score beside its idf: it grows with the hits and falls with the length."""
+    return hits * (K1 + 1) / (hits + K1 * (1 - B + B * n_tokens / average))
+
+
+def chunk_counts(index: Index, words: list[str], exact: bool, weights) -> list[int]:
+    """Of each word the chunks that hold it, as a term or as a prefix of one, in a field that counts. Of the
+    postings only terms, fields and seqs are read; what is shuffled is a bit a chunk."""
+    rows = index.read("postings").where(any_of([is_term(w, exact) for w in words]))
+    rows = rows.where(F.col("field").isin([f for f, w in weights.items() if w > 0]))
+    place = F.bitmap_bit_position("seq")
+    bits = [F.bitmap_construct_agg(F.when(is_term(w, exact), place)).alias(f"_b{j}") for j, w in enumerate(words)]
+    rows = rows.groupBy(F.bitmap_bucket_number("seq").alias("_bucket")).agg(*bits)
+    return list(rows.agg(*[F.coalesce(F.sum(F.bitmap_count(f"_b{j}")), F.lit(0)) for j in range(len(words))]).first())
+
+
+def block_bounds(index: Index, phrases, n_terms: int, exact: bool, require_all: bool, weights, counts: list[int]) -> DataFrame:
+    """(block, bound): no chunk of the block scores better than -bound. Blocks without a term that must
+    match are left out."""
+    words = [(i, f"_m{j}", p[0]) for j, (i, p) in enumerate(phrases) if p]
+    weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    entries = F.map_entries("most")
+    most = F.aggregate(entries, F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(weight[x["key"]], F.lit(0.0)))
+    rows = index.read("bounds").where(any_of([is_term(w, exact) for _, _, w in words])).withColumn("_most", most)
+    hits = [F.sum(F.when(is_term(w, exact), F.col("_most")).otherwise(0.0)).alias(name) for _, name, w in words]
+    rows = rows.groupBy("block").agg(F.min("least").alias("_least"), *hits)
+    n, total = index.read("stats").first()
+    parts = [idf_of(F.lit(n), F.lit(d)) * saturated(F.col(name), F.col("_least"), F.lit(total / n)) for (_, name, _), d in zip(words, counts)]
+    if require_all:
+        for i in range(n_terms):
+            rows = rows.where(any_of([F.lit(False)] + [F.col(name) > 0 for k, name, _ in words if k == i]))
+    return rows.select("block", add(parts).alias("bound")).where("bound > 0")
+
+
+def best_rows(index: Index, phrases, n_terms: int, exact: bool, require_all: bool, fallback: bool, types, weights, limit: int) -> DataFrame:
+    """At least the ``limit`` best rows of ``scored``, for single words. The blocks of the best bounds are read
+    first, and their limit-th score is the threshold; then blocks whose bound doesn't reach it are left
+    out, by their seqs, of the scan of the postings. Ties stay: a bound equal to the threshold is read."""
+    counts = chunk_counts(index, [p[0] for _, p in phrases if p], exact, weights)
+    padded = iter(counts)
+    known = [next(padded) if p else 0 for _, p in phrases]
+    relaxed = require_all and fallback and n_terms > 1
+
+    def search(every: bool) -> DataFrame:
+        bounds = block_bounds(index, phrases, n_terms, exact, every, weights, counts)
+        size, floor = FIRST, 0.0
+        while True:
+            best = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(size).collect()]
+            rows = scored(index, phrases, n_terms, exact, every, False, types, weights, known, in_blocks(index, best))
+            if len(best) < size:
+                return rows
+            top = rows.orderBy("score", "seq").limit(limit).agg(F.count("*").alias("n"), F.max("score").alias("worst")).first()
+            if top["n"] == limit:
+                floor = -top["worst"] * (1 - 1e-9)
+                break
+            if size > NAMED:
+                break
+            size *= FIRST
+        able = bounds.where(F.col("bound") >= floor).select("block")
+        few = [r["block"] for r in able.limit(NAMED + 1).collect()]
+        if len(few) <= NAMED:
+            return scored(index, phrases, n_terms, exact, every, False, types, weights, known, in_blocks(index, few))
+        return scored(index, phrases, n_terms, exact, every, False, types, weights, known, able)
+
+    found = search(require_all)
+    return search(False) if relaxed and found.isEmpty() else found
+
+
+def in_blocks(index: Index, blocks: list[int]) -> Column:
+    """Whether a chunk is in one of the blocks, with at most RANGES ranges of seqs that hold them all, for row
+    groups and pages to be left out by."""
+    ordered = sorted(blocks)
+    if not ordered:
+        return F.lit(False)
+    gaps = sorted(((b - a, i + 1) for i, (a, b) in enumerate(zip(ordered, ordered[1:])) if b - a > 1), reverse=True)
+    cuts = [0, *sorted(i for _, i in gaps[: RANGES - 1]), len(ordered)]
+    spans = [F.col("seq").between(ordered[a] * index.block, (ordered[b - 1] + 1) * index.block - 1) for a, b in zip(cuts, cuts[1:])]
+    return any_of(spans) & block_of(index.block).isin(ordered)
+
+
+def scored(
+    index: Index, phrases, n_terms: int, exact: bool, require_all: bool, fallback: bool, types, weights,
+    counts: list[int] | None = None, blocks: Column | DataFrame | None = None,
+) -> DataFrame:
+    """(seq, score) of all chunks that match, or of those in ``blocks``: a condition, or a table (block). Then
+    counts are the phrases' numbers of chunks in the whole index."""
     named = [(i, f"_f{j}", p) for j, (i, p) in enumerate(phrases)]
 
     def is_last(word: str) -> Column:
-        return F.col("term") == word if exact else F.col("term").startswith(word)
+        return is_term(word, exact)
 
     wanted = [is_last(p[-1]) for _, _, p in named if p] + [F.col("term").isin(sorted({w for _, _, p in named for w in p[:-1]}))]
-    rows = index.read("postings").where(reduce(lambda a, b: a | b, wanted))
+    rows = index.read("postings").where(any_of(wanted))
+    if isinstance(blocks, DataFrame):
+        rows = rows.withColumn("block", block_of(index.block)).join(blocks, "block", "left_semi").drop("block")
+    elif blocks is not None:
+        rows = rows.where(blocks)
 
     def places(test: Column) -> Column:
         return F.flatten(F.collect_list(F.when(test, F.col("places"))))
@@ -259,17 +392,13 @@ def scored(index: Index, phrases, n_terms: int, exact: bool, require_all: bool,
             by_field = by_field.withColumn(name, F.size(reduce(F.array_intersect, shifted)) if p else F.lit(0))
         rows = by_field.groupBy("seq", "type", "n_tokens").agg(*[F.sum(F.col(n) * weight).alias(n) for n in names])
     stats = index.read("stats").select(F.col("n").alias("_n"), (F.col("total") / F.col("n")).alias("_avg"))
-    # one row of counts beside the one of statistics
-    stats = stats.crossJoin(rows.agg(*[F.count_if(F.col(n) > 0).alias(f"_d{n}") for n in names]))
-
-    def idf(n: str) -> Column:
-        found = F.log((F.col("_n") - F.col(f"_d{n}") + 0.5) / (F.col(f"_d{n}") + 0.5))
-        return F.when(found <= 0, 1e-6).otherwise(found)
-
-    norm = K1 * (1 - B + B * F.col("n_tokens") / F.col("_avg"))
-    score = add([idf(n) * F.col(n) * (K1 + 1) / (F.col(n) + norm) for n in names])
-    matched = [reduce(lambda a, b: a | b, [F.col(n) > 0 for j, n, _ in named if j == i]) for i in range(n_terms)]
-    every, some = reduce(lambda a, b: a & b, matched), reduce(lambda a, b: a | b, matched)
+    if counts is None:  # one row of counts beside the one of statistics
+        stats = stats.crossJoin(rows.agg(*[F.count_if(F.col(n) > 0).alias(f"_d{n}") for n in names]))
+    else:
+        stats = stats.select("*", *[F.lit(d).alias(f"_d{n}") for n, d in zip(names, counts)])
+    score = add([idf_of(F.col("_n"), F.col(f"_d{n}")) * saturated(F.col(n), F.col("n_tokens"), F.col("_avg")) for n in names])
+    matched = [any_of([F.col(n) > 0 for j, n, _ in named if j == i]) for i in range(n_terms)]
+    every, some = reduce(lambda a, b: a & b, matched), any_of(matched)
     relaxed = require_all and fallback and n_terms > 1
     rows = rows.where(some if not require_all or relaxed else every).withColumn("_all", every)
     if types:

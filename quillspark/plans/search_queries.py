@@ -110,6 +110,19 @@ for name, query, spark_options, sql_options in [
     QUERIES[name], SQL[name] = bm25_query(query, **spark_options), bm25_sql(query, **sql_options)
 
 
+def block_bounds_query(query: str, **options):
+    """A search of an index of small blocks, most of which its bounds leave out."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = search.build_index(chunks(spark, sf_dir), Scratch(spark, "index").root, block=8)
+        return search.bm25(index, query, limit=20, **options).select("seq", F.round("score", 6).alias("score"))
+
+    return run
+
+
+for name, query, options in [("bm25_block_bounds", "scum the", {"require_all": False}), ("bm25_block_bounds_all", "idiot trash", {})]:
+    QUERIES[name], SQL[name] = block_bounds_query(query, **options), bm25_sql(query, **options)
+
+
 def tokenize_counts(spark, sf_dir):
     return chunks(spark, sf_dir).select("seq", F.size(T.tokens(F.col("content"))).cast("long").alias("n_tokens"), F.size(F.array_distinct(T.tokens(F.col("content")))).cast("long").alias("n_terms"))
 

@@ -62,6 +62,29 @@ def test_a_small_change_writes_little_and_all_may_go(spark, tmp_path):
     assert again.read("stats").first()["n"] == 3
 
 
+def test_bounds_of_blocks_leave_out_most_of_a_common_term(spark, tmp_path, monkeypatch):
+    # "common" is everywhere, "rare" in two chunks, "tied" in equal chunks far apart
+    text = "concat_ws(' ', transform(sequence(1, 2 + cast(id % 37 as int)), x -> 'common'), CASE WHEN id IN (70, 3900) THEN 'rare' END, CASE WHEN id % 500 = 3 THEN 'tied' END, concat('commonly', id % 3), transform(sequence(1, 30), x -> concat('w', (id * x) % 977)))"
+    rows = spark.range(4000).coalesce(2).selectExpr("id AS seq", "if(id % 5 = 0, 'table', 'text') AS type", f"{text} AS content", "if(id % 100 = 0, 'common.txt', 'a.txt') AS file_name", "'' AS keywords", "CAST(NULL AS string) AS caption")
+    index = search.build_index(rows, f"{tmp_path}/0", block=16)
+    changed = rows.where("seq % 97 = 5").withColumn("content", F.concat("content", F.lit(" rare common")))
+    index = search.refresh_index(index, f"{tmp_path}/1", changed, rows.where("seq % 31 = 7").select("seq"))
+    assert index.block == 16 and any(s.n_gone for s in index.segments)
+    cases = [
+        ("rare common", {}), ("rare common", {"require_all": False}), ("tied rare", {}), ("common", {"types": ["table"]}),
+        ("rare +++", {"fallback_to_any": False}), ("rare common", {"require_all": False, "exact_word": True, "weights": {"content": 1.0, "file_name": 0.0}}),
+    ]
+    rounded = lambda frame: [(r["seq"], round(r["score"], 9)) for r in frame.collect()]
+    for query, options in cases:
+        assert rounded(search.bm25(index, query, limit=7, **options)) == rounded(search.bm25(index, query, limit=None, **options))[:7], (query, options)
+    named = []
+    monkeypatch.setattr(search, "in_blocks", lambda i, b, f=search.in_blocks: named.append(len(b)) or f(i, b))
+    search.bm25(index, "rare common", require_all=False, limit=5, exact_word=True).collect()
+    assert 0 < max(named) <= 60  # of 250 blocks, all of which hold the common term
+    monkeypatch.setattr(search, "NAMED", 0)  # too many to be named: joined
+    assert [r["seq"] for r in search.bm25(index, "common", limit=7).collect()] == [r["seq"] for r in search.bm25(index, "common", limit=None).limit(7).collect()]
+
+
 def test_a_store_is_searched_while_it_changes(spark, tmp_path):
     store = indexing.Store(spark, str(tmp_path))
     assert store.search("fox", keep=("path",)).collect() == []
