@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import listing
+from ..workspace import file_system
+
 
 def debounce(events: DataFrame, keys: tuple[str, ...] = (), quiet: str = "3 seconds", late: str = "1 minute") -> DataFrame:
     """One row per burst of events (ts, keys): its start, end and count. A burst ends with ``quiet`` time
@@ -64,6 +67,52 @@ def watch(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.col("kind").isin("created", "modified", "deleted", "moved")) if "kind" in rows.columns else rows
 
 
+def watch_folder(spark: SparkSession, folder: str, state: str, interval: str = "3 seconds", skip: str | None = None, once: bool = False):
+    """A running query that lists a folder's files at every interval and writes what happened to them since the
+    last listing, (path, kind, source) as in ``changes``, below ``state``/changes. Readers stream from there
+    (``watched``). once: one listing, then it ends.
+
+    A listing is a table of its batch, never the driver's, and a batch that is run again after a failure
+    compares with the same earlier listing, or finds its changes written: each is told once. No file
+    is opened: a file is modified if its time or length changed, and moved if one with its time and length
+    went in the same interval. The first listing tells of every file as created. ``skip``: a folder
+    whose files are left out; ``state`` lies outside ``folder`` or is that folder.
+    """
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+
+    def compare(_, batch: int) -> None:
+        fs, told = file_system(spark, f"{state}/changes/batch={batch}/_SUCCESS")
+        if fs.exists(told):  # it failed after its changes were written
+            return
+        now = listing(spark, folder, skip).select("path", F.concat_ws("/", "mtime", "length").alias("hash"))
+        now.write.mode("overwrite").parquet(f"{state}/listing/{batch}")
+        now = spark.read.parquet(f"{state}/listing/{batch}")
+        before = spark.read.parquet(f"{state}/listing/{batch - 1}") if batch else now.limit(0)
+        found = changes(before, now).withColumn("at", F.current_timestamp())
+        found.write.mode("overwrite").parquet(f"{state}/changes/batch={batch}")
+        if batch > 1:  # no batch before this one can be run again
+            fs.delete(file_system(spark, f"{state}/listing/{batch - 2}")[1], True)
+
+    stream = ticks.writeStream.foreachBatch(compare).option("checkpointLocation", f"{state}/checkpoint")
+    return stream.trigger(processingTime=interval).start() if not once else _one_batch(stream)
+
+
+def _one_batch(stream):
+    """A started query that has ended its next batch; of batches that come as fast as they can it takes one."""
+    query = stream.trigger(processingTime="1 day").start()
+    while query.isActive and query.lastProgress is None:
+        query.awaitTermination(0.1)
+    query.stop()
+    if query.exception():
+        raise query.exception()
+    return query
+
+
+def watched(spark: SparkSession, state: str) -> DataFrame:
+    """The stream of a watched folder's changes: (path, kind, source, at, batch)."""
+    return spark.readStream.schema("path string, kind string, source string, at timestamp, batch long").parquet(f"{state}/changes")
+
+
 def latest(results: DataFrame, key: str = "user_id", order: str = "request_id") -> DataFrame:
     """Of each key the result of its newest request."""
     cols = [c for c in results.columns if c != key]
