@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Scratch
+from .buckets import free_name
 
 UNKNOWN = "unknown"
 LEVELS = ["domain", "lang", "source"]
@@ -131,7 +132,8 @@ def mix_sources(
     the prefix ends with the key that reaches the quota, so it passes it by less than the rows of one
     id. Rows that repeat an id share its key and so its fate. Texts without words cost nothing and
     follow their key. Null ids share one key. An empty table, and one without words, gives an empty
-    result. Input columns keep their names; three names that begin with ``_quill_`` are added.
+    result. Input columns keep their names and values; an added name that a column has already is longer by
+    underscores (``mixture_columns``).
     """
     scratch = Scratch(spark, "mixing")
     named = lambda c: F.coalesce(c.cast("string"), F.lit(UNKNOWN))
@@ -142,10 +144,18 @@ def mix_sources(
     if budget is None:
         budget = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
     cut = scratch.keep(cutoffs(rows, quotas(leaves, budget, weights, max_epochs), scratch, seed))
-    cut = cut.toDF("_quill_domain", "_quill_lang", "_quill_source", "_quill_epochs", "_quill_cut")
-    out = docs.withColumns({"_quill_domain": leaf["domain"], "_quill_lang": leaf["lang"], "_quill_source": leaf["source"]})
-    out = out.join(cut, ["_quill_domain", "_quill_lang", "_quill_source"])  # broadcast while its file is small
-    key = order_key(seed, F.col("_quill_epochs"), F.col(id_col))
-    out = out.withColumn("_quill_copies", F.col("_quill_epochs") + (key <= F.col("_quill_cut")).cast("long"))
-    out = out.where("_quill_copies > 0").withColumn("_quill_tokens", token_count(F.col(text_col)))
-    return out.select(*docs.columns, "_quill_copies", "_quill_domain", "_quill_tokens")
+    places, copies, tokens = mixture_columns(docs)
+    epochs, last = free_name(docs, "_quill_epochs"), free_name(docs, "_quill_cut")
+    cut = cut.toDF(*places, epochs, last)
+    out = docs.withColumns(dict(zip(places, (leaf[k] for k in LEVELS))))
+    out = out.join(cut, list(places))  # broadcast while its file is small
+    key = order_key(seed, F.col(epochs), F.col(id_col))
+    out = out.withColumn(copies, F.col(epochs) + (key <= F.col(last)).cast("long"))
+    out = out.where(F.col(copies) > 0).withColumn(tokens, token_count(F.col(text_col)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], copies, places[0], tokens)
+
+
+def mixture_columns(docs: DataFrame) -> tuple[tuple[str, str, str], str, str]:
+    """((domain, language, source), copies, tokens): names that ``mix_sources`` adds and no column of docs has."""
+    domain, lang, source, copies, tokens = (free_name(docs, f"_quill_{x}") for x in ("domain", "lang", "source", "copies", "tokens"))
+    return (domain, lang, source), copies, tokens

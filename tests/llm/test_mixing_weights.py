@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from quillspark.llm import mixing
+from pyspark.sql import functions as F
+from quillspark.llm.pipeline_stages import mix
 
 LEAF = "domain string, lang string, source string, tokens long"
 
@@ -75,3 +77,19 @@ def test_huge_budgets_do_not_overflow(spark):
     frame = spark.createDataFrame([("d", "l", "a", 4 * 10**16), ("d", "l", "b", 4 * 10**16)], LEAF)
     got = {r["source"]: r["quota"] for r in mixing.quotas(frame, 3 * 10**16, {"source": {"a": 1000, "b": 500}}, 1).collect()}
     assert got == {"a": 2 * 10**16, "b": 10**16}
+
+
+def test_columns_that_are_named_like_added_ones_keep_their_values(spark):
+    rows = [(i, f"word {i} of a text", "en", f"src{i % 3}", f"d{i}", -i, "t", 0.5, "x.y") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _quill_domain string, _quill_copies int, _QUILL_TOKENS string, _quill_cut double, `a.b` string")
+    (domain, _, _), copies, tokens = mixing.mixture_columns(docs)
+    assert (domain, copies, tokens) == ("_quill_domain_", "_quill_copies_", "_quill_tokens_")
+    plain = mixing.mix_sources(spark, docs.select("doc_id", "text", "lang", "source"), F.lit("all"), {})
+    found = mixing.mix_sources(spark, docs, F.lit("all"), {})
+    assert found.columns == [*docs.columns, copies, domain, tokens]
+    taken = {r["doc_id"]: r["_quill_copies"] for r in plain.collect()}
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert {i: r[copies] for i, r in got.items()} == taken and taken
+    assert all((r["_quill_domain"], r["_quill_copies"], r["a.b"]) == (f"d{i}", -i, "x.y") for i, r in got.items())
+    mixed = mix(spark, docs, {}, 0.5, 3, F.lit("all"))
+    assert mixed.columns == docs.columns and sorted(r["_quill_domain"] for r in mixed.collect()) == sorted(f"d{i}" for i, n in taken.items() for _ in range(n))
