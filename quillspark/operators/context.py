@@ -24,11 +24,16 @@ def heading_before(chunks: DataFrame, max_chars: int = 120) -> DataFrame:
 
 
 def history(turns: DataFrame, last: int = 3) -> DataFrame:
-    """Each turn with the last turns before it whose status is ok, oldest first."""
+    """Each turn with the last turns before it whose status is ok, oldest first.
+
+    The latest ok turn before a turn is one value carried along the conversation; the one before that is what
+    was carried at it, and so on: ``last`` passes over one sort, whatever a conversation's length."""
     line = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    ok = F.filter(F.collect_list(F.when(F.col("ok"), F.struct("turn", "text"))).over(line), lambda x: x.isNotNull())
-    # the frame grows with the conversation; it is cut at once
-    return turns.select("conv_id", "turn", F.when(F.size(ok) > last, F.slice(ok, -last, last)).otherwise(ok).alias("history"))
+    rows = turns.select("conv_id", "turn", "ok", F.struct("turn", "text").alias("_0"))
+    for k in range(last):
+        rows = rows.withColumn(f"_{k + 1}", F.last(F.when(F.col("ok"), F.col(f"_{k}")), ignorenulls=True).over(line))
+    found = F.array(*[F.col(f"_{k}") for k in range(last, 0, -1)])
+    return rows.select("conv_id", "turn", F.filter(found, lambda x: x.isNotNull()).alias("history"))
 
 
 def previous_question(turns: DataFrame) -> DataFrame:

@@ -35,16 +35,20 @@ def rescore(outcomes: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def hallucinations(outcomes: DataFrame) -> DataFrame:
-    """(flagged, caught, missed, caught_ids, missed_ids): answers where none should be, by whether the checks
-    caught them. The lists are those of a question set, which a person wrote."""
+    """(flagged, caught, missed): answers that the checks flagged, and of answers where none should be how many
+    they caught and missed. ``hallucination_cases`` names these."""
     slip = F.col("expect_abstain") & ~F.col("abstained")
-    ids = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("case_id"))))
     return outcomes.agg(
         F.count_if("needs_review").alias("flagged"), F.count_if(slip & F.col("needs_review")).alias("caught"), F.count_if(slip & ~F.col("needs_review")).alias("missed"),
-        ids(slip & F.col("needs_review")).alias("caught_ids"), ids(slip & ~F.col("needs_review")).alias("missed_ids"),
     )
 
 
+def hallucination_cases(outcomes: DataFrame) -> DataFrame:
+    """(case_id, caught) of every answer where none should be."""
+    slip = F.col("expect_abstain") & ~F.col("abstained")
+    return outcomes.where(slip).select("case_id", F.col("needs_review").alias("caught"))
+
+
 def similarity_report(pairs: DataFrame, good: float = 0.99, fair: float = 0.95) -> DataFrame:
     """(method, least, median, mean, good, fair, poor, best) of similarities (method, similarity): how many are
     how near, and the method with the highest median, of equal ones the first by name."""

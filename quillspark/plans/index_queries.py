@@ -278,13 +278,17 @@ def rescore_unknown(spark, sf_dir):
     return results.rescore(*_outcomes(spark, sf_dir))[1]
 
 
-@query(f"""WITH j AS ({_JUDGED}), s AS (SELECT *, expect_abstain AND NOT abstained AS slip FROM j)
-SELECT count(*) FILTER (WHERE needs_review) AS flagged, count(*) FILTER (WHERE slip AND needs_review) AS caught, count(*) FILTER (WHERE slip AND NOT needs_review) AS missed,
-  coalesce(string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id) FILTER (WHERE slip AND needs_review), '') AS caught_ids,
-  coalesce(string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id) FILTER (WHERE slip AND NOT needs_review), '') AS missed_ids FROM s""")
+_SLIPS = f"SELECT *, expect_abstain AND NOT abstained AS slip FROM ({_JUDGED})"
+
+
+@query(f"SELECT count(*) FILTER (WHERE needs_review) AS flagged, count(*) FILTER (WHERE slip AND needs_review) AS caught, count(*) FILTER (WHERE slip AND NOT needs_review) AS missed FROM ({_SLIPS})")
 def hallucination_report(spark, sf_dir):
-    out = results.hallucinations(results.rescore(*_outcomes(spark, sf_dir))[0])
-    return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("caught_ids", "missed_ids")})
+    return results.hallucinations(results.rescore(*_outcomes(spark, sf_dir))[0])
+
+
+@query(f"SELECT case_id, needs_review AS caught FROM ({_SLIPS}) WHERE slip")
+def hallucination_cases(spark, sf_dir):
+    return results.hallucination_cases(results.rescore(*_outcomes(spark, sf_dir))[0])
 
 
 @query(f"""WITH j AS ({_JUDGED}), w AS (SELECT case_id, expect_abstain <> abstained OR NOT expect_abstain AND NOT keywords_hit AS wrong FROM j)

@@ -47,6 +47,37 @@ def idle(requests: DataFrame, after: int = 300, key: str = "user_id") -> DataFra
     return rows.groupBy(key).agg(F.count_if(F.col("gap").isNull() | (F.col("gap") > after)).alias("starts"), busy.alias("busy_sec"))
 
 
+def idle_timers(requests: DataFrame, after: float = 300, key: str = "user_id") -> DataFrame:
+    """(key, what, at, n) of a stream of requests: "start" when a key's first request comes, "stop" when
+    ``after`` seconds of the clock have brought it none, with the n requests in between; then it may start
+    again. ``idle`` tells the same of a table by the requests' own times.
+
+    A key's state is a number, kept with a timer that each of its requests sets anew; timers are looked at in
+    every batch, also in those without requests, and survive a restart with the checkpoint. Null keys
+    are one key. Other columns are ignored.
+    """
+    import pandas as pd
+
+    schema = f"{key} {requests.schema[key].dataType.simpleString()}, what string, at timestamp, n long"
+
+    def step(keys, batches, state):
+        n = sum(map(len, batches))
+        at = pd.Timestamp(state.getCurrentProcessingTimeMs(), unit="ms")
+        row = lambda what, n: pd.DataFrame({key: [keys[0]], "what": [what], "at": [at], "n": [n]})
+        if state.hasTimedOut:
+            (served,) = state.get
+            state.remove()
+            yield row("stop", served)
+            return
+        running = state.exists
+        state.update(((state.get[0] if running else 0) + n,))
+        state.setTimeoutDuration(int(after * 1000))
+        if not running:
+            yield row("start", 0)
+
+    return requests.select(key).groupBy(key).applyInPandasWithState(step, schema, "n long", "append", "ProcessingTimeTimeout")
+
+
 def run_until(stream: DataFrame, name: str, checkpoint: str, stop, poll: float = 0.2) -> None:
     """Runs a stream into a memory table until ``stop()`` says so; the batch at hand is ended first."""
     query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
