@@ -101,27 +101,30 @@ def chunk_by_tokens(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("k", "chunk"))
 
 
-@query("SELECT doc_id, CAST(greatest(length(n) - 1, CASE WHEN length(n) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pairs, CAST(len(list_distinct(list_transform(range(1, greatest(length(n), 2)), lambda i: substr(n, i, 2)))) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', '', 'g'), '[^\\p{L}\\p{N}_]+', '', 'g') AS n FROM documents WHERE text IS NOT NULL) WHERE length(n) > 1")
-def bigram_sets(spark, sf_dir):
-    n = T.normalized(F.col("text"))
-    rows = read(spark, sf_dir, "documents").where((F.col("text").isNotNull()) & (F.length(n) > 1))
-    return rows.select("doc_id", (F.length(n) - 1).cast("long").alias("n_pairs"), F.size(T.shingles(F.col("text"))).cast("long").alias("n_distinct"))
+def _plain_sql(text):
+    return f"regexp_replace(regexp_replace(coalesce({text}, ''), '\\s+', '', 'g'), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
+
 
+_BG = "CASE WHEN length({0}) = 0 THEN []::VARCHAR[] WHEN length({0}) = 1 THEN [{0}] ELSE list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) END"
 
-_BG = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+
+@query(f"SELECT doc_id, CAST(CASE WHEN length(n) > 1 THEN length(n) - 1 ELSE length(n) END AS BIGINT) AS n_pairs, CAST(len({_BG.format('n')}) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_plain_sql('text')} AS n FROM documents)")
+def bigram_sets(spark, sf_dir):
+    """A text of one character is its only run; texts that are null or without letters have none."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(T.normalized(text)).cast("long")
+    return read(spark, sf_dir, "documents").select("doc_id", F.when(n > 1, n - 1).otherwise(n).alias("n_pairs"), F.size(T.shingles(text)).cast("long").alias("n_distinct"))
 
 
-@query(f"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(split_part(text, chr(10), 1), '\\s+', '', 'g'), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS a,
-  regexp_replace(regexp_replace(text, '\\s+', '', 'g'), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS b, lead(text) OVER (ORDER BY doc_id) AS x FROM documents),
-m AS (SELECT doc_id, a, regexp_replace(regexp_replace(x, '\\s+', '', 'g'), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS b FROM n WHERE x IS NOT NULL)
-SELECT doc_id, round(len(list_intersect({_BG.format('a')}, {_BG.format('b')})) / len({_BG.format('a')})::DOUBLE, 6) AS overlap FROM m WHERE length(a) > 1 AND length(b) > 1""")
+@query(f"""WITH m AS (SELECT d.doc_id, {_plain_sql("split_part(d.text, chr(10), 1)")} AS a, {_plain_sql('x.text')} AS b FROM documents d JOIN documents x ON x.doc_id = d.doc_id + 1),
+g AS (SELECT doc_id, {_BG.format('a')} AS a, {_BG.format('b')} AS b FROM m)
+SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 1 WHEN len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a)::DOUBLE END, 6) AS overlap FROM g""")
 def bigram_overlap(spark, sf_dir):
     """First line of each document against the document of the next id."""
     d = read(spark, sf_dir, "documents")
-    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("x"))
-    first = F.substring_index("text", "\n", 1)
-    rows = d.join(after, "doc_id").where((F.length(T.normalized(first)) > 1) & (F.length(T.normalized(F.col("x"))) > 1))
-    return rows.select("doc_id", F.round(T.overlap_ratio(first, F.col("x")), 6).alias("overlap"))
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.coalesce("text", F.lit("")).alias("x"))
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    return d.join(after, "doc_id").select("doc_id", F.round(T.overlap_ratio(first, F.col("x")), 6).alias("overlap"))
 
 
 _ENDINGS = "[" + ", ".join(f"'{x}'" for x in T.KOREAN_SUFFIXES) + "]"
@@ -137,13 +140,13 @@ def korean_variants(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", term.alias("term")).withColumn("stem", T.stem_column(F.col("term")))
 
 
-@query(f"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[{_WS}]+', ' ', 'g')) AS t FROM documents WHERE contains(lower(text), 'trash')),
+@query(f"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[{_WS}]+', ' ', 'g')) AS t FROM documents),
 a AS (SELECT *, greatest(strpos(lower(t), 'trash') - 1, 0) + 2 AS middle FROM f),
 s AS (SELECT *, greatest(least(middle - 70, length(t) - 140), 0) AS start FROM a)
 SELECT doc_id, CASE WHEN start > 0 THEN '…' ELSE '' END || substr(t, start + 1, 140) || CASE WHEN start + 140 < length(t) THEN '…' ELSE '' END AS excerpt FROM s""")
 def excerpt_window(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where(F.lower("text").contains("trash"))
-    return rows.select("doc_id", T.excerpt(F.col("text"), "trash").alias("excerpt"))
+    """A text without the word gives its beginning."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text"), "trash").alias("excerpt"))
 
 
 _MARKED = ["the", "her", "on"]
