@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..workspace import ship
+from .buckets import free_name
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features beside whole words: inflected forms share them.
@@ -326,7 +327,8 @@ def score_documents(
     docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, reject: bool = False
 ) -> DataFrame:
     """The columns of docs with ``_quill_score`` (0 to 1) and, if asked, ``_quill_passages``: begin,
-    end and score of every significant passage. reject: only rows under 0.5, columns as they were.
+    end and score of every significant passage. Where docs has a column of such a name the new one's ends
+    with ``_``. reject: only rows under 0.5, columns as they were.
 
     Null, empty and word-less texts get the score of a text without any sign. Every row is scored by
     its whole text alone; nothing is shuffled. An empty table gives an empty one.
@@ -334,8 +336,8 @@ def score_documents(
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
     schema = docs.schema if reject else docs.select(
-        "*", F.lit(0.0).alias("_quill_score"),
-        *([F.lit(None).cast("array<struct<begin:int,end:int,score:double>>").alias("_quill_passages")] if spans else []),
+        "*", F.lit(0.0).alias(free_name(docs, "_quill_score")),
+        *([F.lit(None).cast("array<struct<begin:int,end:int,score:double>>").alias(free_name(docs, "_quill_passages"))] if spans else []),
     ).schema
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 

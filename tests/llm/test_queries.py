@@ -73,6 +73,18 @@ def test_op4(spark, texts):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
 
 
+def test_op4_tells_held_out_documents_apart(spark):
+    """Held-out labels of the largest table: few errors, and toxic documents score above others. Smaller tables
+    have too few toxic rows among them to learn from or to tell by."""
+    folder = SF.replace("sf0.001", "sf0.1")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(labels[r["doc_id"]], r["score"]) for r in queries.op4_toxic_segments(spark, folder).collect() if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    bad, good = [s for y, s in held if y], [s for y, s in held if not y]
+    assert len(bad) > 0 and len(good) > 20
+    assert np.mean([(s >= 0.5) == bool(y) for y, s in held]) >= 0.9
+    assert np.mean([(b > g) + (b == g) / 2 for b in bad for g in good]) >= 0.9
+
+
 def test_op6(spark, vectors):
     ids, x = vectors
     got = {}
