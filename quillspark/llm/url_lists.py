@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Scratch
+from .buckets import sieve, sifted
+
+#: Captures of one key that meet its entries in one part.
+HOT = 100_000
 
 
 def url_host(url: Column) -> Column:
@@ -50,7 +54,7 @@ def capture_keys(host: Column, path: Column, deepest: int) -> Column:
 
 def judge(
     spark: SparkSession, captures: DataFrame, changes: DataFrame, allow: str = "allow", id_col: str = "page_id",
-    url_col: str = "url", time_col: str = "fetched_at",
+    url_col: str = "url", time_col: str = "fetched_at", hot: int = HOT,
 ) -> DataFrame:
     """One row per capture: (id_col, url_col, time_col, blocked, n_entries, entry, lists).
 
@@ -62,9 +66,10 @@ def judge(
     captures of their own. Empty captures give an empty result, empty lists block nothing, other
     columns are ignored.
 
-    A capture gives a handful of keys, whatever the lists' size. Only the keys of captures and lists
-    meet, on equal keys, and a hot host's captures are spread over tasks by the engine's skew handling
-    or meet a broadcast list while that is small.
+    A capture gives a handful of keys, whatever the lists' size. A sieve of the lists' keys lets through
+    where they lie those that may be listed; only they travel. Keys of more than ``hot`` captures are
+    dealt by row to as many parts as the hottest needs, and their entries, with what the sieve of hot
+    keys takes for hot besides, go to each part.
     """
     scratch = Scratch(spark, "urls")
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).alias("_at"))
@@ -72,8 +77,21 @@ def judge(
     active = scratch.keep(validity(changes))
     deepest = active.where("kind = 'prefix'").agg(F.max(F.size(F.split("entry", "/")) - 1)).first()[0] or 0
     keys = rows.where("_at is not null").select("_row", "_at", F.explode(capture_keys(url_host(F.col("_url")), url_path(F.col("_url")), deepest)).alias("k"))
-    keys = keys.select("_row", "_at", "k.kind", "k.entry")
-    hits = keys.join(active, ["kind", "entry"]).where("since <= _at and (until is null or _at < until)")
+    key = F.xxhash64("kind", "entry").alias("_key")
+    active = scratch.keep(active.select("*", key))
+    listed = sieve(active.select(F.col("_key").alias("id")).distinct(), scratch)
+    keys = scratch.keep(sifted(keys.select("_row", "_at", "k.kind", "k.entry").select("*", key), "_key", listed)[0])
+    sizes = scratch.keep(keys.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > hot))
+    parts = -(-(sizes.agg(F.max("n")).first()[0] or 1) // hot)
+    many = sieve(sizes.select(F.col("_key").alias("id")), scratch)
+
+    def dealt(frame: DataFrame, part: Column) -> DataFrame:
+        spread, rest = sifted(frame, "_key", many)
+        return spread.withColumn("_part", part).unionAll(rest.withColumn("_part", F.lit(0)))
+
+    mine = dealt(keys, F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int"))
+    theirs = dealt(active, F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).drop("_key")
+    hits = mine.join(theirs, ["kind", "entry", "_part"]).where("since <= _at and (until is null or _at < until)")
     best = lambda mine: F.max(F.when(mine, F.struct(F.length("entry").alias("n"), F.col("entry"))))
     judged = hits.groupBy("_row").agg(
         F.count("*").alias("n_entries"), F.max(F.struct(F.length("entry"), "entry")).getField("entry").alias("entry"),

@@ -243,6 +243,11 @@ def test_passages_of_very_long_texts(spark):
     assert [(x["begin"], x["end"]) for x in got[1]["_quill_passages"]] == [(len(long), len(long) + 27)]
     assert [(x["begin"], x["end"]) for x in got[5]["_quill_passages"]] == [(0, 17)]
     assert got[2]["_quill_score"] == got[3]["_quill_score"] == got[4]["_quill_score"] < got[1]["_quill_score"] < 1
+    own = spark.createDataFrame(rows[1:], SCHEMA).selectExpr("*", "'own' AS _quill_score", "7 AS _quill_passages")
+    same = toxicity.score_documents(own, model, spans=True).collect()
+    assert all((r["_quill_score"], r["_quill_passages"]) == ("own", 7) for r in same)
+    assert {r["doc_id"]: (r["_quill_score_"], r["_quill_passages_"]) for r in same} == {i: (got[i]["_quill_score"], got[i]["_quill_passages"]) for i in (2, 3, 4, 5)}
+    assert toxicity.score_documents(own, model, reject=True).columns == own.columns
 
 
 def test_toxicity_learns_and_handles_odd_rows(spark):
@@ -337,6 +342,8 @@ def test_lists_over_time(spark):
     caps = spark.createDataFrame(caps, "page_id long, url string, at string").withColumn("fetched_at", F.to_date("at"))
     got = url_lists.judge(spark, caps, lists).collect()
     assert sorted((r["page_id"], r["blocked"], r["n_entries"]) for r in got) == [(1, True, 1), (1, True, 1), (2, False, 0), (3, True, 1), (4, False, 0), (5, False, 2), (6, False, 0), (7, False, 0), (8, False, 0)]
+    hot = url_lists.judge(spark, caps, lists, hot=1).collect()
+    assert sorted(map(str, hot)) == sorted(map(str, got))
     assert url_lists.judge(spark, caps.limit(0), lists.limit(0)).count() == 0
     assert {r["blocked"] for r in url_lists.judge(spark, caps, lists.limit(0)).collect()} == {False}
     clash = caps.selectExpr("*", "1 AS list", "'x' AS entry", "'k' AS kind", "2 AS since", "3 AS until", "4 AS _row", "'u' AS _url")
