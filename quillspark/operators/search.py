@@ -382,11 +382,11 @@ def scored(
         hits = [F.when(is_last(p[0]), F.size("places")).otherwise(0) * weight if p else F.lit(0.0) for _, _, p in named]
         rows = rows.groupBy("seq", "type", "n_tokens").agg(*[F.sum(h).alias(n) for n, h in zip(names, hits)])
     else:  # the places of a phrase's words meet in each field, then fields add up where they lie
-        counts = []
+        gathered = []
         for _, name, p in named:
             tests = [F.col("term") == w for w in p[:-1]] + [is_last(p[-1])] if p else []
-            counts += [places(t).alias(f"{name}_{j}") for j, t in enumerate(tests)]
-        by_field = rows.repartition("seq").groupBy("seq", "type", "n_tokens", "field").agg(*counts)
+            gathered += [places(t).alias(f"{name}_{j}") for j, t in enumerate(tests)]
+        by_field = rows.repartition("seq").groupBy("seq", "type", "n_tokens", "field").agg(*gathered)
         for _, name, p in named:  # starts from which every word of the phrase follows at its distance
             shifted = [F.transform(f"{name}_{j}", back(j)) for j in range(len(p))]
             by_field = by_field.withColumn(name, F.size(reduce(F.array_intersect, shifted)) if p else F.lit(0))
