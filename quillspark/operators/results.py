@@ -35,11 +35,14 @@ def rescore(outcomes: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def hallucinations(outcomes: DataFrame) -> DataFrame:
-    """(flagged, caught, missed): answers that the checks flagged, and of answers where none should be how many
-    they caught and missed. ``hallucination_cases`` names these."""
+    """(flagged, caught, missed, caught_ids, missed_ids): answers that the checks flagged, and of answers where none
+    should be how many they caught and missed, and which. The lists are ids alone, in one row;
+    ``hallucination_cases`` has them as rows."""
     slip = F.col("expect_abstain") & ~F.col("abstained")
+    ids = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("case_id"))))
     return outcomes.agg(
         F.count_if("needs_review").alias("flagged"), F.count_if(slip & F.col("needs_review")).alias("caught"), F.count_if(slip & ~F.col("needs_review")).alias("missed"),
+        ids(slip & F.col("needs_review")).alias("caught_ids"), ids(slip & ~F.col("needs_review")).alias("missed_ids"),
     )
 
 

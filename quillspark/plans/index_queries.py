@@ -281,9 +281,12 @@ def rescore_unknown(spark, sf_dir):
 _SLIPS = f"SELECT *, expect_abstain AND NOT abstained AS slip FROM ({_JUDGED})"
 
 
-@query(f"SELECT count(*) FILTER (WHERE needs_review) AS flagged, count(*) FILTER (WHERE slip AND needs_review) AS caught, count(*) FILTER (WHERE slip AND NOT needs_review) AS missed FROM ({_SLIPS})")
+@query(f"SELECT count(*) FILTER (WHERE needs_review) AS flagged, count(*) FILTER (WHERE slip AND needs_review) AS caught, count(*) FILTER (WHERE slip AND NOT needs_review) AS missed,"
+       " coalesce(string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id) FILTER (WHERE slip AND needs_review), '') AS caught_ids,"
+       f" coalesce(string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id) FILTER (WHERE slip AND NOT needs_review), '') AS missed_ids FROM ({_SLIPS})")
 def hallucination_report(spark, sf_dir):
-    return results.hallucinations(results.rescore(*_outcomes(spark, sf_dir))[0])
+    out = results.hallucinations(results.rescore(*_outcomes(spark, sf_dir))[0])
+    return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("caught_ids", "missed_ids")})
 
 
 @query(f"SELECT case_id, needs_review AS caught FROM ({_SLIPS}) WHERE slip")
