@@ -14,6 +14,8 @@ from .toxicity import score_documents, train
 
 #: Words in a run; documents are near copies at 4/5 of their runs in common.
 RUN = 5
+#: Bytes of texts or sets of runs that go to Python at once: both it and Spark hold them, twice at times.
+BATCH = 4 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     are to be verified, and in the end of those that go, lets the other rows pass where they lie: only
     rows that may be among them are sent, few as long as the sieve has bits enough for them.
     """
-    scratch = Scratch(spark, "stage-shingles")
+    scratch = Scratch(spark, "stage-shingles", batch=BATCH)
     row = free_name(docs, "_quill_row")
     held = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()))
     values = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]

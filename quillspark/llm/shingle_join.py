@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..workspace import Scratch, ship
 from .buckets import forest_links
 from .components import connected_components
-from .simhash import majority, run_hashes, text_words
+from .simhash import CONTRACT, majority, near_links, run_hashes, text_words
 
 WORDS = 8
 #: Differing bits of 512 of two fingerprints of sets. At similarity 4/5 they are 78 with a deviation of 8
@@ -174,31 +174,32 @@ def verified(pairs: DataFrame, texts, size: int, scratch: Scratch) -> DataFrame:
 def similar_components(classes: DataFrame, texts, size: int, scratch: Scratch) -> DataFrame:
     """(node, n, fp, keys), one row a distinct set, to (node, component) of nodes that have a link.
 
-    First likely links are verified that span what meets on a few keys, then on all keys; last, all keys
-    are searched for every pair across the components so found, of which few are left to link.
+    First the sets whose fingerprints the pigeonring filter (``simhash.near_links``, op9's) finds alike are
+    verified. What it can't see is completed: likely links that span what meets on a few keys across the
+    components so found, then on all keys; last, all keys are searched for every pair across the
+    components, of which few are left to link.
     """
 
-    def search(rows: DataFrame, of: DataFrame, mark: int, distance: int) -> DataFrame:
-        compare, screen = comparer(mark, distance)
-        found = forest_links(rows, scratch, compare, "uint8", payloads=payloads(of), screen=screen)
+    def pairs(found: DataFrame) -> DataFrame:
         return scratch.keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    first = classes.select(F.explode(F.slice("keys", 1, FIRST)).alias("k"), F.col("node").alias("id"))
-    likely = search(first, classes.withColumn("component", F.col("node")), 1, NEAR)
-    links = verified(likely, texts, size, scratch)
+    links = verified(pairs(near_links(classes, CONTRACT, scratch)), texts, size, scratch)
     rows = None
-    for mark, distance in ((1, NEAR), (2, FAR)):
+    for few, mark, distance in ((True, 1, NEAR), (False, 1, NEAR), (False, 2, FAR)):
         so_far = scratch.keep(connected_components(links, scratch))
         # both sides grow with the corpus: one plan for all sizes
         labelled = classes.join(so_far.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         if rows is None:  # sets meet their components before their keys come apart
-            named = labelled.select(F.explode("keys").alias("k"), F.col("node").alias("id"), "component")
+            keys = F.slice("keys", 1, FIRST) if few else F.col("keys")
+            named = labelled.select(F.explode(keys).alias("k"), F.col("node").alias("id"), "component")
         else:
             named = rows.join(labelled.select(F.col("node").alias("id"), "component"), "id")
         labelled = scratch.keep(labelled.drop("keys"))
         across = named.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        before, rows = rows, scratch.keep(named.join(across.select("k"), "k").select("k", "id"))
-        found = verified(search(rows, labelled, mark, distance), texts, size, scratch)
-        links = scratch.keep(links.unionAll(found))
-        scratch.drop(labelled, *([before] if before is not None else []))
+        before, open_ = rows, scratch.keep(named.join(across.select("k"), "k").select("k", "id"))
+        rows = None if few else open_
+        compare, screen = comparer(mark, distance)
+        found = pairs(forest_links(open_, scratch, compare, "uint8", payloads=payloads(labelled), screen=screen))
+        links = scratch.keep(links.unionAll(verified(found, texts, size, scratch)))
+        scratch.drop(labelled, *([before] if before is not None else []), *([open_] if few else []))
     return connected_components(links, scratch)

@@ -203,14 +203,20 @@ def comparer(ring: Ring):
     return compare, screen
 
 
-def near_duplicates(spark: SparkSession, classes: DataFrame, ring: Ring, scratch: Scratch) -> DataFrame:
-    """(node, fp), one row a distinct fingerprint, to (node, component) of nodes that have a link."""
+def near_links(classes: DataFrame, ring: Ring, scratch: Scratch) -> DataFrame:
+    """(node, fp), one row a node, to (a, b): links that span the components of nodes that link. Of a longer fp
+    the ring's first bits count."""
     compare, screen = comparer(ring)
-    links = forest_links(
+    classes = classes.select("node", F.substring("fp", 1, ring.bits // 8).alias("fp"))
+    return forest_links(
         candidate_rows(classes, ring), scratch, compare, "uint8",
         payloads=classes.select(F.col("node").alias("id"), F.col("fp").alias("payload")), screen=screen,
     )
-    return connected_components(links, scratch)
+
+
+def near_duplicates(spark: SparkSession, classes: DataFrame, ring: Ring, scratch: Scratch) -> DataFrame:
+    """(node, fp), one row a distinct fingerprint, to (node, component) of nodes that have a link."""
+    return connected_components(near_links(classes, ring, scratch), scratch)
 
 
 def simhash_components(
