@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,7 +147,7 @@ def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    digest = lambda groups: hashlib.sha256(groups).hexdigest() if groups else ""
     found, _ = alignment.align(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), said=digest)
     return found.withColumnRenamed("groups", "groups_sha256")
 

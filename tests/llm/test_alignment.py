@@ -102,3 +102,19 @@ def test_op13(spark, paths):
     want, _ = expected(alignment.pair_of(*paths), [r["text"] for r in rows])
     got = {r["doc_id"]: tuple(r[n] for n in [*NAMES[:4], "groups_sha256", *NAMES[5:]]) for r in queries.op13_token_alignment(spark, SF).collect()}
     assert got == {r["doc_id"]: (*w[:4], hashlib.sha256(w[4].encode()).hexdigest() if w[4] else "", *w[5:]) for r, w in zip(rows, want)}
+
+
+def test_a_task_aligns_each_piece_once(spark, paths):
+    texts = ["one two three one", "two one", "a▁b", None, "four one", "two three"] * 40
+    both = alignment.pair_of(*paths)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    blocks = alignment.tokenized(frame, *paths, block=30)
+    assert blocks.count() > 10
+    own = {p for t in texts if t and "▁" not in t for p in both.pieces(t)}
+    assert sum(len(r["a"]) for r in blocks.collect()) == sum(walk(both, p[1:])[0] for p in own)
+    # numbered anew at every block, and now and then
+    for remembered in (0, 100):
+        again = alignment.tokenized(frame, *paths, block=30, remembered=remembered)
+        assert sum(r["start"] == 0 for r in again.collect()) > 1
+        for r in alignment.aligned(again, both.longest_token).collect():
+            assert (r["n_a"], r["n_b"], r["groups"], len(r["links"])) == (*(w := walk(both, texts[r["_id"]]))[:3], len(w[3]))
