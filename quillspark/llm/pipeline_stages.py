@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import Scratch
+from ..workspace import Scratch, batches_of
 from .buckets import free_name, sieve, sifted
 from .mixing import mix_sources, mixture_columns
 from .packing import pack
@@ -24,10 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataF
     The model learns from the labelled rows of docs outside the held-out fold; each row is judged by its
     own whole text. Null, empty and word-less texts stay, and so do rows without an id; rows that repeat
     are judged each, alike. Labels of no document teach nothing, and without any label nothing goes.
-    An empty table gives an empty one; other columns pass as they are, whatever their names.
+    An empty table gives an empty one; other columns pass as they are, whatever their names. The rows are
+    written once, in batches of at most ``BATCH`` bytes: what executors took for larger ones they would keep.
     """
-    model = train(spark, docs, labels, "doc_id", "text", "toxic")
-    return score_documents(docs, model, "text", reject=True)
+    scratch = Scratch(spark, "stage-toxicity", batch=BATCH)
+    with batches_of(spark, BATCH):
+        model = train(spark, docs, labels, "doc_id", "text", "toxic")
+    return scratch.keep(score_documents(docs, model, "text", reject=True))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -135,3 +136,15 @@ def test_run_of_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_toxicity_sends_texts_in_small_batches(spark, monkeypatch):
+    def sizes(docs, *_, **__):
+        return docs.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+
+    monkeypatch.setattr(pipeline_stages, "BATCH", 20_000)
+    monkeypatch.setattr(pipeline_stages, "score_documents", sizes)
+    docs = spark.range(400).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200).alias("text"))
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    found = [r["n"] for r in pipeline_stages.drop_toxic(spark, docs, labels).collect()]
+    assert sum(found) == 400 and max(found) < 100
